@@ -1,0 +1,56 @@
+"""Scratch tables in the folder all executors share, used to cut lineage."""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_DEFAULT = "file:///tmp/checkpoints"
+_roots: dict[str, SparkSession] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Shared folder named by ``spark.checkpoint.dir``; a local default only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = _LOCAL_DEFAULT
+    root = f"{base.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots[root] = spark
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the scratch root."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return a reader of it.
+
+    Unlike ``checkpoint()`` this runs the plan a single time. A lost executor
+    loses nothing: the files live in the shared store.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)
+
+
+@atexit.register
+def _cleanup() -> None:
+    for root, spark in _roots.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, root)
+        except Exception:  # the JVM may have ended already; nothing is left to tidy through it
+            pass
