@@ -1,0 +1,39 @@
+"""Connected components by alternating star contractions, never on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..scratch import materialize
+
+
+def _digest(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    return int(row[0]), int(row[1])
+
+
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, root) for every node of ``edges``; ``root`` is the smallest node of its component.
+
+    Each round contracts towards smaller neighbours and writes the edges to the
+    shared folder; the number of rounds grows with the logarithm of the input. The
+    smallest neighbour comes from a partial aggregate, so a node of very many edges
+    is a skewed join at most, which adaptive execution splits. An empty table gives
+    an empty table; loops and repeated edges change nothing.
+    """
+    now = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u != v").distinct()
+    now = materialize(now, "edges")
+    before = None
+    while (after := _digest(now)) != before and after[0]:
+        before = after
+        # large star: the larger neighbours of a node move to its smallest neighbour or itself
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: the smaller neighbours of a node, and itself, move to the smallest of them
+        large = materialize(large, "large-star")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+        now = materialize(small, "small-star")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op10_decontamination
+from .lm import op7_lm_scores
+from .mixing import op1_mixing
+from .ngram_join import op5_ngram_jaccard
+from .pii import op2_pii
 from .quality import op8_quality_rules
+from .secrets import op6_secrets
+from .sharding import op3_sharding
 from .substring_dedup import op4_substring_dedup
+from .warc import op9_warc
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
+    "op3_sharding": op3_sharding,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_secrets": op6_secrets,
+    "op7_lm_scores": op7_lm_scores,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
