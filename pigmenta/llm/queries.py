@@ -12,6 +12,7 @@ from .pii import op2_pii
 from .quality import op8_quality_rules
 from .secrets import op6_secrets
 from .sharding import op3_sharding
+from .sql import SQL
 from .substring_dedup import op4_substring_dedup
 from .warc import op9_warc
 
@@ -29,4 +30,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
