@@ -1,0 +1 @@
+"""Nothing here: the engine colours graphs at rest and has no streaming operators."""
