@@ -54,7 +54,7 @@ def test_snap(spark, tmp_path):
     assert edges_of(files.read_snap(spark, str(path), simple=True)) == [(1, 5), (5, 1)]
     assert edges_of(files.read_snap(spark, str(path), simple=True, compact=True)) == [(0, 1), (1, 0)]
     assert len(edges_of(files.read_snap(spark, str(path), strict=True))) == 4
-    path.write_text("# Nodes: 3 Edges: 1\n1 5\n")
+    path.write_text("# Nodes: 4 Edges: 1\n1 5\n")
     with pytest.raises(ValueError):
         files.read_snap(spark, str(path), strict=True)
     assert not files.snap_meta(spark, str(path)).zero_based
