@@ -170,9 +170,9 @@ def test_mix_is_near_its_targets(mixed):
 
 
 def test_copies_keep_their_expectation(spark):
-    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0]) for i in range(300)]
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0]) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
-    total, rate, runs = Counter(), {}, 30
+    total, rate, runs = Counter(), {}, 8
     for seed in range(runs):
         for r in mix(df, seed=seed).collect():
             total[r["id"] % 10] += r["copies"]
