@@ -39,6 +39,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing will read again."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if any(_bare(path).startswith(_bare(root)) for root in _roots):
+                _delete(df.sparkSession, path)
+
+
+def _bare(uri: str) -> str:
+    """A file URI without its scheme, whatever the number of slashes."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
