@@ -141,7 +141,7 @@ def kernel_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs made up from the order table: five a dataset and margin."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
-    rows = orders.where("o_orderkey < 1000").select(
+    rows = orders.select(
         (F.col("o_custkey") % 7).cast("int").alias("dataset"), (F.col("o_orderkey") % 3).cast("int").alias("algorithm"), (F.col("o_orderkey") % 20).cast("int").alias("theta"), F.col("o_orderkey").cast("int").alias("run_idx"),
         F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_totalprice").cast("long") % 9).cast("int")).alias("color"), F.col("o_totalprice").alias("runtime_ms"),
     )
@@ -167,13 +167,13 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     text = F.concat(F.lit("Nodes: "), F.col("o_custkey"), F.lit("\nEdges: "), F.col("o_orderkey"), F.lit("\nEGC θ: "), F.col("o_orderkey") % 13, F.when(F.col("o_orderkey") % 2 == 0, " (Predicted)").otherwise(""), F.lit("\nruntime: "), (F.col("o_orderkey") / 8).cast("decimal(10,3)"), F.lit(" ms\ncolors used: "), F.col("o_custkey") % 40)
     return ex.parse_logs(orders.select(F.col("o_orderkey").alias("run"), text.alias("text")))
 
 
 _RUNS_SQL = """runs as (select (o_custkey % 7)::int dataset, (o_orderkey % 3)::int algorithm, (o_orderkey % 20)::int theta, o_orderkey::int run_idx,
-  case when o_orderkey % 11 <> 0 then (trunc(o_totalprice)::bigint % 9)::int end color, o_totalprice runtime_ms from orders where o_orderkey < 1000)"""
+  case when o_orderkey % 11 <> 0 then (trunc(o_totalprice)::bigint % 9)::int end color, o_totalprice runtime_ms from orders)"""
 _SIZES_SQL = "sizes as (select l_suppkey % 10 dataset, count(distinct l_partkey) v, count(*) e from lineitem group by 1)"
 _LINEAR_SQL = "1.0825496073100667::double + 5.954294734547475e-07::double * v + 1.2596129615914713e-07::double * e"
 
@@ -257,7 +257,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("violation_ratio", quality_query, f"with {_SIZES_SQL}, s as (select {_LINEAR_SQL} p, 1.0::double + dataset / 5.0 t from sizes) select round(avg((p > t)::int), 6) as violation_ratio, round(avg((p - t) * (p - t)), 6) as mse, round(sqrt(avg((p - t) * (p - t))), 6) as rmse, round(1 - avg((p - t) * (p - t)) / var_pop(t), 6) as r2 from s")
     add("best_run", best_query, _best_sql("runtime_ms"))
     add("best_run_by_colors", best_by_colors_query, _best_sql("run_idx"))
-    add("parse_logs", log_query, "select o_orderkey as run, o_custkey as nodes, o_orderkey as edges, (o_orderkey % 13)::int as theta, cast(cast(o_orderkey / 8 as decimal(10,3)) as double) as runtime_ms, (o_custkey % 40)::int as color, null::int as iter_count, o_orderkey % 2 = 0 as theta_predicted from orders where o_orderkey < 500")
+    add("parse_logs", log_query, "select o_orderkey as run, o_custkey as nodes, o_orderkey as edges, (o_orderkey % 13)::int as theta, cast(cast(o_orderkey / 8 as decimal(10,3)) as double) as runtime_ms, (o_custkey % 40)::int as color, null::int as iter_count, o_orderkey % 2 = 0 as theta_predicted from orders")
     return q, sql
 
 
