@@ -168,7 +168,7 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    text = F.concat(F.lit("Nodes: "), F.col("o_custkey"), F.lit("\nEdges: "), F.col("o_orderkey"), F.lit("\nEGC θ: "), F.col("o_orderkey") % 13, F.when(F.col("o_orderkey") % 2 == 0, " (Predicted)").otherwise(""), F.lit("\nruntime: "), (F.col("o_orderkey") / 8).cast("decimal(10,3)"), F.lit(" ms\ncolors used: "), F.col("o_custkey") % 40)
+    text = F.concat(F.lit("Nodes: "), F.col("o_custkey"), F.lit("\nEdges: "), F.col("o_orderkey"), F.lit("\nEGC θ: "), F.col("o_orderkey") % 13, F.when(F.col("o_orderkey") % 2 == 0, " (Predicted)").otherwise(""), F.lit("\nruntime: "), (F.col("o_orderkey") / 8).cast("decimal(10,3)"), F.lit(" ms\ncolors used: "), F.col("o_custkey") % 40, F.lit("\nIter count: "), F.col("o_orderkey") % 17)
     return ex.parse_logs(orders.select(F.col("o_orderkey").alias("run"), text.alias("text")))
 
 
@@ -257,7 +257,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("violation_ratio", quality_query, f"with {_SIZES_SQL}, s as (select {_LINEAR_SQL} p, 1.0::double + dataset / 5.0 t from sizes) select round(avg((p > t)::int), 6) as violation_ratio, round(avg((p - t) * (p - t)), 6) as mse, round(sqrt(avg((p - t) * (p - t))), 6) as rmse, round(1 - avg((p - t) * (p - t)) / var_pop(t), 6) as r2 from s")
     add("best_run", best_query, _best_sql("runtime_ms"))
     add("best_run_by_colors", best_by_colors_query, _best_sql("run_idx"))
-    add("parse_logs", log_query, "select o_orderkey as run, o_custkey as nodes, o_orderkey as edges, (o_orderkey % 13)::int as theta, cast(cast(o_orderkey / 8 as decimal(10,3)) as double) as runtime_ms, (o_custkey % 40)::int as color, null::int as iter_count, o_orderkey % 2 = 0 as theta_predicted from orders")
+    add("parse_logs", log_query, "select o_orderkey as run, o_custkey as nodes, o_orderkey as edges, (o_orderkey % 13)::int as theta, cast(cast(o_orderkey / 8 as decimal(10,3)) as double) as runtime_ms, (o_custkey % 40)::int as color, (o_orderkey % 17)::int as iter_count, o_orderkey % 2 = 0 as theta_predicted from orders")
     return q, sql
 
 
