@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import materialize, release
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -35,5 +35,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         large = materialize(large, "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "small-star")
+        last, now = now, materialize(small, "small-star")
+        release(last, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import ALNUM_WORDS_RAW, LOWER, Words, column_buffer, groups, rolling
+from .textbatch import ALNUM_WORDS_RAW, LOWER, Words, bound_batches, column_buffer, groups, rolling
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -196,6 +196,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     brought together by its id and the hash of its text; equal rows stay apart by
     their number of occurrences.
     """
+    bound_batches(df.sparkSession)
     narrow = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"))
     parts = [_search_block(narrow.withColumn("key_", F.xxhash64("id_", "text_")), block, window) for block in benchmark_blocks(benchmark, item_id, item_text, block_words)]
     if not parts:
@@ -232,6 +233,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``df`` in which no benchmark window occurs, with all their columns; one narrow pass per block of items."""
+    bound_batches(df.sparkSession)
     at = df.columns.index(text)
     out = df
     for block in benchmark_blocks(benchmark, item_id, item_text, block_words):

@@ -7,6 +7,10 @@ reach the threshold share a shingle within their prefixes, so only prefix shingl
 that some other document may hold (estimate of 2 or more) are indexed. Equal sets
 are one class from the start.
 
+Shingles of a text are kept only for its prefix. To verify pairs, the texts that occur in
+them are read again, found by a filter of fixed size, so whole sets of texts
+without candidates are neither stored nor moved.
+
 The index is not expanded into pairs. In each bucket the entry with the earliest
 position is the pivot; every entry is verified against it once (length and
 positional filter first). Components of these links are built, and only entries
@@ -33,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from ..scratch import materialize
-from .sketch import cells_of, log_levels, merged_sketch
-from .textbatch import LOWER, Words, mix64, rolling, text_groups
+from ..scratch import materialize, release
+from .sketch import bits_at, cells_of, log_levels, merged_sketch, present
+from .textbatch import LOWER, Words, bound_batches, mix64, rolling, text_groups
 
 SKETCH_WIDTH = 1 << 26
 
@@ -68,7 +72,9 @@ def _set_digest(keys: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-_ROW_DDL = "n long, cls struct<a: long, b: long>, prefix array<struct<token: long, pos: int>>, tokens array<bigint>"
+_ROW_DDL = "n long, cls struct<a: long, b: long>, prefix array<struct<token: long, pos: int>>"
+#: Bits of the filter that names the texts to verify.
+_FILTER_WIDTH = 1 << 23
 _CLS = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 _PREFIX = pa.struct([("token", pa.int64()), ("pos", pa.int32())])
 
@@ -86,13 +92,46 @@ def _set_rows(words: Words, n_rows: int, k: int, percent: int, cells: np.ndarray
     picked = order[pick]
     at = np.searchsorted(rows[picked], np.arange(n_rows + 1)) if len(picked) else np.zeros(n_rows + 1, np.int64)
     entries = pa.StructArray.from_arrays([pa.array(keys[picked].view(np.int64)), pa.array(pos[pick].astype(np.int32))], fields=list(_PREFIX))
-    active = np.diff(at) > 0
-    held = active[rows]
-    token_at = np.concatenate([[0], np.cumsum(np.where(active, n, 0))])
-    cls = pa.StructArray.from_arrays([pa.array(_set_digest(keys, bounds, s).view(np.int64)) for s in (0x51ED270B, 0x2545F491)], fields=list(_CLS), mask=pa.array(n == 0))
-    return [
-        pa.array(n, pa.int64()), cls, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), entries), pa.ListArray.from_arrays(pa.array(token_at.astype(np.int32)), pa.array(keys[held].view(np.int64))),
-    ]
+    return [pa.array(n, pa.int64()), _classes(keys, bounds, n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), entries)]
+
+
+def _classes(keys: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The class of each row's set, null for empty ones."""
+    return pa.StructArray.from_arrays([pa.array(_set_digest(keys, bounds, s).view(np.int64)) for s in (0x51ED270B, 0x2545F491)], fields=list(_CLS), mask=pa.array(n == 0))
+
+
+def _sets_of(keyed: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(cls, n, tokens) of the texts whose key is in ``keys``, one row a class.
+
+    A filter of fixed size over the keys goes to the tasks, so only texts that are to be
+    verified (and a few more) are cut into shingles and moved.
+    """
+
+    def key_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix64(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    wanted = merged_sketch(keys, key_of, _FILTER_WIDTH, 1, present)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            cell = cells_of(mix64(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), 0, _FILTER_WIDTH)
+            for low, high, words in text_groups(batch.filter(pa.array(bits_at(wanted.value, cell.astype(np.int64)))), "text_"):
+                rows, tokens = shingle_sets(words, k)
+                bounds = np.searchsorted(rows, np.arange(high - low + 1))
+                n = np.diff(bounds)
+                names = _classes(tokens, bounds, n)
+                new = []
+                for i, c in enumerate(names.to_pylist()):
+                    if c is not None and (c["a"], c["b"]) not in seen:
+                        seen.add((c["a"], c["b"]))
+                        new.append(i)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                pick = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays([names.take(pick), pa.array(n, pa.int64()).take(pick), lists.take(pick)], names=["cls", "n", "tokens"])
+
+    found = keyed.select("key_", "text_").mapInArrow(sets, "cls struct<a: long, b: long>, n long, tokens array<bigint>")
+    return found.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def _reach(percent: int, overlap: Column, a: Column, b: Column) -> Column:
@@ -117,14 +156,18 @@ def _suffix_bound(tx: Column, ty: Column, nx: Column, ny: Column) -> Column:
     return F.least(lx, ly) + F.least(nx - lx, ny - ly)
 
 
-def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, active: DataFrame, keyed: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (x, y) whose sets reach the threshold, each verified once."""
-    sets = active.select("cls", "n", "tokens")
-    full = pairs.distinct().join(sets.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx")), "x")
+    pairs = materialize(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    sets = materialize(_sets_of(keyed, nodes.join(active.select("cls", "key_"), "cls").select("key_"), k), "sets")
+    full = pairs.join(sets.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx")), "x")
     full = full.join(sets.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty")), "y")
     nx, ny, tx, ty = (F.col(c) for c in ("nx", "ny", "tx", "ty"))
     common = F.size(F.array_intersect(tx, ty))
-    return full.where(_reach(percent, _suffix_bound(tx, ty, nx, ny), nx, ny) & _reach(percent, common, nx, ny)).select("x", "y")
+    links = materialize(full.where(_reach(percent, _suffix_bound(tx, ty, nx, ny), nx, ny) & _reach(percent, common, nx, ny)).select("x", "y"), name)
+    release(pairs, sets)
+    return links
 
 
 def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, width: int = SKETCH_WIDTH) -> DataFrame:
@@ -133,6 +176,7 @@ def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     Returns (id_, key_, n_shingles, cls, component_id): ``component_id`` is the smallest
     id that links of Jaccard similarity ``percent``/100 or more reach from the row.
     """
+    bound_batches(df.sparkSession)
     narrow = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"))
     id_type = narrow.schema["id_"].dataType.simpleString()
 
@@ -146,21 +190,23 @@ def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
         for batch in batches:
             for low, high, words in text_groups(batch, "text_"):
                 own = [batch.column(i).slice(low, high - low) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, *_set_rows(words, high - low, k, percent, sketch.value, width)], names=["id_", "key_", "n", "cls", "prefix", "tokens"])
+                yield pa.RecordBatch.from_arrays([*own, *_set_rows(words, high - low, k, percent, sketch.value, width)], names=["id_", "key_", "n", "cls", "prefix"])
 
     keyed = narrow.withColumn("key_", F.xxhash64("text_"))
-    rows = materialize(keyed.mapInArrow(sets, f"id_ {id_type}, key_ long, {_ROW_DDL}"), "sets")
-    active = materialize(rows.where(F.size("prefix") > 0).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens")), "classes")
+    wide = materialize(keyed.mapInArrow(sets, f"id_ {id_type}, key_ long, {_ROW_DDL}"), "rows")
+    rows = materialize(wide.select("id_", "key_", "n", "cls"), "narrow")
+    # any text of a class will do to verify it
+    active = materialize(wide.where(F.size("prefix") > 0).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("key_").alias("key_")), "classes")
+    release(wide)
+    sketch.unpersist()
 
     entries = active.select("cls", "n", F.explode("prefix").alias("p")).select("cls", "n", "p.token", "p.pos")
     pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "m", "p.pos", "p.n", "p.cls")
     at = materialize(
         entries.alias("e").join(pivots.alias("p"), "token").select("token", "m", "e.cls", "e.n", "e.pos", F.col("p.cls").alias("p_cls"), ((F.col("e.cls") != F.col("p.cls")) & _may_link(percent, "e", "p")).alias("star")), "buckets"
     )
-    star = _verified(at.where("star").select(F.col("cls").alias("x"), F.col("p_cls").alias("y")), active, percent)
-    star = materialize(star, "links")
-    roots = components(star, "x", "y")
-    roots = materialize(roots, "roots")
+    star = _verified(at.where("star").select(F.col("cls").alias("x"), F.col("p_cls").alias("y")), active, keyed, k, percent, "links")
+    roots = materialize(components(star, "x", "y"), "roots")
 
     # second pairs: only entries outside their pivot's component, in buckets of three or more
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -169,10 +215,11 @@ def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     rooted = materialize(rooted, "rooted")
     outside, every = rooted.where("out").alias("o"), rooted.where("cls != p_cls").alias("e")
     second = outside.join(every, F.col("o.token") == F.col("e.token")).where((F.col("o.root") != F.col("e.root")) & (~F.col("e.out") | (F.col("o.cls") < F.col("e.cls"))) & _may_link(percent, "o", "e"))
-    second = materialize(_verified(second.select(F.least("o.cls", "e.cls").alias("x"), F.greatest("o.cls", "e.cls").alias("y")), active, percent), "more-links")
+    second = _verified(second.select(F.least("o.cls", "e.cls").alias("x"), F.greatest("o.cls", "e.cls").alias("y")), active, keyed, k, percent, "more-links")
     if second.head(1):
         stars = roots.where("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
         roots = components(stars.unionByName(second), "x", "y")
+    release(at, rooted, active)
 
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id_").alias("min_"))
     rooted_classes = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "min_", F.coalesce("root", "cls").alias("root"))

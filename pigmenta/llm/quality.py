@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Words, column_buffer, groups, mix64, rolling
+from .textbatch import Words, bound_batches, column_buffer, groups, mix64, rolling
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -208,6 +208,7 @@ _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 def quality_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rules: QualityRules | None = None) -> DataFrame:
     """One row per row of ``df``: its id, the word statistics, the fertility figures and ``kept``."""
     rules = rules or QualityRules()
+    bound_batches(df.sparkSession)
     narrow = df.select(F.col(id_column), F.col(text).cast("string").alias("text_"), F.col(lang).cast("string").alias("lang_"))
     id_type = narrow.schema[0].dataType.simpleString()
     ddl = ", ".join([f"`{id_column}` {id_type}", *(f"{c} {t}" for c, t in COLUMNS)])
@@ -223,6 +224,7 @@ def quality_report(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules | None = None) -> DataFrame:
     """The rows of ``df`` that the rules keep, with all their columns."""
     rules = rules or QualityRules()
+    bound_batches(df.sparkSession)
     at_text, at_lang = df.columns.index(text), df.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,12 +42,14 @@ class PartitionSketch:
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], schema=_SCHEMA)
 
 
+#: Odd multipliers that make the rows of a sketch differ.
+_ROWS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
 def cells_of(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    """Cell of each 64-bit key in one row; ``width`` is a power of two, two rows at most."""
+    """Cell of each 64-bit key in one of up to four rows; ``width`` is a power of two."""
     bits = np.uint64(width.bit_length() - 1)
-    if row == 0:
-        return (keys >> (np.uint64(64) - bits)).astype(np.uint32)
-    return (keys & np.uint64(width - 1)).astype(np.uint32)
+    return ((keys * np.uint64(_ROWS[row])) >> (np.uint64(64) - bits)).astype(np.uint32)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], quantise: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +77,26 @@ def log_levels(total: np.ndarray) -> np.ndarray:
 
 
 def repeated(total: np.ndarray) -> np.ndarray:
-    """1 where a cell counted two or more."""
-    return (total >= 2).astype(np.uint8)
+    """One bit a cell: whether it counted two or more."""
+    return np.packbits(total >= 2)
+
+
+def present(total: np.ndarray) -> np.ndarray:
+    """One bit a cell: whether it counted any."""
+    return np.packbits(total >= 1)
+
+
+def bits_at(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The bits of cells in an array of packed bits."""
+    return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
 def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, rows: int, quantise: Callable[[np.ndarray], np.ndarray]) -> Broadcast:
-    """Broadcast sketch (``rows * width`` bytes) over the 64-bit keys of all rows of ``df``."""
+    """Broadcast sketch over the 64-bit keys of all rows of ``df``.
+
+    It has ``rows * width`` bytes, or bits where ``quantise`` packs them. ``width`` is a
+    power of two, 8 * PIECES at least.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PartitionSketch(width, rows)
@@ -90,7 +106,7 @@ def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
             for keys in keys_of(batch):
                 held.append(keys)
                 n += len(keys)
-                if n >= 1 << 21:
+                if n >= 1 << 20:
                     own.add(np.concatenate(held))
                     held, n = [], 0
         if held:
@@ -99,10 +115,10 @@ def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
 
     tasks = max(1, min(PIECES, df.sparkSession.sparkContext.defaultParallelism * 2))
     merged = df.mapInArrow(count, _DDL).repartition(tasks, "piece").mapInArrow(lambda b: _merge(b, quantise), _DDL)
-    cells = np.zeros(rows * width, dtype=np.uint8)
-    parts = np.array_split(cells, PIECES)  # views
+    step = rows * width // PIECES
+    parts = [quantise(np.zeros(step, dtype=np.uint32)) for _ in range(PIECES)]
     unpacker = zstandard.ZstdDecompressor()
-    table = merged.toArrow()  # rows * width bytes at most, before compression
+    table = merged.toArrow()  # of fixed size, before compression
     for piece, packed in zip(table.column(0).to_pylist(), table.column(1)):
-        parts[piece][:] = np.frombuffer(unpacker.decompress(packed.as_py()), dtype=np.uint8)
-    return df.sparkSession.sparkContext.broadcast(cells)
+        parts[piece] = np.frombuffer(unpacker.decompress(packed.as_py()), dtype=np.uint8)
+    return df.sparkSession.sparkContext.broadcast(np.concatenate(parts))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 _CHUNK = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,6 +36,18 @@ LOWER = IDENTITY.copy()
 LOWER[0x41:0x5B] += 0x20
 
 
+#: Most rows of one batch between Spark and Python: texts are long, and a batch is held whole.
+BATCH_ROWS = 500
+
+
+def bound_batches(spark) -> None:
+    """Lower the session's rows a batch to ``BATCH_ROWS``, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
+from .textbatch import bound_batches
 
 DATE = "1970-01-01T00:00:00Z"
 SHARD_BYTES = 16 << 20
@@ -165,6 +166,7 @@ def write_archives(pages: DataFrame, uri: str, id_column: str = "page_id", url:
     ``uri`` is a folder all executors share, of any file system that pyarrow opens.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     source = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("html"))
     narrow = materialize(source.select("id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "digests")
