@@ -6,17 +6,19 @@ windows have equal anchors, so the number of documents that hold an anchor, and
 count-min estimate of it, is never below the number that hold the window. Partition
 sketches over the anchors of each document are merged at a fixed size; windows
 whose estimate is 2 or more go to the second pass, which groups them exactly by a
-128-bit hash of their word hashes. No window that two documents share is lost.
+96-bit hash of their word hashes. No window that two documents share is lost.
 
-Only flagged windows are shuffled, with the text of the documents that hold them;
-all others are finished where they are read. A window's smallest document id is found with
-partial aggregation, so a passage in a third of all documents is one row a task;
-the join back is left to adaptive skew handling. What is brought together by
-document is bounded by the document.
+Of texts that are equal as a whole only the rows of the smallest id are looked at.
+Rows without flagged windows are finished where they are read. The other rows of a
+task group their windows first, so a task sends each distinct window once, with its
+smallest id, whoever holds it: a passage in a third of all documents costs one entry a
+task. Entries meet in buckets by their anchor, packed as bytes; a bucket answers each
+task with the windows that a smaller id holds elsewhere, and the task's rows are
+finished next to the answers.
 
-Defined cases: null and empty texts have no words; texts below the window length
-lose nothing; a null document id is larger than any other and rows that share an id
-do not make each other go; extra columns are not looked at.
+Defined cases: ids are integers; null and empty texts have no words; texts below the
+window length lose nothing; a null id is larger than any other and rows that share an
+id do not make each other go; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .sketch import cells_of, merged_sketch, repeated
-from .textbatch import Words, mix64, rolling, rolling_min, text_groups
+from .mixing import word_count
+from .sketch import bits_at, cells_of, merged_sketch, present, repeated
+from .textbatch import Words, bound_batches, mix64, rolling, rolling_min, text_groups
 
 WINDOW = 50
 ANCHOR = 8
 SKETCH_WIDTH = 1 << 25
-SKETCH_ROWS = 2
+COPY_WIDTH = 1 << 23
+SKETCH_ROWS = 4
 
 
 def _anchors(words: Words, window: int, run: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,17 +69,17 @@ def _distinct_anchors(words: Words, window: int, run: int) -> np.ndarray:
     return anchor[once]
 
 
-def _flagged(words: Words, window: int, run: int, cells: np.ndarray, width: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, two hashes) of the windows that the sketch estimates at 2 or more."""
+def _flagged(words: Words, window: int, run: int, cells: np.ndarray, width: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, two hashes, anchor) of the windows that the sketch estimates at 2 or more."""
     hashes = words.hashes(0)
     at, anchor = _anchors(words, window, run, hashes)
     keep = np.ones(len(at), dtype=bool)
     for r in range(rows):
-        keep &= cells[cells_of(anchor, r, width).astype(np.int64) + r * width] > 0
-    at = at[keep]
+        keep &= bits_at(cells, cells_of(anchor, r, width).astype(np.int64) + r * width)
+    at, anchor = at[keep], anchor[keep]
     if not len(at):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return at, mix64(rolling(hashes, window, 0)[at]), mix64(rolling(words.hashes(1), window, 1)[at])
+        return at, anchor, anchor, anchor
+    return at, mix64(rolling(hashes, window, 0)[at]), mix64(rolling(words.hashes(1), window, 1)[at]), anchor
 
 
 def _joined_sha(body: bytes, gone: np.ndarray | None) -> str:
@@ -85,79 +90,239 @@ def _joined_sha(body: bytes, gone: np.ndarray | None) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+_NULL_ID = (1 << 63) - 1
+_PASSED_DDL = "what int, id_ long, n_words long, kept_sha256 string, task int, text_ string, sure array<int>, begins array<int>, entries array<int>, bucket int, packed binary"
+_PASSED = pa.schema([("what", pa.int32()), ("id_", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("task", pa.int32()), ("text_", pa.string()), *((c, pa.list_(pa.int32())) for c in ("sure", "begins", "entries")), ("bucket", pa.int32()), ("packed", pa.binary())])
+_OUT_DDL = "id_ long, n_words long, n_removed long, kept_sha256 string, removed array<struct<low: long, high: long>>"
+_OUT = pa.schema([("id_", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))])
+#: Bytes of input for one bucket of windows, and the largest number of buckets.
+_BUCKET_BYTES, _MAX_BUCKETS = 4 << 20, 1 << 20
+
+
+def _bucket_count(df: DataFrame) -> int:
+    """Buckets by the size of the input, from the plan's statistics."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, min(_MAX_BUCKETS, size // _BUCKET_BYTES))
+
+
+def _passed_batch(ids: pa.Array, **given: object) -> pa.RecordBatch:
+    """A batch of one kind: ``done`` (words, digest) or ``waiting`` (task, text, sure, begins, entries)."""
+    n = len(ids)
+    columns = {f.name: pa.nulls(n, f.type) for f in _PASSED}
+    columns["id_"] = ids.cast(pa.int64())
+    if "done" in given:
+        counts, shas = given["done"]
+        columns |= {"what": pa.array(np.zeros(n, np.int32)), "n_words": pa.array(counts, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+    else:
+        task, texts, sure, begins, entries = given["waiting"]
+        columns |= {"what": pa.array(np.ones(n, np.int32)), "task": pa.array(np.full(n, task, np.int32)), "text_": texts.cast(pa.string()), "sure": sure, "begins": begins, "entries": entries}
+    return pa.RecordBatch.from_arrays([columns[f.name] for f in _PASSED], schema=_PASSED)
+
+
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """One list a row; ``row`` ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _ask(task: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Group the windows of a task: what is decided, what each row asks, and the entries for the buckets."""
+    sizes = [len(h[0]) for h in held]
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    doc = np.concatenate([h[2] + b for h, b in zip(held, base)])
+    ids, begin, one, two, anchors = (np.concatenate([h[i] for h in held]) for i in range(3, 8))
+    order = np.lexsort((ids, two, one))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    group = np.cumsum(new) - 1
+    least = ids[order][new]
+    of = np.empty(len(order), dtype=np.int64)  # group of each window
+    of[order] = group
+    sure = ids > least[of]
+    # entries are numbered in the order in which they occur, so their lists are short to store
+    first = np.full(len(least), len(order), dtype=np.int64)
+    np.minimum.at(first, of[~sure], np.flatnonzero(~sure))
+    by_place = np.argsort(first, kind="stable")
+    number = np.empty(len(least), dtype=np.int64)
+    number[by_place] = np.arange(len(least))
+    entry = number[of]
+    at = 0
+    for (row_ids, texts, *_), low in zip(held, base):
+        n = len(row_ids)
+        high = at + int(np.searchsorted(doc[at:], low + n))
+        mine, certain = doc[at:high] - low, sure[at:high]
+        yield _passed_batch(row_ids, waiting=(task, texts, _lists(begin[at:high][certain], mine[certain], n), _lists(begin[at:high][~certain], mine[~certain], n), _lists(entry[at:high][~certain], mine[~certain], n)))
+        at = high
+    head = first[by_place]
+    bucket = (mix64(anchors[head]) % np.uint64(buckets)).astype(np.int32)
+    by_bucket = np.lexsort((np.arange(len(head)), bucket))
+    cut = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+    out: dict[str, list] = {"bucket": [], "packed": []}
+    for part in np.split(by_bucket, cut):
+        where = head[part]
+        out["bucket"].append(int(bucket[part[0]]))
+        out["packed"].append(_pack(one[where].tobytes() + ids[where].tobytes() + two[where].tobytes() + part.astype(np.uint32).tobytes()))
+    n = len(out["bucket"])
+    columns = {f.name: pa.nulls(n, f.type) for f in _PASSED} | {"what": pa.array(np.full(n, 2, np.int32)), "task": pa.array(np.full(n, task, np.int32)), "bucket": pa.array(out["bucket"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())}
+    yield pa.RecordBatch.from_arrays([columns[f.name] for f in _PASSED], schema=_PASSED)
+
+
+def _decide(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The entries of each task in one bucket that another entry of a smaller id equals."""
+    if not parts:
+        return
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    for task, packed in parts:
+        data = _unpack(packed)
+        n = len(data) // 24
+        for i, (low, high, kind) in enumerate(((0, 8, np.uint64), (8, 16, np.int64), (16, 20, np.uint32), (20, 24, np.uint32))):
+            columns[i].append(np.frombuffer(data[low * n : high * n], dtype=kind))
+        columns[4].append(np.full(n, task, dtype=np.int32))
+    one, ids, two, entry, task = (np.concatenate(c) for c in columns)
+    order = np.lexsort((ids, two, one))
+    one, ids, two, entry, task = (c[order] for c in (one, ids, two, entry, task))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    goes = ids > ids[new][np.cumsum(new) - 1]
+    entry, task = entry[goes], task[goes]
+    order = np.lexsort((entry, task))
+    entry, task = entry[order], task[order]
+    cut = np.flatnonzero(np.diff(task)) + 1
+    rows = [(int(task[low]), _pack(entry[low:high].tobytes())) for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(task)]) if high > low]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "packed"])
+
+
+def _finished(row_id: int | None, text: str, begins: np.ndarray, window: int) -> dict:
+    """The result of a row whose windows at ``begins`` go."""
+    body = text.encode()
+    n = len(body.split())
+    delta = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(delta, begins, 1)
+    np.add.at(delta, begins + window, -1)
+    out = np.cumsum(delta[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
+    return {"id_": row_id, "n_words": n, "n_removed": int(out.sum()), "kept_sha256": _joined_sha(body, out), "removed": [{"low": int(a), "high": int(b)} for a, b in zip(edges[::2], edges[1::2])]}
+
+
+def _without(batch: pa.RecordBatch, copies: np.ndarray) -> pa.RecordBatch:
+    """The rows of (id_, text_, h1, h2) whose text the sketch of copies does not hold."""
+    h1 = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+    return batch.filter(pa.array(~bits_at(copies, cells_of(mix64(h1), 0, COPY_WIDTH).astype(np.int64))))
+
+
 def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, width: int = SKETCH_WIDTH, rows: int = SKETCH_ROWS) -> DataFrame:
     """Per row of ``df``: id, n_words, n_removed, kept_sha256 and the word ranges that go."""
+    bound_batches(df.sparkSession)
     anchor = min(anchor, window)
-    narrow = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"))
-    id_type = narrow.schema["id_"].dataType.simpleString()
+    hashed = df.select(F.col(id_column).alias("id_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text_")).withColumns({"h1": F.xxhash64("text_"), "h2": F.xxhash64(F.lit(1), "text_")})
+    id_type = hashed.schema["id_"].dataType.simpleString()
+    ddl = f"id_ {id_type}, text_ string, h1 long, h2 long"
+
+    # exact copies: only the rows of a text's smallest id take part, the others lose all their windows
+    copied = materialize(hashed.select("id_", "h1", "h2").groupBy("h1", "h2").agg(F.min("id_").alias("first_"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first_"), "copied")
+
+    def hash_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix64(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    copies = merged_sketch(copied.select("h1"), hash_of, COPY_WIDTH, 1, present)
+
+    def only_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1 = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(bits_at(copies.value, cells_of(mix64(h1), 0, COPY_WIDTH).astype(np.int64))))
+
+    some = hashed.mapInArrow(only_copies, ddl).join(copied, ["h1", "h2"], "left")
+    some = materialize(some.withColumn("again", F.col("first_").isNotNull() & (F.col("id_").isNull() | (F.col("id_") > F.col("first_")))), "copies")
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, words in text_groups(batch, "text_"):
             yield _distinct_anchors(words, window, anchor)
 
-    sketch = merged_sketch(narrow.select("text_"), keys_of, width, rows, repeated)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _without(batch, copies.value)
+
+    distinct = hashed.mapInArrow(others, ddl).unionByName(some.where("NOT again").select("id_", "text_", "h1", "h2"))
+    sketch = merged_sketch(distinct, keys_of, width, rows, repeated)
+
+    # pass 2: rows without flagged windows are finished here, the others keep their text and what they ask
+    buckets = _bucket_count(df)
 
-    # pass 2: rows without flagged windows are finished here; the others keep their text and window hashes
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        held: list[tuple] = []
         for batch in batches:
             for low, high, words in text_groups(batch, "text_"):
-                at, one, two = _flagged(words, window, anchor, sketch.value, width, rows)
-                bounds = np.searchsorted(at, words.bounds)
-                off = pa.array(bounds.astype(np.int32), pa.int32())
-                begin = at - words.bounds[words.row[at]] if len(at) else at
-                lists = [pa.ListArray.from_arrays(off, pa.array(v.astype(np.int64))) for v in (one.view(np.int64), two.view(np.int64), begin)]
-                done = np.diff(bounds) == 0
+                at, one, two, anchors = _flagged(words, window, anchor, sketch.value, width, rows)
+                has = np.diff(np.searchsorted(at, words.bounds)) > 0
                 body = words.raw.tobytes()
-                shas = [_joined_sha(body[words.offsets[i] : words.offsets[i + 1]], None) if done[i] else None for i in range(high - low)]
-                ids, texts, keys = (batch.column(i).slice(low, high - low) for i in range(3))
-                texts = pc.if_else(pa.array(done), pa.scalar(None, texts.type), pc.fill_null(texts, ""))
-                yield pa.RecordBatch.from_arrays([ids, keys, texts, pa.array(words.counts, pa.int64()), pa.array(shas, pa.string()), *lists], names=["id_", "key_", "text_", "n_words", "kept_sha256", "one", "two", "begin"])
-
-    keyed = narrow.withColumn("key_", F.xxhash64("text_"))
-    passed = materialize(keyed.mapInArrow(second, f"id_ {id_type}, key_ long, text_ string, n_words long, kept_sha256 string, one array<bigint>, two array<bigint>, begin array<bigint>"), "windows")
-    flagged = passed.where(F.col("text_").isNotNull())
-    each = flagged.select("id_", "key_", F.explode(F.arrays_zip("one", "two", "begin")).alias("w")).select("id_", "key_", "w.one", "w.two", "w.begin")
-    # a window counts as shared if its smallest id is below another one; null ids are above all
-    smallest = each.groupBy("one", "two").agg(F.min("id_").alias("min_"), F.max("id_").alias("max_"), F.max(F.col("id_").isNull()).alias("null_")).where(F.col("min_").isNotNull() & ((F.col("min_") < F.col("max_")) | F.col("null_"))).select("one", "two", "min_")
-    gone = each.join(smallest, ["one", "two"]).where(F.col("id_").isNull() | (F.col("id_") > F.col("min_")))
-    # a repeated row has the same windows as its twin: a set
-    per_row = gone.groupBy("id_", "key_").agg(F.collect_set("begin").alias("begins"))
-    texts = flagged.select("id_", "key_", "text_")
-    joined = texts.join(per_row, texts["id_"].eqNullSafe(per_row["id_"]) & (texts["key_"] == per_row["key_"]), "left").select(texts["id_"], "text_", "begins")
-    finished = passed.where(F.col("text_").isNull()).select("id_", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.expr("cast(array() as array<struct<low: long, high: long>>)").alias("removed"))
-
-    out_ddl = f"id_ {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<struct<low: long, high: long>>"
-    ranges_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+                ids, texts = (batch.column(i).slice(low, high - low) for i in range(2))
+                done = np.flatnonzero(~has)
+                shas = [_joined_sha(body[words.offsets[i] : words.offsets[i + 1]], None) for i in done.tolist()]
+                yield _passed_batch(ids.take(pa.array(done)), done=(words.counts[done], shas))
+                if len(at):
+                    rank = np.cumsum(has) - 1
+                    row = words.row[at]
+                    number = ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+                    held.append((ids.take(pa.array(np.flatnonzero(has))), texts.take(pa.array(np.flatnonzero(has))), rank[row], number[row], (at - words.bounds[row]).astype(np.int32), one, two.astype(np.uint32), anchors))
+        if held:
+            yield from _ask(task, held, buckets)
+
+    passed = materialize(distinct.select(F.col("id_").cast("long").alias("id_"), "text_", "h1", "h2").mapInArrow(second, _PASSED_DDL), "windows")
+    sketch.unpersist()
+    asked = passed.where("what = 2").select("bucket", "task", "packed")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, task, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if bucket != now:
+                    yield from _decide(parts)
+                    now, parts = bucket, []
+                parts.append((task, packed))
+        yield from _decide(parts)
+
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "task int, packed binary")
+    waiting = passed.where("what = 1").select("task", F.lit(1).alias("what"), "id_", "text_", "sure", "begins", "entries", F.lit(None).cast("binary").alias("packed"))
+    told = answers.select("task", F.lit(0).alias("what"), F.lit(None).cast("long").alias("id_"), F.lit(None).cast("string").alias("text_"), *(F.lit(None).cast("array<int>").alias(c) for c in ("sure", "begins", "entries")), "packed")
+    streams = told.unionByName(waiting).repartition("task").sortWithinPartitions("task", "what")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, np.zeros(0, dtype=bool)
         for batch in batches:
-            begins = batch.column(2)
-            for low, high, words in text_groups(batch, "text_"):
-                n_removed, shas, ranges = [], [], []
-                body = words.raw.tobytes()
-                for i in range(high - low):
-                    n = int(words.counts[i])
-                    text_bytes = body[words.offsets[i] : words.offsets[i + 1]]
-                    own = begins[low + i]
-                    if not own.is_valid or len(own.values) == 0:
-                        n_removed.append(0)
-                        shas.append(_joined_sha(text_bytes, None))
-                        ranges.append([])
-                        continue
-                    at = np.sort(own.values.to_numpy())
-                    delta = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + window, -1)
-                    out = np.cumsum(delta[:-1]) > 0
-                    n_removed.append(int(out.sum()))
-                    shas.append(_joined_sha(text_bytes, out))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
-                    ranges.append([{"low": int(a), "high": int(b)} for a, b in zip(edges[::2], edges[1::2])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas), pa.array(ranges, ranges_type)], names=["id_", "n_words", "n_removed", "kept_sha256", "removed"]
-                )
-
-    return finished.unionByName(joined.mapInArrow(finish, out_ddl)).withColumnRenamed("id_", id_column)
+            tasks, what = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[dict] = []
+            for i, task in enumerate(tasks):
+                if task != now:
+                    now, gone = task, np.zeros(0, dtype=bool)
+                if what[i] == 0:
+                    entries = np.frombuffer(_unpack(batch.column(7)[i].as_py()), dtype=np.uint32)
+                    if len(entries) and entries.max() >= len(gone):
+                        gone = np.concatenate([gone, np.zeros(int(entries.max()) + 1 - len(gone), dtype=bool)])
+                    gone[entries] = True
+                    continue
+                sure, begins, entries = (batch.column(c)[i].values.to_numpy() for c in (4, 5, 6))
+                asked_for = entries < len(gone)
+                at = np.concatenate([sure, begins[asked_for][gone[entries[asked_for]]]])
+                out.append(_finished(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), at, window))
+            yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+
+    nothing = "cast(array() as array<struct<low: long, high: long>>)"
+    finished = passed.where("what = 0").select("id_", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.expr(nothing).alias("removed"))
+    # of a later copy everything goes, unless it is too short to hold a window
+    again = some.where("again").select(F.col("id_").cast("long").alias("id_"), "text_", word_count(F.col("text_")).alias("n_words")).withColumn("goes", F.col("n_words") >= window)
+    no_words = F.sha2(F.lit("").cast("binary"), 256)
+    kept = F.sha2(F.trim(F.regexp_replace("text_", r"[\x20\x09-\x0D]+", " ")).cast("binary"), 256)
+    again = again.select("id_", "n_words", F.when(F.col("goes"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("goes"), no_words).otherwise(kept).alias("kept_sha256"), F.when(F.col("goes"), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high")))).otherwise(F.expr(nothing)).alias("removed"))
+    return finished.unionByName(again).unionByName(streams.mapInArrow(finish, _OUT_DDL)).withColumnRenamed("id_", id_column)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
