@@ -50,7 +50,7 @@ def _fields(line: Column) -> Column:
 
 def _pairs(lines: DataFrame) -> DataFrame:
     parts = lines.where("length(trim(value)) > 0").select(_fields(F.col("value")).alias("p"))
-    return parts.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"))
+    return parts.select(F.col("p")[0].try_cast("long").alias("src"), F.col("p")[1].try_cast("long").alias("dst"))  # filters may be moved before that of comments
 
 
 def snap_meta(spark: SparkSession, path: str) -> Meta:
@@ -236,7 +236,7 @@ def read_dimacs(spark: SparkSession, path: str) -> FlowProblem:
     if not head:
         raise ValueError(f"{path}: no problem line")
     ends = {r["p"][2]: int(r["p"][1]) - 1 for r in lines.where(F.col("p")[0] == "n").collect()}  # two lines
-    arcs = lines.where(F.col("p")[0] == "a").select((F.col("p")[1].cast("long") - 1).alias("src"), (F.col("p")[2].cast("long") - 1).alias("dst"), F.col("p")[3].cast("int").alias("weight"))
+    arcs = lines.where(F.col("p")[0] == "a").select((F.col("p")[1].try_cast("long") - 1).alias("src"), (F.col("p")[2].try_cast("long") - 1).alias("dst"), F.col("p")[3].try_cast("int").alias("weight"))
     both = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("weight")))
     return FlowProblem(Graph(spark.range(int(head[0]["p"][2])), both, True), ends["s"], ends["t"])
 
