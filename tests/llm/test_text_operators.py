@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import random
+import string
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from pigmenta.llm.decontaminate import contamination, drop_contaminated
 from pigmenta.llm.lm import score_texts
 from pigmenta.llm.ngram_join import keep_one, linked_groups
-from pigmenta.llm.quality import QualityRules, keep_good, quality_report
+from pigmenta.llm.quality import QualityRules, _encoder, _in_band, fertility, judge, keep_good, quality_report
 from pigmenta.llm.substring_dedup import removed_words
 
 from . import brute
@@ -117,6 +122,36 @@ def test_fertility_of_very_long_runs():
     assert n > 1000 and chars > 1 and 0 <= partial <= 1
 
 
+PROSE = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(PROSE), reason="no tables")
+@pytest.mark.parametrize("lang", ["en", "fr", "de", "es"])
+def test_bands_do_not_fall_with_length(lang):
+    rules, rng = QualityRules(), random.Random(6)
+    texts = sorted(set(pq.read_table(PROSE, columns=["text"], filters=[("lang", "=", lang)])["text"].drop_null().to_pylist()))
+    good = judge(pa.array(texts), [lang] * len(texts), rules)["kept"]
+    sentences = [s for t, kept in zip(texts, good, strict=True) if kept and len(t) > 500 for s in t.split(". ")]
+    clean = ". ".join(rng.choice(sentences) for _ in range(4_000_000 * len(sentences) // sum(map(len, sentences))))
+    poor = " ".join(rng.choice("buy cheap pills online now best price here today".split()) for _ in range(400_000))
+    assert len(clean) > 3_000_000 < len(clean.encode())
+    for n in (20_000, 300_000, len(clean)):
+        assert _in_band(*fertility(clean[:n], rules, 100), rules.bands[lang])
+    for n in (2_000, 20_000, len(poor)):
+        assert fertility(poor[:n], rules, 100)[3] < rules.bands[lang].min_entropy_share
+
+
+def test_entropy_windows_cover_the_whole_text():
+    rules = QualityRules(entropy_window=64)
+    rng = random.Random(7)
+    text = " ".join(rng.choice(string.ascii_lowercase) for _ in range(30_000)) + " a" * 30_000
+    half, whole = fertility(text[:60_000], rules), fertility(text, rules)
+    assert whole[0] == 60_000 and whole[3] == pytest.approx(half[3] / 2, abs=0.01)
+    ids = _encoder(rules.tokenizer_dir, rules.vocabulary)[0].encode("one two two three three three")
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert fertility("one two two three three three", rules)[3] == pytest.approx(-(share * np.log2(share)).sum() / np.log2(len(ids)))
+
+
 ITEMS = [(1, "w1 w2"), (2, ""), (3, None), (10, "One, TWO!"), (2, "w5")]
 
 
