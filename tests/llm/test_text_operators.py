@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pigmenta.llm.decontaminate import contamination, drop_contaminated
 from pigmenta.llm.lm import score_texts
 from pigmenta.llm.ngram_join import keep_one, linked_groups
-from pigmenta.llm.quality import QualityRules, _encoder, _in_band, fertility, judge, keep_good, quality_report
+from pigmenta.llm.quality import QualityRules, _encoder, _in_band, fertility, judge, keep_good, quality_report, script_of
 from pigmenta.llm.substring_dedup import removed_words
 
 from . import brute
@@ -152,6 +152,54 @@ def test_entropy_windows_cover_the_whole_text():
     assert fertility("one two two three three three", rules)[3] == pytest.approx(-(share * np.log2(share)).sum() / np.log2(len(ids)))
 
 
+CLEAN = {
+    "hi": ("devanagari", "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं। सुबह बच्चे स्कूल जाते हैं और शाम को घर लौटकर अपने माता-पिता के साथ भोजन करते हैं। नदी के किनारे एक छोटा सा गाँव है।"),
+    "mr": ("devanagari", "सर्व मानवी व्यक्ती जन्मतः स्वतंत्र आहेत व त्यांना समान प्रतिष्ठा व समान अधिकार आहेत. त्यांना विचारशक्ती व सदसद्विवेकबुद्धी लाभलेली आहे व त्यांनी एकमेकांशी बंधुत्वाच्या भावनेने आचरण करावे."),
+    "ko": ("hangul", "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 오늘 아침에는 비가 내렸지만 오후가 되자 하늘이 맑아졌다. 아이들은 공원에서 뛰어놀고 어른들은 벤치에 앉아 이야기를 나누었다. 저녁에는 가족과 함께 식사를 하였다."),
+    "zh": ("han", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由,不分种族、肤色、性别、语言、宗教、政治或其他见解。 今天早上下了一场大雨,街道上到处都是积水。孩子们撑着雨伞走路去学校,老人坐在窗边喝茶看报纸。到了下午,天空终于放晴,大家都出来散步。"),
+    "ja": ("han", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。 今朝は雨が降っていましたが、午後になると空が晴れてきました。子供たちは公園で遊び、大人たちはベンチに座って話をしていました。"),
+    "th": ("thai", "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ"),
+    "ar": (None, "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق، وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء."),
+    "he": (None, "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה."),
+    "el": (None, "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης."),
+    "ru": (None, "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."),
+    "bn": ("bengali", "সমস্ত মানুষ স্বাধীনভাবে সমান মর্যাদা এবং অধিকার নিয়ে জন্মগ্রহণ করে। তাঁদের বিবেক এবং বুদ্ধি আছে; সুতরাং সকলেরই একে অপরের প্রতি ভ্রাতৃত্বসুলভ মনোভাব নিয়ে আচরণ করা উচিৎ।"),
+    "ta": ("tamil", "மனிதப் பிறிவியினர் சகலரும் சுதந்திரமாகவே பிறக்கின்றனர்; அவர்கள் மதிப்பிலும், உரிமைகளிலும் சமமானவர்கள், அவர்கள் நியாயத்தையும் மனச்சாட்சியையும் இயற்பண்பாகப் பெற்றவர்கள்."),
+    "te": ("telugu", "ప్రతిపత్తిస్వత్వముల విషయమున మానవులెల్లరును జన్మతః స్వతంత్రులును సమానులును నగుదురు. వారు వివేదనాంతఃకరణ సంపన్నులగుటచే పరస్పరము భ్రాతృభావముతో వర్తింపవలయును."),
+    "ka": ("georgian", "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით."),
+    "hy": ("armenian", "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։"),
+    "pl": (None, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."),
+    "vi": (None, "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu."),
+    "gu": ("gujarati", "પ્રતિષ્ઠા અને અધિકારોની દૃષ્ટિએ સર્વ માનવો જન્મથી સ્વતંત્ર અને સમાન હોય છે. તેમનામાં વિચારશક્તિ અને અંતઃકરણ હોય છે અને તેમણે પરસ્પર બંધુત્વની ભાવનાથી વર્તવું જોઇએ."),
+    "pa": ("gurmukhi", "ਸਾਰਾ ਮਨੁੱਖੀ ਪਰਿਵਾਰ ਆਪਣੀ ਮਹਿਮਾ, ਸ਼ਾਨ ਅਤੇ ਹੱਕਾਂ ਦੇ ਪੱਖੋਂ ਜਨਮ ਤੋਂ ਹੀ ਆਜ਼ਾਦ ਹੈ ਅਤੇ ਸੁਤੇ ਸਿੱਧ ਸਾਰੇ ਲੋਕ ਬਰਾਬਰ ਹਨ। ਉਨ੍ਹਾਂ ਸਭਨਾ ਨੂੰ ਤਰਕ ਅਤੇ ਜ਼ਮੀਰ ਦੀ ਸੌਗਾਤ ਮਿਲੀ ਹੋਈ ਹੈ।"),
+    "kn": ("kannada", "ಎಲ್ಲಾ ಮಾನವರೂ ಸ್ವತಂತ್ರರಾಗಿಯೇ ಜನಿಸಿದ್ದಾರೆ. ಹಾಗೂ ಘನತೆ ಮತ್ತು ಹಕ್ಕುಗಳಲ್ಲಿ ಸಮಾನರಾಗಿದ್ದಾರೆ. ವಿವೇಕ ಮತ್ತು ಅಂತಃಕರಣಗಳನ್ನು ಪಡೆದವರಾದ್ದರಿಂದ ಅವರು ಪರಸ್ಪರ ಸಹೋದರ ಭಾವದಿಂದ ವರ್ತಿಸಬೇಕು."),
+    "ml": ("malayalam", "മനുഷ്യരെല്ലാവരും തുല്യാവകാശങ്ങളോടും അന്തസ്സോടും സ്വാതന്ത്ര്യത്തോടുംകൂടി ജനിച്ചവരാണ്. അന്യോന്യം ഭ്രാതൃഭാവത്തോടെ പെരുമാറുവാനാണ് മനുഷ്യന് വിവേകബുദ്ധിയും മനസ്സാക്ഷിയും സിദ്ധമായിരിക്കുന്നത്."),
+    "am": ("ethiopic", "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።"),
+    "km": ("khmer", "មនុស្សទាំងអស់ កើតមកមានសេរីភាព និងសមភាព ក្នុងផ្នែកសេចក្ដីថ្លៃថ្នូរនិងសិទ្ធិ។ មនុស្ស មានវិចារណញ្ញាណនិងសតិសម្បជញ្ញៈជាប់ពីកំណើត ហើយគប្បីប្រព្រឹត្ដចំពោះគ្នាទៅវិញទៅមក ក្នុងស្មារតីភាតរភាពជាបងប្អូន។"),
+    "lo": ("lao", "ມະນຸດທຸກຄົນເກີດມາມີສິດເສລີພາບ ແລະ ສະເໝີໜ້າກັນໃນທາງກຽດຕິສັກ ແລະ ທາງສິດ."),
+    "my": ("myanmar", "လူတိုင်းသည် တူညီ လွတ်လပ်သော ဂုဏ်သိက္ခာဖြင့် လည်းကောင်း၊ တူညီလွတ်လပ်သော အခွင့်အရေးများဖြင့် လည်းကောင်း၊ မွေးဖွားလာသူများ ဖြစ်သည်။"),
+    "si": ("sinhala", "සියලු මනුෂ්‍යයෝ නිදහස්ව උපත ලබා ඇත. ගරුත්වයෙන් හා අයිතිවාසිකම්වලින් සමාන වෙති. යුක්ති අයුක්ති පිළිබඳ හැඟීමෙන් හා හෘදය සාක්ෂියෙන් යුත් ඔවුන් එකිනෙකා වෙත සහෝදරත්වයේ හැඟීමෙන් ක්‍රියා කළ යුතුය."),
+}
+
+
+@pytest.mark.parametrize("lang", CLEAN)
+def test_clean_text_of_each_script_is_in_band(lang):
+    script, text = CLEAN[lang]
+    rules = QualityRules()
+    assert script_of(text) == script and script_of("") is script_of("plain") is script_of("é ü 1 。") is None
+    numbers = fertility(text, rules, 100)
+    assert numbers[0] >= rules.min_tokens and _in_band(*numbers, rules.scripts.get(script, rules.default))
+
+
+def test_languages_without_a_band_are_judged_by_script():
+    rules = QualityRules()
+    hindi, korean = CLEAN["hi"][1], CLEAN["ko"][1]
+    found = judge(pa.array([hindi, hindi, korean, korean, hindi]), ["hi", None, "ko", "xx", "en"], rules)
+    assert found["kept"] == [True, True, True, True, False]  # a language's own band goes before
+    noise = "".join(chr(0x900 + i % 3) + " " for i in range(3000))
+    assert judge(pa.array([noise]), ["hi"], rules)["kept"] == [False]
+
+
 ITEMS = [(1, "w1 w2"), (2, ""), (3, None), (10, "One, TWO!"), (2, "w5")]
 
 
