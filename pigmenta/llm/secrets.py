@@ -1,7 +1,7 @@
 """Secret scan: known shapes, and sliding-window entropy over candidate strings.
 
 DataFrame functions only, and no shuffle. Candidates are runs of 20 or more
-characters of a class (hexadecimal, base 64). A window of ``WINDOW`` characters moves
+characters of a class (hexadecimal of one case, base 64). A window of ``WINDOW`` characters moves
 over each; the counts of its characters are updated by the one that enters and the
 one that leaves, and with them the sum that gives its Shannon entropy. A candidate
 whose best window reaches its class's threshold is a span, unless the allow-list
@@ -71,8 +71,8 @@ def _window_entropy(chars: Column, symbols: str) -> Column:
 
 def _entropic(span: Column) -> Column:
     word = span["word"]
-    chars = F.split(word, "")
-    high = F.when(word.rlike("^[0-9a-f]+$"), _window_entropy(chars, _HEX_SYMBOLS) >= _LEAST["hex"]).otherwise(_window_entropy(chars, _BASE64_SYMBOLS) >= _LEAST["base64"])
+    chars, lower = F.split(word, ""), F.split(F.lower(word), "")
+    high = F.when(word.rlike("^([0-9a-f]+|[0-9A-F]+)$"), _window_entropy(lower, _HEX_SYMBOLS) >= _LEAST["hex"]).otherwise(_window_entropy(chars, _BASE64_SYMBOLS) >= _LEAST["base64"])
     return F.when(word.rlike(ALLOW), F.lit(False)).otherwise(high)
 
 

@@ -105,6 +105,15 @@ def entropy(window):
     return -sum(n / len(window) * math.log2(n / len(window)) for n in Counter(window).values())
 
 
+def test_hexadecimal_of_either_case(spark):
+    rng = random.Random(4)
+    keys = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", *("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (20, 32, 40, 64) for _ in range(50))]
+    df = spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate([*map(str.lower, keys), *map(str.upper, keys), "DEAD" * 8, "0A" * 12])], "doc_id int, text string")
+    found = {r["doc_id"] for r in find_secrets(df).collect() if any(s["kind"] == "entropy" for s in r["found"])}
+    lower = {i for i in found if i < len(keys)}
+    assert len(lower) > 0.9 * len(keys) and {i - len(keys) for i in found - lower} == lower
+
+
 def test_entropy_by_incremental_counts(spark):
     from pigmenta.llm.secrets import WINDOW, _BASE64_SYMBOLS, _window_entropy
 
