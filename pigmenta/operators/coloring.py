@@ -16,7 +16,7 @@ from ..scratch import materialize
 from .order import dag
 
 
-def color_rounds(graph: Graph, keys: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+def color_rounds(graph: Graph, keys: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(id, color) for the order of ``keys``.
 
     A round colours every vertex whose neighbours before it have their colours, and sends
@@ -25,6 +25,7 @@ def color_rounds(graph: Graph, keys: DataFrame, most_rounds: int = 100_000) -> D
     can take (such a neighbour cannot take a colour that its own decided ones forbid,
     nor one above its number of neighbours before it). Each edge carries at most one
     colour message and one forbidden-colour check a round.
+    The first undecided vertex is decided in each round; ``most_rounds`` is as in ``speculate``.
     """
     before = materialize(dag(graph, keys), "dag")
     counts = before.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -32,9 +33,11 @@ def color_rounds(graph: Graph, keys: DataFrame, most_rounds: int = 100_000) -> D
     state = materialize(graph.vertices.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("int").alias("n"), F.coalesce("n", F.lit(0)).cast("int").alias("waits"), none.alias("taken")), "uncolored")
     open_edges = before
     colored: list[DataFrame] = []
-    for _ in range(most_rounds):
-        if not state.head(1):
-            break
+    rounds = 0
+    while state.head(1):
+        if rounds == most_rounds:
+            raise RuntimeError(f"vertices are left after {rounds} rounds")
+        rounds += 1
         # candidates: the first colour free of what is taken, and the last one possible
         lowest = state.select("id", "n", "waits", "taken", mex(F.col("taken")).alias("first"))
         rivals = open_edges.join(lowest.select(F.col("id").alias("higher"), F.col("n").alias("h_n"), F.col("taken").alias("h_taken")), "higher").join(lowest.select("id", "first"), "id")
@@ -57,19 +60,22 @@ def color_rounds(graph: Graph, keys: DataFrame, most_rounds: int = 100_000) -> D
     return out
 
 
-def speculate(graph: Graph, keys: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+def speculate(graph: Graph, keys: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(id, color): all vertices try at once, the later end of each conflict tries again.
 
     The result is proper but need not be that of the order. A vertex that keeps its colour
-    is final.
+    is final. Each round makes at least one final, so rounds go on until none is left; if
+    ``most_rounds`` are given and do not suffice, it raises.
     """
     edges = materialize(graph.edges.where("src != dst").distinct(), "conflicts")
     keys = materialize(keys, "keys")
     final = materialize(keys.select("id", F.lit(0).alias("color")).where("false"), "final")
     todo = keys.select("id")
-    for _ in range(most_rounds):
-        if not todo.head(1):
-            break
+    rounds = 0
+    while todo.head(1):
+        if rounds == most_rounds:
+            raise RuntimeError(f"vertices are left after {rounds} rounds")
+        rounds += 1
         used = edges.join(final.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("color").alias("taken"))
         tried = materialize(todo.join(used, "id", "left").select("id", mex(F.coalesce("taken", F.array().cast("array<int>"))).alias("color")), "tried")
         rated = tried.join(keys, "id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions import int_hash
 from pigmenta.graph import Graph
-from pigmenta.operators.coloring import color_rounds
+from pigmenta.operators.coloring import color_rounds, speculate
 from pigmenta.operators.degrees import degree_extremes, degree_stats, isolated, lower_triangle, symmetry
 from pigmenta.operators.local import Csr, dsatur, first_fit, hash32, peel_local, smallest_last
 from pigmenta.operators.order import keyed, ranked
@@ -54,6 +54,15 @@ def test_hand_made(spark, name):
         assert (found["uncolored"], found["conflicts"], found["colors_used"]) == (0, 0, best)
 
 
+@pytest.mark.parametrize("method", [speculate, color_rounds])
+def test_rounds_that_run_out_are_no_result(spark, method):
+    g = make(spark, list(itertools.combinations(range(5), 2)))
+    keys = keyed(g.degrees(), algorithm("natural").chain)
+    with pytest.raises(RuntimeError):
+        method(g, keys, most_rounds=2).collect()
+    assert sorted(colors_of(method(g, keys)).values()) == list(range(5))
+
+
 def test_crown(spark):
     pairs = [(2 * i, 2 * j + 1) for i in range(4) for j in range(4) if i != j]
     g = make(spark, pairs)
