@@ -12,52 +12,100 @@ from pyspark.sql import functions as F
 
 from ..functions import mex
 from ..graph import Graph
-from ..scratch import materialize
+from ..scratch import drop_split, materialize, read_split, release, scratch_path, write_split
 from .order import dag
 
+#: Colours of one word of a set, and words; larger colours go to a list.
+_BITS, _WORDS = 60, 4
+_FULL, _SMALL = (1 << _BITS) - 1, _BITS * _WORDS
+_TAKEN = [f"taken{k}" for k in range(_WORDS)]
+_RIVAL = [f"rival{k}" for k in range(_WORDS)]
+_OPEN = ", ".join(["id long, n int, waits int", *(f"{w} long" for w in _TAKEN), "more array<int>"])
+_DONE = "id long, color int"
+
+
+def _word(color: str, k: int) -> str:
+    """The bit of a colour in the ``k``-th word, 0 if it is in another."""
+    return f"CASE WHEN {color} BETWEEN {k * _BITS} AND {(k + 1) * _BITS - 1} THEN shiftleft(1L, {color} - {k * _BITS}) ELSE 0L END"
+
+
+def _possible(k: int) -> str:
+    """The colours of the ``k``-th word that a vertex may still take: not taken, and at most ``n``."""
+    upto = f"CASE WHEN n >= {(k + 1) * _BITS - 1} THEN {_FULL}L WHEN n < {k * _BITS} THEN 0L ELSE shiftleft(1L, n - {k * _BITS} + 1) - 1 END"
+    return f"{upto} & ~{_TAKEN[k]}"
+
+
+def _first_free() -> str:
+    """The smallest colour that is not taken."""
+    free = [f"(~{w} & {_FULL}L)" for w in _TAKEN]
+    small = " ".join(f"WHEN {f} != 0 THEN bit_count(({f} & -{f}) - 1) + {k * _BITS}" for k, f in enumerate(free))
+    large = f"{_SMALL} + array_min(array_except(sequence(0, size(more)), transform(more, c -> c - {_SMALL})))"
+    return f"CAST(CASE {small} ELSE {large} END AS INT)"
+
+
+def _rivalled(color: str) -> str:
+    """Whether the sets of the rivals hold the colour; larger colours count as held."""
+    held = [f"({color} BETWEEN {k * _BITS} AND {(k + 1) * _BITS - 1} AND (shiftright({r}, {color} - {k * _BITS}) & 1L) = 1)" for k, r in enumerate(_RIVAL)]
+    return f"({color} >= {_SMALL} OR {' OR '.join(held)})"
+
+
+#: The steps of a round, as they do not change.
+_START = ["id", "CAST(coalesce(n, 0) AS INT) AS n", "CAST(coalesce(n, 0) AS INT) AS waits", *(f"0L AS {w}" for w in _TAKEN), "CAST(array() AS array<int>) AS more"]
+_OPEN_RIVALS = ["id AS higher", "CAST(NULL AS INT) AS color", *(f"{_possible(k)} AS {r}" for k, r in enumerate(_RIVAL))]
+_NEW_RIVALS = ["id AS higher", "color", *(f"0L AS {r}" for r in _RIVAL)]
+_TOLD = ["count(color) AS told", *(f"bit_or({_word('color', k)}) AS new{k}" for k in range(_WORDS)), f"collect_set(CASE WHEN color >= {_SMALL} THEN color END) AS larger", *(f"bit_or({r}) AS {r}" for r in _RIVAL)]
+_NOW = [
+    "id", "n", "CAST(waits - coalesce(told, 0) AS INT) AS waits", *(f"{w} | coalesce(new{k}, 0L) AS {w}" for k, w in enumerate(_TAKEN)),
+    "CASE WHEN size(coalesce(larger, array())) > 0 THEN array_union(more, larger) ELSE more END AS more", *(f"coalesce({r}, 0L) AS {r}" for r in _RIVAL),
+]
+_TRIED = ["id", "n", "waits", *_TAKEN, "more", "color", f"waits = 0 OR NOT {_rivalled('color')} AS done"]
+
 
 def color_rounds(graph: Graph, keys: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(id, color) for the order of ``keys``.
 
-    A round colours every vertex whose neighbours before it have their colours, and sends
-    the new colours to the neighbours after it. A vertex is also decided before that if
-    the colours it could still take begin with one that no undecided neighbour before it
-    can take (such a neighbour cannot take a colour that its own decided ones forbid,
-    nor one above its number of neighbours before it). Each edge carries at most one
-    colour message and one forbidden-colour check a round.
-    The first undecided vertex is decided in each round; ``most_rounds`` is as in ``speculate``.
+    A round colours every vertex whose neighbours before it have their colours. A vertex is
+    also decided before that if the first colour it could take is one that no undecided
+    neighbour before it can take: such a neighbour cannot take a colour that its own decided
+    ones forbid, nor one above its number of neighbours before it.
+
+    A vertex's state is a few words of bits, whatever its degree (colours beyond them go to a
+    list). A round is one job: the edges meet the states of their earlier ends, the words
+    are joined by OR for each vertex with partial aggregation, and the next states are written,
+    decided vertices apart. Edges of decided vertices are dropped as the rest halves. The first
+    undecided vertex is decided in each round; ``most_rounds`` is as in ``speculate``.
     """
-    before = materialize(dag(graph, keys), "dag")
-    counts = before.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    none = F.array().cast("array<int>")
-    state = materialize(graph.vertices.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("int").alias("n"), F.coalesce("n", F.lit(0)).cast("int").alias("waits"), none.alias("taken")), "uncolored")
-    open_edges = before
-    colored: list[DataFrame] = []
-    rounds = 0
-    while state.head(1):
+    spark = graph.vertices.sparkSession
+    root = scratch_path(spark, "colors")
+    edges = materialize(dag(graph, keys), "dag")
+    counts = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    start = graph.vertices.select("id").distinct().join(counts, "id", "left").selectExpr(*_START)
+    state, new, last, rounds, size = materialize(start, "uncolored"), None, None, 0, None
+    while True:
         if rounds == most_rounds:
             raise RuntimeError(f"vertices are left after {rounds} rounds")
+        rivals = state.selectExpr(*_OPEN_RIVALS)
+        if new is not None:
+            rivals = rivals.unionByName(new.selectExpr(*_NEW_RIVALS))
+        told = edges.join(rivals, "higher").groupBy("id").agg(*map(F.expr, _TOLD))
+        now = state.join(told, "id", "left").selectExpr(*_NOW)
+        tried = now.selectExpr("*", f"{_first_free()} AS color").selectExpr(*_TRIED)
+        path = f"{root}/round-{rounds}"
+        totals = write_split(tried, path, "done", left=F.count(F.when(~F.col("done"), 1)), every=F.count(F.lit(1)))
+        if last is not None:
+            drop_split(spark, last, "done", False)
         rounds += 1
-        # candidates: the first colour free of what is taken, and the last one possible
-        lowest = state.select("id", "n", "waits", "taken", mex(F.col("taken")).alias("first"))
-        rivals = open_edges.join(lowest.select(F.col("id").alias("higher"), F.col("n").alias("h_n"), F.col("taken").alias("h_taken")), "higher").join(lowest.select("id", "first"), "id")
-        may = (F.col("first") <= F.col("h_n")) & ~F.array_contains("h_taken", F.col("first"))
-        blocked = rivals.groupBy("id").agg(F.max(may).alias("blocked"))
-        tried = lowest.join(blocked, "id", "left")
-        sure = (F.col("waits") == 0) | ~F.coalesce("blocked", F.lit(True))
-        new = materialize(tried.where(sure).select("id", F.col("first").alias("color")), "colored")
-        colored.append(new)
-        told = open_edges.join(new.withColumnsRenamed({"id": "higher"}), "higher").groupBy("id").agg(F.collect_set("color").alias("more"), F.count(F.lit(1)).alias("told"))
-        rest = state.join(new.select("id"), "id", "left_anti").join(told, "id", "left")
-        state = materialize(rest.select("id", "n", (F.col("waits") - F.coalesce("told", F.lit(0))).cast("int").alias("waits"), F.array_union("taken", F.coalesce("more", none)).alias("taken")), "uncolored")
-        ids = state.select("id")
-        open_edges = materialize(open_edges.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "higher"), "higher", "left_semi"), "dag-left")
-    if not colored:
-        return state.select("id", F.lit(0).alias("color"))
-    out = colored[0]
-    for part in colored[1:]:
-        out = out.unionByName(part)
-    return out
+        if not totals["left"]:
+            break
+        last, size = path, size or totals["every"]
+        new, state = read_split(spark, path, "done", True, _DONE), read_split(spark, path, "done", False, _OPEN)
+        if totals["left"] * 2 < size:
+            before, edges = edges, materialize(edges.join(state.select("id"), "id", "left_semi"), "dag-left")
+            release(before)
+            size = totals["left"]
+    if not totals["every"]:
+        return spark.createDataFrame([], _DONE)
+    return read_split(spark, f"{root}/round-*", "done", True, _DONE)
 
 
 def speculate(graph: Graph, keys: DataFrame, most_rounds: int | None = None) -> DataFrame:

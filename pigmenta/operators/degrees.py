@@ -46,3 +46,11 @@ def symmetry(graph: Graph) -> DataFrame:
     loops = graph.edges.agg(F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("loops"), F.count(F.lit(1)).alias("degree_sum"))
     zero = graph.vertices.agg(F.coalesce(F.max((F.col("id") == 0)), F.lit(False)).alias("has_zero"))
     return one_way.join(loops).join(zero)  # three rows of one
+
+
+def graph_status(graph: Graph) -> DataFrame:
+    """One row: sizes, degree statistics and extremes, isolated vertices, loops, one-way edges."""
+    alone = isolated(graph).agg(F.count(F.lit(1)).alias("isolated"))
+    checks = symmetry(graph).select("one_way", "loops", "has_zero")
+    ends = degree_extremes(graph).select("max_id", "min_id")
+    return degree_stats(graph).join(ends).join(alone).join(checks)  # rows of one

@@ -1,7 +1,7 @@
 """Kernels for graphs that one task can hold, as numpy arrays.
 
 They give the results of the DataFrame operators. ``on_one`` runs a kernel over the
-edges as one group; its size is checked by the callers in ``plans``.
+edges as one group, whose size it counts first.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from ..functions import HASH_MULTIPLIER, LARGE_DEGREE
 from ..graph import Graph
 from .peel import RULES, Left, priority
 
+#: Vertices and directed edges that one task may hold.
+LOCAL_EDGES = 5_000_000
+
 
 def hash32(ids: np.ndarray) -> np.ndarray:
     x = ids.astype(np.uint64) & np.uint64(0xFFFFFFFF)
@@ -136,28 +139,35 @@ def dsatur(g: Csr) -> np.ndarray:
 
 
 def greedy_partition(g: Csr, parts: int) -> np.ndarray:
-    """One pass in id order: the part with most placed neighbours less its share of fullness; ties to the emptier."""
+    """One pass in id order: the part with most placed neighbours less its fullness, at most 1.
+
+    Ties go to the emptier part. If the winner is full, the vertex goes to the emptiest part.
+    """
     room = -(-g.n // parts)
-    count, part = [0] * parts, [-1] * g.n
+    count, part = np.zeros(parts, dtype=np.int64), np.full(g.n, -1, dtype=np.int64)
     for v in range(g.n):
-        near = [0] * parts
-        for u in g.neighbours(v).tolist():
-            if part[u] >= 0:
-                near[part[u]] += 1
-        best, best_score = -1, 0.0
-        for p in range(parts):
-            if count[p] >= room:
-                continue
-            score = near[p] - count[p] / room
-            if best < 0 or score > best_score + 1e-12 or (abs(score - best_score) <= 1e-12 and count[p] < count[best]):
-                best, best_score = p, score
+        beside = part[g.neighbours(v)]
+        score = np.bincount(beside[beside >= 0], minlength=parts) - np.minimum(count / room, 1.0)
+        top = np.flatnonzero(score > score.max() - 1e-12)
+        best = top[count[top].argmin()]
+        if count[best] >= room:
+            best = count.argmin()
         part[v] = best
         count[best] += 1
-    return np.array(part, dtype=np.int64)
+    return part
+
+
+def check_size(graph: Graph, what: str, most: int | None = None) -> None:
+    """Raise if the graph has more directed edges or vertices than one task may hold."""
+    most = LOCAL_EDGES if most is None else most
+    rows = graph.edges.select(F.lit(0)).limit(most + 1).unionAll(graph.vertices.select(F.lit(0)).limit(most + 1))
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"{what} runs in one task, which holds {most} vertices and edges at most")
 
 
-def on_one(graph: Graph, kernel: Callable[[Csr], pd.DataFrame], schema: str) -> DataFrame:
-    """Run a kernel over the whole graph in one task."""
+def on_one(graph: Graph, kernel: Callable[[Csr], pd.DataFrame], schema: str, what: str = "the local engine") -> DataFrame:
+    """Run a kernel over the whole graph in one task; raises beyond ``LOCAL_EDGES``."""
+    check_size(graph, what)
     rows = graph.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(graph.edges.select("src", "dst"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

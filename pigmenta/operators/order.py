@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import int_hash, is_large, signed32
 from ..graph import Graph
+from .numbering import numbered
 
 #: Chains of keys, most significant first; larger values are coloured first.
 CHAINS = {
@@ -16,14 +17,16 @@ CHAINS = {
     "large_degree": ("large", "deg", "hash", "id"),
     "natural": ("minus_id",),
     "degree_id": ("deg", "minus_id"),
+    "random": ("large", "pri", "deg", "random", "id"),
 }
 
 
-def keyed(vertices: DataFrame, chain: str, wrap: bool = False) -> DataFrame:
+def keyed(vertices: DataFrame, chain: str, wrap: bool = False, seed: int = 0) -> DataFrame:
     """(id, key): ``key`` is a struct whose larger values come first.
 
     ``vertices`` has id, deg and, for peeled orders, round, rdeg and pri. ``wrap`` reads a
-    priority as an unsigned 32-bit word, so one below zero is on top of its class.
+    priority as an unsigned 32-bit word, so one below zero is on top of its class. The
+    chain ``random`` breaks ties by a number drawn for the id and ``seed``.
     """
     deg = F.col("deg")
 
@@ -34,6 +37,8 @@ def keyed(vertices: DataFrame, chain: str, wrap: bool = False) -> DataFrame:
             return int_hash(F.col("id")).alias(name)
         if name == "hash_signed":
             return signed32(int_hash(F.col("id"))).alias(name)
+        if name == "random":
+            return F.xxhash64(F.lit(seed), F.col("id")).alias(name)
         if name == "minus_id":
             return (-F.col("id")).alias(name)
         if name == "pri" and wrap:
@@ -45,8 +50,8 @@ def keyed(vertices: DataFrame, chain: str, wrap: bool = False) -> DataFrame:
 
 
 def ranked(keys: DataFrame) -> DataFrame:
-    """(id, rk): 1 is coloured first. One window over all vertices: for reports, not for colouring."""
-    return keys.select("id", F.row_number().over(Window.orderBy(F.col("key").desc())).alias("rk"))
+    """(id, rk): 1 is coloured first."""
+    return numbered(keys, "rk", F.col("key").desc()).select("id", (F.col("rk") + 1).alias("rk"))
 
 
 def dag(graph: Graph, keys: DataFrame) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import LARGE_DEGREE, int_hash
+from ..functions import LARGE_DEGREE, int_hash, is_large
 from ..graph import Graph
-from ..scratch import materialize
-from .local import Csr, first_fit, greedy_partition, hash32, on_one, peel_local
+from ..scratch import materialize, release
+from .coloring import color_rounds
+from .local import LOCAL_EDGES, Csr, first_fit, greedy_partition, hash32, on_one, peel_local
+from .numbering import numbered
+from .peel import peel
 
 METHODS = ("round_robin", "random", "ldg", "lp")
 _ALIASES = {"rr": "round_robin", "rand": "random", "metis": "lp", "kahip": "lp", "mt_kahip": "lp", "mtkahip": "lp"}
@@ -30,44 +35,56 @@ def round_robin(graph: Graph, parts: int) -> DataFrame:
 
 
 def random_parts(graph: Graph, parts: int) -> DataFrame:
-    """Parts of equal size, give or take one, in the order of the ids' hashes."""
-    order = Window.orderBy(int_hash(F.col("id")), "id")
-    return graph.vertices.select("id", (F.ntile(parts).over(order) - 1).alias("part"))
+    """Parts of equal size, give or take one (the first ones are larger), in the order of the ids' hashes."""
+    rows = numbered(graph.vertices.select("id"), "at", int_hash(F.col("id")), F.col("id"))
+    size, larger = divmod(rows.count(), parts)
+    first = F.col("at") < larger * (size + 1)
+    part = F.when(first, F.floor(F.col("at") / (size + 1))).otherwise(larger + F.floor((F.col("at") - larger * (size + 1)) / max(size, 1)))
+    return rows.select("id", part.cast("int").alias("part"))
 
 
 def ldg(graph: Graph, parts: int) -> DataFrame:
-    """One greedy pass over the vertices in id order; sequential by definition, so one task."""
+    """One greedy pass over the vertices in id order; sequential by definition, so one task of a counted size."""
 
     def run(g: Csr) -> pd.DataFrame:
         return pd.DataFrame({"id": g.ids, "part": greedy_partition(g, parts).astype(np.int32)})
 
-    return on_one(graph, run, "id long, part int")
+    return on_one(graph, run, "id long, part int", "the greedy partition")
+
+
+#: Moves into a part are let in by strength, and those of one strength by this many groups of ids.
+_GROUPS = 256
 
 
 def label_propagation(graph: Graph, parts: int, rounds: int = 5, slack: float = 1.03) -> DataFrame:
     """Rounds of moves to the part with most neighbours, up to a capacity; DataFrame only, any size.
 
-    Moves into a part beyond its room are not made: the strongest go first.
+    Moves into a part beyond its room are not made. The strongest go first: moves are
+    counted by part, class of strength and group of ids, and whole groups are let in while
+    there is room, so only those counts are ordered. Between adjacent parts of like pull
+    half of the vertices move a round, else neighbours swap for ever.
     """
     edges = materialize(graph.edges.where("src != dst"), "lp-edges")
-    now = materialize(graph.vertices.select("id", F.pmod(int_hash(F.col("id")), F.lit(parts)).cast("int").alias("part")), "lp")
-    total = now.count()
-    room = int(-(-total * slack // parts))
+    now = materialize(random_parts(graph, parts), "lp")
+    room = int(-(-now.count() * slack // parts))
     for i in range(rounds):
         near = edges.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "part").agg(F.count(F.lit(1)).alias("n"))
-        best = near.groupBy("id").agg(F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("b")).select("id", (-F.col("b.p")).alias("goal"), F.col("b.n").alias("gain"))
-        # only one half of the vertices moves a round, else neighbours swap for ever
-        wish = now.join(best, "id", "left").withColumn("move", F.coalesce((F.col("goal") != F.col("part")) & (F.pmod(int_hash(F.col("id") + i), F.lit(2)) == 0), F.lit(False)))
-        # room left in each part, a table of `parts` rows
-        free = now.groupBy("part").agg((F.lit(room) - F.count(F.lit(1))).alias("free")).withColumnRenamed("part", "goal")
-        rank = Window.partitionBy("goal", "move").orderBy(F.col("gain").desc(), "id")
-        moved = wish.withColumn("rank", F.row_number().over(rank)).join(free, "goal", "left")
-        ok = F.col("move") & (F.col("rank") <= F.coalesce("free", F.lit(room)))
-        now = materialize(moved.select("id", F.when(ok, F.col("goal")).otherwise(F.col("part")).cast("int").alias("part")), "lp")
+        pull = near.join(now.withColumnRenamed("part", "own"), "id").groupBy("id").agg(F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("b"), F.coalesce(F.max(F.when(F.col("part") == F.col("own"), F.col("n"))), F.lit(0)).alias("stay"), F.first("own").alias("own"))
+        moves = pull.where((-F.col("b.p") != F.col("own")) & (F.col("b.n") > F.col("stay")) & (F.pmod(int_hash(F.col("id") + i), F.lit(2)) == 0))
+        strength = F.floor(F.log2((F.col("b.n") - F.col("stay")).cast("double")) * 4).cast("int")
+        moves = materialize(moves.select("id", (-F.col("b.p")).cast("int").alias("goal"), strength.alias("strength"), F.pmod(F.xxhash64("id"), F.lit(_GROUPS)).cast("int").alias("group")), "lp-moves")
+        free = now.groupBy(F.col("part").alias("goal")).agg((F.lit(room) - F.count(F.lit(1))).alias("free"))
+        first = Window.partitionBy("goal").orderBy(F.col("strength").desc(), "group")
+        counts = moves.groupBy("goal", "strength", "group").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(first))
+        let_in = counts.join(free, "goal", "left").where(F.col("upto") <= F.coalesce("free", F.lit(room))).select("goal", "strength", "group")
+        goes = moves.join(let_in, ["goal", "strength", "group"], "left_semi").select("id", "goal")
+        last, now = now, materialize(now.join(goes, "id", "left").select("id", F.coalesce("goal", "part").alias("part")), "lp")
+        release(last, moves)
+    release(edges)
     return now
 
 
-def partition(graph: Graph, parts: int, method: str = "ldg") -> DataFrame:
+def partition(graph: Graph, parts: int, method: str = "lp") -> DataFrame:
     """(id, part) by the named method; one part needs none."""
     if parts < 1:
         raise ValueError("parts must be positive")
@@ -89,7 +106,7 @@ def boundary(graph: Graph, parts: DataFrame) -> DataFrame:
     return cut.select(F.col("src").alias("id")).unionByName(cut.select(F.col("dst").alias("id"))).distinct()
 
 
-def members(graph: Graph, parts: DataFrame, k: int, copies: str = "all") -> DataFrame:
+def members(graph: Graph, parts: DataFrame, k: int, copies: str = "halo") -> DataFrame:
     """(part, local_id, id, is_owned, is_boundary): each part's own vertices, then boundary copies.
 
     ``copies="all"`` adds every boundary vertex to every part; ``"halo"`` only those with
@@ -121,39 +138,54 @@ def _order(g: Csr, local: np.ndarray, at_boundary: np.ndarray, theta: int) -> np
     return np.lexsort(keys[::-1])[::-1]
 
 
-def color_boundary(graph: Graph, edge: DataFrame, theta: int) -> DataFrame:
-    """(id, color) of the boundary vertices within the graph that they induce."""
-    sub = Graph(edge, graph.edges.join(edge.withColumnRenamed("id", "src"), "src", "left_semi").join(edge.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+def boundary_graph(graph: Graph, edge: DataFrame) -> Graph:
+    """The graph that the boundary vertices induce, with their ids."""
+    ids = edge.select("id")
+    inner = graph.edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return Graph(ids, inner, graph.multigraph)
 
-    def run(g: Csr) -> pd.DataFrame:
-        local = np.arange(g.n)  # ids ascend
-        return pd.DataFrame({"id": g.ids, "color": first_fit(g, _order(g, local, np.ones(g.n, bool), theta)).astype(np.int32)})
 
-    return on_one(sub, run, "id long, color int")
+def color_boundary(graph: Graph, edge: DataFrame, theta: int) -> DataFrame:
+    """(id, color) of the boundary vertices within the graph that they induce, in distributed rounds.
+
+    Their order is: large, round, hash of the local id, local id; local ids ascend with ids.
+    """
+    sub = boundary_graph(graph, edge).stored("boundary")
+    local = numbered(sub.vertices, "local", F.col("id"))
+    rated = peel(sub, "rgp", theta).join(local, "id")
+    key = F.struct(is_large(F.col("deg")).alias("large"), F.col("pri").alias("pri"), int_hash(F.col("local")).alias("hash"), F.col("local").alias("local"))
+    return color_rounds(sub, materialize(rated.select("id", key.alias("key")), "keys")).select("id", "color")
 
 
-def color_parts(graph: Graph, parts: DataFrame, k: int, theta: int = 10, copies: str = "all") -> DataFrame:
-    """(id, part, color): the boundary is coloured first, then each part on its own around it.
+def color_parts(graph: Graph, parts: DataFrame, k: int, theta: int = 10, copies: str = "halo") -> DataFrame:
+    """(id, part, color, ms): the boundary is coloured first, then each part on its own around it.
 
     Interior vertices of different parts are never neighbours, so taking each part's own
-    vertices gives a proper colouring. One task holds one part and its copies.
+    vertices gives a proper colouring. One task holds one part and its copies, whose size is
+    counted first: a graph of any size takes as many parts as keep each below
+    ``LOCAL_EDGES``. ``ms`` is the time that the part's task took.
     """
     rows = materialize(members(graph, parts, k, copies), "members")
-    edge = rows.where("is_owned AND is_boundary").select("id")
+    edge = materialize(rows.where("is_owned AND is_boundary").select("id"), "edge")
     shared = color_boundary(graph, edge, theta).withColumnRenamed("color", "fixed")
+    inner = materialize(induced(graph, rows), "induced")
+    largest = inner.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > LOCAL_EDGES:
+        raise ValueError(f"a part has {largest} edges, one task holds {LOCAL_EDGES}: use more parts")
     vertices = rows.join(shared, "id", "left").select("part", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "local_id", "is_owned", "is_boundary", F.coalesce("fixed", F.lit(-1)).alias("fixed"))
-    edges = induced(graph, rows).select("part", "src", "dst", F.lit(0).alias("local_id"), F.lit(False).alias("is_owned"), F.lit(False).alias("is_boundary"), F.lit(-1).alias("fixed"))
+    edges = inner.select("part", "src", "dst", F.lit(0).alias("local_id"), F.lit(False).alias("is_owned"), F.lit(False).alias("is_boundary"), F.lit(-1).alias("fixed"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin = time.perf_counter()
         own = pdf[pdf["dst"].isna()].sort_values("src")
         pairs = pdf[pdf["dst"].notna()]
         g = Csr(own["src"].to_numpy(np.int64), pairs["src"].to_numpy(np.int64), pairs["dst"].to_numpy(np.int64))
         order = _order(g, own["local_id"].to_numpy(np.int64), own["is_boundary"].to_numpy(bool), theta)
         color = first_fit(g, order, own["fixed"].to_numpy(np.int64))
-        out = pd.DataFrame({"id": g.ids, "part": pdf["part"].iloc[0], "color": color})
+        out = pd.DataFrame({"id": g.ids, "part": pdf["part"].iloc[0], "color": color, "ms": 1e3 * (time.perf_counter() - begin)})
         return out[own["is_owned"].to_numpy(bool)]
 
-    return vertices.unionByName(edges).groupBy("part").applyInPandas(run, "id long, part int, color int")
+    return vertices.unionByName(edges).groupBy("part").applyInPandas(run, "id long, part int, color int, ms double")
 
 
 def part_edges(graph: Graph, parts: DataFrame) -> DataFrame:

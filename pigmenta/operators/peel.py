@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..scratch import materialize
+from ..scratch import drop_split, materialize, read_split, scratch_path, write_split
 
 
 @dataclass(frozen=True)
@@ -68,41 +68,55 @@ def priority(rule: Rule, theta: int, round_: object, rdeg: object, base: object)
     return round_ * (theta + 1) + (rdeg - base) + 1
 
 
-def _left(state: DataFrame) -> Left | None:
-    row = state.agg(F.count(F.lit(1)).alias("n"), F.sum("rdeg").alias("s"), F.min("rdeg").alias("m"), F.min("before").alias("b")).first()
-    return Left(row["n"], int(row["s"]), row["m"], row["b"]) if row["n"] else None
+_STATE = "id long, deg long, rdeg long, before long"
+_GONE = _STATE + ", theta double, round int"
+
+
+def _totals() -> dict[str, Column]:
+    stays = ~F.col("gone")
+    of = lambda f, c: f(F.when(stays, F.col(c)))
+    return {"n": F.count(F.when(stays, 1)), "s": of(F.sum, "rdeg"), "m": of(F.min, "rdeg"), "b": of(F.min, "before")}
+
+
+def _left(row: dict) -> Left:
+    return Left(row["n"], int(row["s"] or 0), row["m"], row["b"])
 
 
 def peel(graph: Graph, rule: str, theta: int = 0) -> DataFrame:
     """(id, deg, round, rdeg, theta, pri) of every vertex.
 
     ``round`` counts from 0, ``rdeg`` is the degree left when the vertex went, ``theta`` the
-    round's threshold without the margin. Each round joins the edges with the vertices
-    just removed only, and writes the vertices left to the shared folder; edges
-    between vertices gone are dropped as the graph halves.
+    round's threshold without the margin. A round is one job: it joins the edges with the
+    vertices that go, writes those that go and those that stay to two folders of the shared
+    store, and gathers the totals that the next threshold needs as it writes. Edges between
+    vertices gone are dropped as the graph halves. All rounds are read back as one table.
     """
     kind = RULES[rule]
     margin = theta if kind.margin else 0
-    state = materialize(graph.degrees().select("id", "deg", F.col("deg").alias("rdeg"), F.col("deg").alias("before")), "peel-0")
-    edges, size, gone, round_ = graph.edges, None, [], 0
-    while (left := _left(state)) is not None:
+    spark = graph.vertices.sparkSession
+    root = scratch_path(spark, f"peel-{rule}")
+    start = graph.degrees().select("id", "deg", F.col("deg").alias("rdeg"), F.col("deg").alias("before"), F.lit(0.0).alias("theta"), F.lit(False).alias("gone"))
+    left = _left(write_split(start, f"{root}/start", "gone", **_totals()))
+    if not left.n:
+        return spark.createDataFrame([], "id long, deg long, round int, rdeg long, theta double, pri long")
+    state, last = read_split(spark, f"{root}/start", "gone", False, _STATE), f"{root}/start"
+    edges, size, round_ = graph.edges.select("src", "dst"), left.n, 0
+    while left.n:
         base = kind.base(round_, left, theta)
         goes = F.col("rdeg") <= F.lit(float(base + margin))
-        removed = state.where(goes).select("id", "deg", F.lit(round_).alias("round"), "rdeg", F.lit(float(base)).alias("theta"))
-        removed = materialize(removed, f"peeled-{round_}")
-        gone.append(removed)
-        lost = edges.join(removed.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
-        state = state.where(~goes).join(lost, "id", "left").select("id", "deg", (F.col("rdeg") - F.coalesce("lost", F.lit(0))).alias("rdeg"), F.col("rdeg").alias("before"))
-        state = materialize(state, f"peel-{round_ + 1}")
-        size = size or left.n
-        if left.n * 2 < size:
-            ids = state.select("id")
-            edges = materialize(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges-left")
-            size = left.n
+        lost = edges.join(state.where(goes).select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
+        rest = F.when(goes, F.col("rdeg")).otherwise(F.col("rdeg") - F.coalesce("lost", F.lit(0)))
+        after = state.join(lost, "id", "left").select("id", "deg", rest.alias("rdeg"), F.col("rdeg").alias("before"), F.lit(float(base)).alias("theta"), goes.alias("gone"))
+        path = f"{root}/round={round_}"
+        left = _left(write_split(after, path, "gone", **_totals()))
+        drop_split(spark, last, "gone", False)
+        if left.n:
+            state, last = read_split(spark, path, "gone", False, _STATE), path
+            if left.n * 2 < size:
+                ids = state.select("id")
+                edges = materialize(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges-left")
+                size = left.n
         round_ += 1
-    if not gone:
-        return state.select("id", "deg", F.lit(0).alias("round"), "rdeg", F.lit(0.0).alias("theta"), F.lit(0).cast("long").alias("pri"))
-    out = gone[0]
-    for part in gone[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("pri", priority(kind, margin if rule != "rgp" else theta, F.col("round").cast("long"), F.col("rdeg"), F.col("theta").cast("long")).cast("long"))
+    out = read_split(spark, f"{root}/round=*", "gone", True, _GONE, root)
+    pri = priority(kind, margin if rule != "rgp" else theta, F.col("round").cast("long"), F.col("rdeg"), F.col("theta").cast("long"))
+    return out.select("id", "deg", "round", "rdeg", "theta", pri.cast("long").alias("pri"))

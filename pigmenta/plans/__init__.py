@@ -16,10 +16,7 @@ from ..operators.order import keyed
 from ..operators.partition import color_parts, partition
 from ..operators.peel import RULES, peel
 from ..scratch import materialize
-from .theta import linear_theta
-
-#: Directed edges up to which one task takes the whole graph; beyond it all loops are distributed.
-LOCAL_EDGES = 5_000_000
+from .theta import kernel_theta, linear_theta, read_vectors
 
 
 @dataclass(frozen=True)
@@ -49,35 +46,38 @@ ALGORITHMS = {
     "dsatur": Algorithm(kernel="dsatur"),
     "speculative": Algorithm(None, "large_degree", kernel="speculative"),
 }
-#: Other names, and the numbers of the command line.
-ALIASES = {"0": "sl_els", "1": "sl_els_sdc", "cusl_els": "sl_els", "cusl_els_sdc": "sl_els_sdc", "cusl": "jp_sl", "jp-sl": "jp_sl", "jp-adg": "jp_adg", "jp-sll": "jp_sll", "sdl": "smallest_last"}
+#: Other names.
+ALIASES = {"cusl_els": "sl_els", "cusl_els_sdc": "sl_els_sdc", "cusl": "jp_sl", "jp-sl": "jp_sl", "jp-adg": "jp_adg", "jp-sll": "jp_sll", "sdl": "smallest_last", "p_sl_els": "sl_els", "p_sl_els_sdc": "sl_els_sdc"}
+#: Numbers of the command lines, by family.
+NUMBERS = {"device": ("sl_els", "sl_els_sdc"), "jp": ("jp_sl", "jp_adg", "jp_sll")}
+ENGINES = ("dataframe", "local")
 
 
-def algorithm(name: str) -> Algorithm:
+def algorithm(name: str, family: str = "device") -> Algorithm:
+    """An algorithm by name, in any case, or by its number in a family."""
     key = str(name).lower()
+    if key.isdigit() and int(key) < len(NUMBERS[family]):
+        key = NUMBERS[family][int(key)]
     key = ALIASES.get(key, key)
     if key not in ALGORITHMS:
         raise ValueError(f"unknown algorithm: {name}; known: {', '.join(sorted(ALGORITHMS))}")
     return ALGORITHMS[key]
 
 
-def engine_for(graph: Graph, engine: str = "auto") -> str:
-    """``local`` where one task can hold the graph, by a count of its edges."""
-    if engine in ("local", "dataframe"):
-        return engine
-    if engine != "auto":
-        raise ValueError(f"unknown engine: {engine}")
-    return "local" if graph.edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES else "dataframe"
+def check_engine(engine: str) -> str:
+    if engine not in ENGINES:
+        raise ValueError(f"unknown engine: {engine}; known: {', '.join(ENGINES)}")
+    return engine
 
 
 _PEEL_DDL = "id long, deg long, round int, rdeg long, theta double, pri long"
 
 
-def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "auto") -> DataFrame:
+def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "dataframe") -> DataFrame:
     """(id, deg, round, rdeg, theta, pri) of a peeling rule, by either engine."""
     if rule not in RULES:
         raise ValueError(f"unknown rule: {rule}")
-    if engine_for(graph, engine) == "local":
+    if check_engine(engine) == "local":
         return on_one(graph, lambda g: peel_local(g, rule, theta), _PEEL_DDL)
     return peel(graph, rule, theta)
 
@@ -93,26 +93,50 @@ def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool) -> pd.DataFram
     return pd.DataFrame({"id": g.ids, "color": first_fit(g, order).astype(np.int32)})
 
 
-def color(graph: Graph, algorithm_name: str = "sl_els", theta: int | str = 0, engine: str = "auto", parts: int = 1, partitioner: str = "ldg", copies: str = "all", wrap: bool = False) -> DataFrame:
-    """(id, color) of every vertex.
+def margin(graph: Graph, theta: int | str, vectors: DataFrame | str | None = None) -> int:
+    """The elastic margin: a number, or what the ``"linear"`` or the ``"svr"`` model predicts.
 
-    ``theta`` is the elastic margin, or ``"linear"`` to predict it from the size of the
-    graph. With ``parts`` above 1 the graph is split, its boundary coloured first and the
-    parts on their own. Both engines give the same colours for one algorithm;
-    smallest-last and saturation are sequential and need the local one.
+    The kernel model's support vectors are a table (v, e, alpha) or the path of one.
     """
-    what = algorithm(algorithm_name)
+    if theta not in ("linear", "svr"):
+        return int(theta)
+    v, e = graph.vertices.count(), graph.edges.count() // 2
     if theta == "linear":
-        theta = linear_theta(graph.vertices.count(), graph.edges.count() // 2)
+        return linear_theta(v, e)
+    if vectors is None:
+        raise ValueError("the kernel model needs its support vectors")
+    return kernel_theta(v, e, read_vectors(graph.vertices.sparkSession, vectors) if isinstance(vectors, str) else vectors)
+
+
+def color(
+    graph: Graph, algorithm_name: str = "sl_els", theta: int | str = 0, engine: str = "dataframe", parts: int = 1, partitioner: str = "lp",
+    copies: str = "halo", wrap: bool = False, tie: str = "hash", seed: int = 0, vectors: DataFrame | str | None = None, family: str = "device",
+) -> DataFrame:
+    """(id, color) of every vertex.
+
+    ``theta`` is the elastic margin, or names a model of it (``margin``). With ``parts`` above 1
+    the graph is split, its boundary coloured first and the parts on their own. The
+    default engine is distributed throughout; ``local`` gives the same colours in one task, of
+    graphs whose counted size it can hold. Smallest-last and saturation are sequential by
+    definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash.
+    """
+    what = algorithm(algorithm_name, family)
+    check_engine(engine)
+    margin_ = margin(graph, theta, vectors)
+    if tie not in ("hash", "random"):
+        raise ValueError(f"unknown tie-break: {tie}")
     if parts > 1:
         stored = graph.stored()
         split = materialize(partition(stored, parts, partitioner), "parts")
-        return color_parts(stored, split, parts, int(theta), copies).select("id", "color")
+        return color_parts(stored, split, parts, margin_, copies).select("id", "color")
     if what.kernel == "speculative":
         return speculate(graph, keyed(graph.degrees(), what.chain))
-    if engine_for(graph, engine) == "local":
-        return on_one(graph, lambda g: _local_color(g, what, int(theta), wrap), "id long, color int")
-    if what.kernel:
-        raise ValueError(f"{algorithm_name} is sequential: use the local engine")
-    vertices = peel(graph, what.rule, int(theta)) if what.rule else graph.degrees()
-    return color_rounds(graph, materialize(keyed(vertices, what.chain, wrap), "keys")).select("id", F.col("color").cast("int").alias("color"))
+    if what.kernel or engine == "local" and tie == "hash":
+        return on_one(graph, lambda g: _local_color(g, what, margin_, wrap), "id long, color int", algorithm_name if what.kernel else "the local engine")
+    return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed)).select("id", "color")
+
+
+def order_keys(graph: Graph, what: Algorithm, theta: int, wrap: bool = False, tie: str = "hash", seed: int = 0) -> DataFrame:
+    """(id, key) of the vertices, by peeling rounds where the algorithm has a rule; stored."""
+    vertices = peel(graph, what.rule, theta) if what.rule else graph.degrees().withColumn("pri", F.lit(0).cast("long"))
+    return materialize(keyed(vertices, "random" if tie == "random" else what.chain, wrap, seed), "keys")

@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.verify import verify
 
-RUNS = "dataset string, algorithm string, theta int, parts int, run_idx int, color int, runtime_ms double, nodes long, edges long, ok boolean, error string"
+RUNS = "dataset string, algorithm string, theta int, parts int, partitioner string, run_idx int, color int, runtime_ms double, nodes long, edges long, ok boolean, error string"
 
 #: Lines of a run's log.
 PATTERNS = {
-    "nodes": r"Nodes:\s*(\d+)",
-    "edges": r"Edges:\s*(\d+)",
-    "theta": r"θ:\s*(\d+)",
-    "runtime_ms": r"runtime:\s*([0-9.]+)\s*ms",
-    "color": r"colors used:\s*(\d+)",
-    "iter_count": r"Iter count:\s*(\d+)",
+    "nodes": r"(?im)^Nodes:\s*(\d+)$",
+    "edges": r"(?im)^Edges:\s*(\d+)$",
+    "theta": r"(?im)^EGC\s*θ:\s*(\d+).*$",
+    "runtime_ms": r"(?i)runtime:\s*([0-9]+(?:\.[0-9]+)?)\s*ms",
+    "color": r"(?i)colors\s+used:\s*(\d+)",
+    "iter_count": r"(?i)Iter\s+count:\s*(\d+)",
+    "phase_1_ms": r"Phase 1 \(Boundary\+Preload\)\s*:\s*([\d.]+)\s*ms",
+    "phase_2_ms": r"Phase 2 \(Parallel Exec\)\s*:\s*([\d.]+)\s*ms",
+    "phase_3_ms": r"Phase 3 \(Result Merge\)\s*:\s*([\d.]+)\s*ms",
 }
-_TYPES = {"nodes": "long", "edges": "long", "theta": "int", "runtime_ms": "double", "color": "int", "iter_count": "int"}
+_TYPES = {"nodes": "long", "edges": "long", "theta": "int", "color": "int", "iter_count": "int"}
+#: A row of the table of devices: device, parts, time, most memory, memory.
+DEVICE_ROW = r"\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*([\d.]+)\s*\|\s*([\d.]+)\s*\|\s*([\d.]+)\s*\|"
+
+
+def _number(text: Column, kind: str) -> Column:
+    return F.when(F.length(text) > 0, text).try_cast(kind)
 
 
 def parse_logs(logs: DataFrame) -> DataFrame:
     """``logs`` (run, text) with the figures of each text; null where a line is missing."""
     found = {k: F.regexp_extract("text", p, 1) for k, p in PATTERNS.items()}
-    predicted = F.col("text").rlike(r"θ:\s*\d+\s*\(Predicted\)")
-    return logs.select("run", *(F.when(F.length(v) > 0, v).cast(_TYPES[k]).alias(k) for k, v in found.items()), predicted.alias("theta_predicted"))
+    predicted = F.col("text").rlike(r"(?im)^EGC\s*θ:\s*\d+\s*\(Predicted\)")
+    return logs.select("run", *(_number(v, _TYPES.get(k, "double")).alias(k) for k, v in found.items()), predicted.alias("theta_predicted"))
+
+
+def parse_devices(logs: DataFrame) -> DataFrame:
+    """(run, device, parts, exec_ms, max_mem_mb, total_mem_mb): the rows of each text's table of devices."""
+    rows = logs.select("run", F.explode(F.regexp_extract_all("text", F.lit(DEVICE_ROW), F.lit(0))).alias("row"))
+    names = (("device", "int"), ("parts", "int"), ("exec_ms", "double"), ("max_mem_mb", "double"), ("total_mem_mb", "double"))
+    return rows.select("run", *(_number(F.regexp_extract("row", DEVICE_ROW, i + 1), kind).alias(name) for i, (name, kind) in enumerate(names)))
 
 
 def best_runs(runs: DataFrame, by_runtime: bool = True) -> DataFrame:
@@ -39,23 +58,81 @@ def best_runs(runs: DataFrame, by_runtime: bool = True) -> DataFrame:
     return runs.where("color IS NOT NULL").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
 
 
-def measure(spark: SparkSession, graphs: dict[str, Graph], algorithms: Iterable[str], thetas: Iterable[int] = (0,), parts: Iterable[int] = (1,), partitioner: str = "ldg", repeats: int = 1) -> DataFrame:
-    """Run every combination and return one row a run; a run that fails is a row with its error."""
+T = TypeVar("T")
+
+
+def within(spark: SparkSession, seconds: float | None, work: Callable[[], T]) -> T:
+    """The result of ``work``; its Spark jobs are cancelled and ``TimeoutError`` is raised after ``seconds``."""
+    if seconds is None:
+        return work()
+    context, tag, late = spark.sparkContext, f"run-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    begin, timer = time.perf_counter(), threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        out = work()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"more than {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+    if time.perf_counter() - begin > seconds:
+        raise TimeoutError(f"more than {seconds} s")
+    return out
+
+
+def measure(
+    spark: SparkSession,
+    graphs: dict[str, Graph],
+    algorithms: Iterable[str],
+    thetas: Iterable[int] = (0,),
+    parts: Iterable[int] = (1,),
+    partitioners: Iterable[str] = ("lp",),
+    repeats: int = 1,
+    timeout: float | None = None,
+    skip_on_timeout: bool = False,
+    skip_dataset_on_timeout: bool = False,
+    stop_after_failure: bool = False,
+    **options: object,
+) -> DataFrame:
+    """Run every combination and return one row a run; a run that fails is a row with its error.
+
+    ``timeout`` ends a run after so many seconds. After one, ``skip_on_timeout`` leaves out the
+    other repeats of its combination, ``skip_dataset_on_timeout`` the rest of its dataset;
+    ``stop_after_failure`` leaves out the other repeats after any failure. ``options`` go to ``color``.
+    """
     from . import color
 
     rows = []
     for dataset, graph in graphs.items():
         nodes, edges = graph.vertices.count(), graph.edges.count() // 2
-        for name in algorithms:
-            for theta in thetas:
-                for k in parts:
-                    for i in range(repeats):
-                        begin = time.perf_counter()
-                        try:
-                            colors = color(graph, name, theta, parts=k, partitioner=partitioner)
-                            found = verify(graph, colors).first()
-                            good = not found["uncolored"] and not found["conflicts"]
-                            rows.append((dataset, name, theta, k, i, int(found["colors_used"]), 1e3 * (time.perf_counter() - begin), nodes, edges, good, None if good else "not proper"))
-                        except ValueError as error:
-                            rows.append((dataset, name, theta, k, i, None, None, nodes, edges, False, str(error)))
+        late = False
+        for name, theta, k, partitioner in ((a, t, k, p) for a in algorithms for t in thetas for k in parts for p in (partitioners if k > 1 else (None,))):
+            for i in range(repeats):
+                if late and skip_dataset_on_timeout:
+                    break
+                begin, key = time.perf_counter(), (dataset, name, theta, k, partitioner, i)
+                used, error = None, None
+
+                def run(name=name, theta=theta, k=k, partitioner=partitioner):
+                    return verify(graph, color(graph, name, theta, parts=k, partitioner=partitioner or "lp", **options)).first()
+
+                try:
+                    found = within(spark, timeout, run)
+                    used = int(found["colors_used"])
+                    error = "not proper" if found["uncolored"] or found["conflicts"] else None
+                except TimeoutError:
+                    error, late = "timeout", True
+                except Exception as failure:  # a run that fails is a result of the grid
+                    error = f"{type(failure).__name__}: {str(failure)[:500]}"
+                rows.append((*key, used, 1e3 * (time.perf_counter() - begin) if used is not None else None, nodes, edges, error is None, error))
+                if error == "timeout" and skip_on_timeout or error and stop_after_failure:
+                    break
     return spark.createDataFrame(rows, RUNS)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import int_hash
 from .graph import Graph
-from .operators import degrees, verify
+from .operators import degrees, flow, verify
+from .operators.numbering import dense_ids
 from .operators.order import dag, keyed
-from .operators.partition import boundary, cut_edges, members, part_edges, partition
+from .operators.partition import boundary, boundary_graph, color_boundary, cut_edges, members, part_edges, partition
 from .plans import color, priorities
 from .plans import experiments as ex
 from .plans import theta as th
-from .scratch import materialize
-from .sources.tables import GRAPHS
+from .scratch import materialize, scratch_path
+from .sources import files, writers
+from .sources.tables import GRAPHS, consecutive_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,20 +37,14 @@ def _edges(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir, name).edges
 
 
-def _peel(rule: str, theta: int, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return priorities(_stored(spark, sf_dir), rule, theta).select("id", "round", "rdeg", "theta", "pri")
+def _peel(rule: str, theta: int, engine: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priorities(_stored(spark, sf_dir), rule, theta, engine).select("id", "round", "rdeg", "theta", "pri")
 
 
 def _color(name: str, theta: int, engine: str, graph: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return color(_stored(spark, sf_dir, graph), name, theta, engine)
 
 
-def _checked(name: str, spark: SparkSession, sf_dir: str, graph: str = "g1", **options: object) -> DataFrame:
-    """What the check says of a colouring whose colours are not fixed by an order."""
-    g = _stored(spark, sf_dir, graph)
-    return verify.verify(g, materialize(color(g, name, **options), "colors")).select("n_vertices", "uncolored", "conflicts")
-
-
 def degree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).degrees()
 
@@ -77,9 +73,24 @@ def colors_used_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verify(g, materialize(color(g, "ldf"), "colors"))
 
 
-def triangle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _graph(spark, sf_dir)
-    return degrees.lower_triangle(Graph(g.vertices, g.edges.where("src > dst")))
+def broken_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check says of numbers that are no colouring, and of vertices without any."""
+    g = _stored(spark, sf_dir)
+    return verify.verify(g, g.vertices.where("id % 7 != 0").select("id", F.pmod("id", F.lit(5)).cast("int").alias("color")))
+
+
+def triangle_query(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw pairs, with loops and repeats, and those of one direction."""
+    pairs = consecutive_pairs(spark, sf_dir).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"))
+    if which == "below":
+        pairs = pairs.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    return degrees.lower_triangle(Graph(pairs.select(F.col("src").alias("id")).distinct(), pairs, True))
+
+
+def status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as vertices: some have no edge."""
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id")).distinct()
+    return degrees.graph_status(Graph(ids, _graph(spark, sf_dir, "g4").edges).stored("status"))
 
 
 def symmetry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,19 +119,145 @@ def cut_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(*_parts("rr", spark, sf_dir), 4)
+    return members(*_parts("rr", spark, sf_dir), 4, "all")
 
 
 def part_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_edges(*_parts("rr", spark, sf_dir))
 
 
+def propagated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label propagation keeps its capacity and cuts fewer edges than the random parts it starts from."""
+    g, parts = _parts("lp", spark, sf_dir)
+    room = int(-(-g.vertices.count() * 1.03 // 4))
+    cut = cut_edges(g, parts).agg(F.count(F.lit(1)).alias("cut"))
+    before = cut_edges(g, partition(g, 4, "random")).agg(F.count(F.lit(1)).alias("before"))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n_vertices"), F.max("n").alias("largest"))
+    return sizes.join(cut).join(before).select("parts", "n_vertices", (F.col("largest") <= room).alias("within_capacity"), (F.col("cut") < F.col("before")).alias("cuts_less"))
+
+
+def boundary_graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, parts = _parts("rr", spark, sf_dir)
+    return boundary_graph(g, boundary(g, parts)).edges
+
+
+def boundary_colors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, parts = _parts("rr", spark, sf_dir)
+    return color_boundary(g, materialize(boundary(g, parts), "edge"), 10)
+
+
+def part_colors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color(_stored(spark, sf_dir, "g4"), "sl_els_sdc", 10, parts=4, partitioner="rr", copies="all")
+
+
 def _rgp(method: str, copies: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _stored(spark, sf_dir, "g4")
     found = materialize(color(g, "sl_els_sdc", 10, parts=4, partitioner=method, copies=copies), "colors")
     return verify.verify(g, found).select("n_vertices", "uncolored", "conflicts")
 
 
+def _dense(spark: SparkSession, sf_dir: str) -> Graph:
+    """The part graph with ids 0 to n - 1, as files need them."""
+    g = _stored(spark, sf_dir)
+    ids = materialize(dense_ids(g.vertices), "dense")
+    left, right = (ids.select(F.col("id").alias(c), F.col("dense").alias(f"{c}_")) for c in ("src", "dst"))
+    edges = g.edges.join(left, "src").join(right, "dst").select(F.col("src_").alias("src"), F.col("dst_").alias("dst"))
+    return Graph(ids.select(F.col("dense").alias("id")), edges).stored("dense")
+
+
+def file_query(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a graph written as a file of the kind and read back."""
+    g, path = _dense(spark, sf_dir), f"{scratch_path(spark, 'files')}/g.{kind}"
+    if kind in ("egr", "bin"):
+        (writers.write_egr if kind == "egr" else writers.write_bin)(g, path)
+        return files.read_graph(spark, path).edges.select("src", "dst")
+    if kind == "mtx":
+        writers.write_matrix_market(g, path)
+        return files.read_graph(spark, path).edges
+    once = Graph(g.vertices, g.edges.where("src < dst"))
+    writers.write_snap(once, path)
+    return files.cached(spark, path).edges
+
+
+def weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, path = _dense(spark, sf_dir), f"{scratch_path(spark, 'files')}/w.egr"
+    writers.write_egr(Graph(g.vertices, g.edges.withColumn("weight", (F.col("src") * 3 + F.col("dst")).cast("int"))), path, weights=True)
+    return files.read_egr(spark, path).edges.select("src", "dst", "weight")
+
+
+def strict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and ids of a text file, checked, and its lines as they are."""
+    g, path = _dense(spark, sf_dir), scratch_path(spark, "strict")
+    writers.write_snap(Graph(g.vertices, g.edges.where("src < dst")), path)
+    meta = files.snap_meta(spark, path)
+    read = files.read_snap(spark, path, symmetrize=False, strict=True)
+    return read.edges.agg(F.count(F.lit(1)).alias("edges"), F.min("src").alias("low"), F.max("dst").alias("high")).select("*", F.lit(meta.nodes).cast("long").alias("header_nodes"), F.lit(meta.edges).cast("long").alias("header_edges"), F.lit(meta.zero_based).alias("zero_based"))
+
+
+def compact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a text file whose ids are numbered as they first occur; loops and repeats go."""
+    path = scratch_path(spark, "lines")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey").coalesce(1)
+    orders.select(F.concat_ws(" ", F.col("o_custkey"), (F.col("o_orderkey") * 37) % 977).alias("value")).write.text(path)
+    return files.read_snap(spark, path, simple=True, compact=True).edges
+
+
+def matrix_query(form: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a matrix written, read back and mirrored: sparse complex, or dense, by symmetry."""
+    path = f"{scratch_path(spark, 'matrix')}/m.mtx"
+    if form == "dense":
+        banner = files.Banner("array", "real", "skew-symmetric")
+        pairs = spark.range(40).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i")))).where("i > j")
+        entries, size = pairs.select("i", "j", (F.col("i") * 100.5 + F.col("j")).alias("re"), F.lit(0.0).alias("im")), 40
+    else:
+        banner, g = files.Banner("coordinate", "complex", "hermitian"), _dense(spark, sf_dir)
+        low = g.edges.where("src > dst")
+        entries, size = low.select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("src") / 4).alias("re"), (F.col("dst") / 8).alias("im")), g.vertices.count()
+    writers.write_matrix(entries, size, size, path, banner)
+    return files.read_matrix(spark, path).mirrored()
+
+
+def part_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the files of all parts, with their part."""
+    edges = materialize(part_edges(*_parts("rr", spark, sf_dir)), "part-edges")
+    paths = writers.write_parts(edges, f"{scratch_path(spark, 'parts')}", "g4")
+    read = [files.read_snap(spark, p, symmetrize=False).edges.withColumn("part", F.lit(int(p.rpartition("_")[2].removesuffix(".txt")) - 1)) for p in paths]
+    return reduce(DataFrame.unionByName, read).select("part", "src", "dst")
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> files.FlowProblem:
+    """From customers by region and nation to suppliers: a tree of arcs, written and read as a file."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nations = table("nation").select((F.col("n_nationkey") + 100).cast("long").alias("nation"), (F.col("n_regionkey") + 1).cast("long").alias("region"))
+    count = lambda name, key: table(name).groupBy((F.col(key) + 100).cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    customers = nations.join(count("customer", "c_nationkey"), "nation", "left").select("region", "nation", F.coalesce("n", F.lit(0)).alias("n"))
+    suppliers = nations.join(count("supplier", "s_nationkey"), "nation", "left").select("nation", F.coalesce("n", F.lit(0)).alias("n"))
+    arcs = customers.groupBy("region").agg(F.sum("n").alias("n")).select(F.lit(0).cast("long").alias("src"), F.col("region").alias("dst"), F.floor(F.col("n") * 2 / 3).cast("int").alias("weight"))
+    arcs = arcs.unionByName(customers.select(F.col("region").alias("src"), F.col("nation").alias("dst"), F.col("n").cast("int").alias("weight")))
+    arcs = arcs.unionByName(suppliers.select(F.col("nation").alias("src"), F.lit(1000).cast("long").alias("dst"), (F.col("n") * 9).cast("int").alias("weight")))
+    path = f"{scratch_path(spark, 'flow')}/f.max"
+    writers.write_dimacs(arcs, 1001, 0, 1000, path)
+    return files.read_dimacs(spark, path)
+
+
+def max_flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.max_flow(_flow(spark, sf_dir))
+
+
+def residual_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.residual(_flow(spark, sf_dir).graph.edges)
+
+
+def flow_vertices_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.describe(_flow(spark, sf_dir)).where("arcs > 0")
+
+
+def reachable_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that a chain of rising order keys reaches from the first one."""
+    edges = _stored(spark, sf_dir, "g4").edges.where("src < dst")
+    return flow.reachable(edges, edges.agg(F.min("src")).first()[0])
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small table of graphs: vertices and edges of the suppliers' nations, by nation."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey")
@@ -166,10 +303,31 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return th.quality(scored).select(*(F.round(c, 6).alias(c) for c in ("violation_ratio", "mse", "rmse", "r2")))
 
 
+def features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return th.features(_sizes(spark, sf_dir).unionByName(_sizes(spark, sf_dir).select((F.col("dataset") + 100).alias("dataset"), (F.col("e") * 3).alias("v"), F.col("v").alias("e"))))
+
+
+def _phase_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    device = lambda i: F.concat(F.lit(f"\n| {i}      | "), key % 5 + i, F.lit("               |          "), (key / 16 + i).cast("decimal(12,4)"), F.lit(" |              "), (key % 900).cast("decimal(8,2)"), F.lit(" |             24111.06 |"))
+    text = F.concat(F.lit("nodes: "), F.col("o_custkey"), F.lit("\n  Edges: 5\nColors  Used: "), key % 31, F.lit("\nPhase 1 (Boundary+Preload)    : "), (key / 4).cast("decimal(12,4)"), F.lit(" ms\nPhase 2 (Parallel Exec)       :     1.5000 ms"), F.when(key % 3 == 0, "\nPhase 3 (Result Merge)        :     0.2500 ms").otherwise(""), F.lit("\n| GPU ID | Partitions      | Exec Time (ms)   |"), device(0), F.when(key % 2 == 0, device(1)).otherwise(""))
+    return orders.select(key.alias("run"), text.alias("text"))
+
+
+def phase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.parse_logs(_phase_logs(spark, sf_dir)).select("run", "nodes", F.coalesce("edges", F.lit(-1)).cast("long").alias("edges"), "color", "phase_1_ms", "phase_2_ms", "phase_3_ms")
+
+
+def device_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.parse_devices(_phase_logs(spark, sf_dir))
+
+
 def log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     text = F.concat(F.lit("Nodes: "), F.col("o_custkey"), F.lit("\nEdges: "), F.col("o_orderkey"), F.lit("\nEGC θ: "), F.col("o_orderkey") % 13, F.when(F.col("o_orderkey") % 2 == 0, " (Predicted)").otherwise(""), F.lit("\nruntime: "), (F.col("o_orderkey") / 8).cast("decimal(10,3)"), F.lit(" ms\ncolors used: "), F.col("o_custkey") % 40, F.lit("\nIter count: "), F.col("o_orderkey") % 17)
-    return ex.parse_logs(orders.select(F.col("o_orderkey").alias("run"), text.alias("text")))
+    found = ex.parse_logs(orders.select(F.col("o_orderkey").alias("run"), text.alias("text")))
+    return found.drop("phase_1_ms", "phase_2_ms", "phase_3_ms")
 
 
 _RUNS_SQL = """runs as (select (o_custkey % 7)::int dataset, (o_orderkey % 3)::int algorithm, (o_orderkey % 20)::int theta, o_orderkey::int run_idx,
@@ -200,7 +358,7 @@ m as (select part, id, true is_owned, id in (select id from edge) is_boundary fr
 select part, (row_number() over (partition by part order by is_owned desc, id) - 1)::int as local_id, id, is_owned, is_boundary from m"""
 _CUT_SQL = f"""with {oracle.graph("g4")}, cut as (select src, dst, (src % 4)::int src_part, (dst % 4)::int dst_part from edges where src % 4 <> dst % 4)"""
 
-_RULES = (("sl_els", 0), ("sl_els", 3), ("sl_els", 10), ("sl_els_sdc", 3), ("sl_els_sdc", 10), ("jp_sl", 10), ("jp_sll", 0), ("jp_adg", 0), ("cpu_adg", 0), ("cpu_sl", 0), ("cpu_sll", 0))
+_RULES = (("sl_els", 0), ("sl_els", 3), ("sl_els", 10), ("sl_els_sdc", 3), ("sl_els_sdc", 10), ("rgp", 10), ("jp_sl", 10), ("jp_sll", 0), ("jp_adg", 0), ("cpu_adg", 0), ("cpu_sl", 0), ("cpu_sll", 0))
 _COLORS = (
     ("ldf", "ldf", None, "large_degree", 0), ("ecl", "ecl", None, "degree", 0), ("greedy_degree", "greedy", None, "degree_id", 0), ("natural", "natural", None, "natural", 0),
     ("sl_els_t0", "sl_els", "sl_els", "device", 0), ("sl_els_t10", "sl_els", "sl_els", "device", 10), ("sl_els_sdc_t3", "sl_els_sdc", "sl_els_sdc", "device", 3), ("sl_els_sdc_t10", "sl_els_sdc", "sl_els_sdc", "device", 10),
@@ -224,33 +382,73 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("degree_stats", lambda s, d: degrees.degree_stats(_graph(s, d)), f"with {g1} select count(*) as n_vertices, sum(d)::bigint as n_edges, avg(d) as avg_degree, stddev_pop(d) as std_degree, min(d) as min_degree, max(d) as max_degree from deg")
     add("degree_extremes", lambda s, d: degrees.degree_extremes(_graph(s, d)), f"with {g1} select (select v from deg order by d desc, v limit 1) as max_id, (select max(d) from deg) as max_degree, (select v from deg order by d, v limit 1) as min_id, (select min(d) from deg) as min_degree")
     add("isolated_vertices", isolated_query, f"with {oracle.graph('g4')} select distinct o_orderkey as id from orders where o_orderkey not in (select src from edges)")
-    add("lower_triangle", triangle_query, "select 0::bigint as upward, 0::bigint as repeated, true as is_lower_triangle")
+    add("graph_status", status_query, f"""with {oracle.graph('g4')}, d as (select o_orderkey id, coalesce(d, 0) d from (select distinct o_orderkey from orders) left join deg on v = o_orderkey)
+select count(*) as n_vertices, sum(d)::bigint as n_edges, avg(d) as avg_degree, stddev_pop(d) as std_degree, min(d) as min_degree, max(d) as max_degree,
+(select id from d order by d desc, id limit 1) as max_id, (select id from d order by d, id limit 1) as min_id, count(*) filter (where d = 0) as isolated, 0::bigint as one_way, 0::bigint as loops, bool_or(id = 0) as has_zero from d""")
+    raw = "raw as (select x.l_partkey src, y.l_partkey dst from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_linenumber + 1 = y.l_linenumber)"
+    triangle = "select coalesce(sum(n) filter (where dst >= src), 0)::bigint as upward, coalesce(sum(n - 1), 0)::bigint as repeated, coalesce(sum(n) filter (where dst >= src), 0) + coalesce(sum(n - 1), 0) = 0 as is_lower_triangle from (select src, dst, count(*) n from {} group by 1, 2)"
+    add("lower_triangle", partial(triangle_query, "raw"), f"with {raw} {triangle.format('raw')}")
+    add("lower_triangle_below", partial(triangle_query, "below"), f"with {raw} {triangle.format('(select distinct greatest(src, dst) src, least(src, dst) dst from raw where src <> dst)')}")
     add("symmetric_check", symmetry_query, f"with {g1} select (select count(*) from edges e where not exists (select 1 from edges r where r.src = e.dst and r.dst = e.src)) as one_way, (select count(*) from edges where src = dst) as loops, (select count(*) from edges) as degree_sum, exists (select 1 from deg where v = 0) as has_zero")
     add("int_hash", hash_query, "select id, xor(h2 >> 16, h2) as hash from (select id, " + oracle._X.format("h1") + " h2 from (select id, " + oracle._X.format("id") + " h1 from (select distinct o_orderkey id from orders)))")
     add("priority_dag_ldf", dag_query, f"with {g1}, {oracle.HASHED}, prio as (select v, row_number() over (order by {oracle.ORDERS['large_degree']}) rk from deg_h) select e.src as id, e.dst as higher from edges e join prio a on a.v = e.src join prio b on b.v = e.dst where b.rk < a.rk")
     for rule, theta in _RULES:
-        add(f"peel_{rule}_t{theta}", partial(_peel, rule, theta), oracle.peel_of("g1", rule, theta))
+        found = oracle.peel_of("g1", rule, theta)
+        add(f"peel_{rule}_t{theta}", partial(_peel, rule, theta, "dataframe"), found)
+        add(f"peel_{rule}_t{theta}_local", partial(_peel, rule, theta, "local"), found)
     for name, algorithm, rule, order, theta in _COLORS:
-        add(f"color_{name}", partial(_color, algorithm, theta, "auto", "g1"), oracle.color_of("g1", order, rule, theta))
-    add("color_dense_ldf", partial(_color, "ldf", 0, "auto", "g2"))
-    add("color_bipartite_sl_els_t10", partial(_color, "sl_els", 10, "auto", "g3"), oracle.color_of("g3", "device", "sl_els", 10))
+        found = oracle.color_of("g1", order, rule, theta)
+        add(f"color_{name}", partial(_color, algorithm, theta, "dataframe", "g1"), found)
+        add(f"color_{name}_local", partial(_color, algorithm, theta, "local", "g1"), found)
+    add("color_dense_ldf", partial(_color, "ldf", 0, "dataframe", "g2"), oracle.color_of("g2", "large_degree"))
+    add("color_bipartite_sl_els_t10", partial(_color, "sl_els", 10, "dataframe", "g3"), oracle.color_of("g3", "device", "sl_els", 10))
     add("color_rounds_sl_els_sdc_t10", partial(_color, "sl_els_sdc", 10, "dataframe", "g4"), oracle.color_of("g4", "device", "sl_els_sdc", 10))
-    for name in ("smallest_last", "dsatur", "speculative"):
-        add(f"color_{name}", partial(_checked, name), oracle.summary_of("g1"))
+    for name, found in (("smallest_last", oracle.smallest_last_of("g1")), ("dsatur", oracle.saturation_of("g1")), ("speculative", oracle.speculative_of("g1"))):
+        add(f"color_{name}", partial(_color, name, 0, "dataframe", "g1"), found)
     add("color_histogram", histogram_query, oracle.color_of("g1", "large_degree", select="select color::int as color, count(*) as n, 100.0 * sum(count(*)) over (order by color) / sum(count(*)) over () as cumulative_percent from k group by color qualify color < 16"))
     add("verify_ldf", colors_used_query, oracle.color_of("g1", "large_degree", select="select count(*) as n_vertices, 0::bigint as uncolored, max(color) + 1 as colors_used, 0::bigint as conflicts from k"))
+    add("verify_conflicts", broken_query, f"""with {g1}, c as (select v, (v % 5)::int c from deg where v % 7 <> 0)
+select (select count(*) from deg) as n_vertices, (select count(*) from deg where v % 7 = 0) as uncolored, (select max(c) + 1 from c)::bigint as colors_used,
+(select count(*) from edges join c a on a.v = src join c b on b.v = dst where src < dst and a.c = b.c) as conflicts""")
     add("partition_rr", partition_query, f"with {oracle.graph('g4')} select v as id, (v % 4)::int as part from deg")
     sizes = f"with {oracle.graph('g4')} select k::int as part, (select count(*) from deg) // 4 + (k < (select count(*) from deg) % 4)::int as n from range(4) t(k)"
     add("partition_random_sizes", partial(sizes_query, "random"), sizes)
-    add("partition_ldg_sizes", partial(sizes_query, "ldg"))
-    add("partition_lp_sizes", partial(sizes_query, "lp"))
+    add("partition_ldg", lambda s, d: _parts("ldg", s, d, "g1")[1], oracle.greedy_partition_of("g1", 4))
+    add("partition_ldg_sizes", partial(sizes_query, "ldg"), sizes)
+    add("partition_lp", propagated_query, f"with {oracle.graph('g4')} select 4::bigint as parts, count(*) as n_vertices, true as within_capacity, true as cuts_less from deg")
     add("boundary_rr", boundary_query, _CUT_SQL + " select src as id from cut union select dst from cut")
     add("cut_edges_rr", cut_query, _CUT_SQL + " select src_part, dst_part, count(*) as n from cut group by 1, 2")
     add("subgraph_members_rr", members_query, _MEMBERS_SQL)
     add("part_edges_rr", part_edges_query, f"with {oracle.graph('g4')}, ids as (select v, (v % 4)::int part, (row_number() over (partition by v % 4 order by v) - 1)::int lid from deg) select a.part, a.lid as src, b.lid as dst from edges e join ids a on a.v = e.src join ids b on b.v = e.dst and a.part = b.part where a.lid < b.lid")
-    for method in ("rr", "ldg", "random", "lp"):
+    add("boundary_graph_rr", boundary_graph_query, _CUT_SQL + ", edge as (select src v from cut) select src, dst from edges where src in (select v from edge) and dst in (select v from edge)")
+    add("color_boundary_rr4", boundary_colors_query, oracle.boundary_colors_of("g4", 4, 10))
+    add("color_rgp_rr4", part_colors_query, oracle.part_colors_of("g4", 4, 10))
+    for method in ("ldg", "random", "lp"):
         add(f"color_rgp_{method}4", partial(_rgp, method, "all"), oracle.summary_of("g4"))
-    add("color_rgp_halo4", partial(_rgp, "ldg", "halo"), oracle.summary_of("g4"))
+    add("color_rgp_halo4", partial(_rgp, "lp", "halo"), oracle.summary_of("g4"))
+    dense = f"with {g1}, ids as (select v, row_number() over (order by v) - 1 i from deg), dense as (select a.i src, b.i dst from edges join ids a on a.v = src join ids b on b.v = dst)"
+    for kind in ("egr", "bin", "txt"):
+        add(f"file_{kind}", partial(file_query, kind), f"{dense} select src, dst from dense")
+    add("file_mtx", partial(file_query, "mtx"), f"{dense} select src, dst from dense where src > dst")
+    add("file_egr_weights", weights_query, f"{dense} select src, dst, (src * 3 + dst)::int as weight from dense")
+    add("file_txt_strict", strict_query, f"{dense} select count(*) as edges, min(src) as low, max(dst) as high, (select count(*) from ids) as header_nodes, count(*) as header_edges, true as zero_based from dense where src < dst")
+    add("file_txt_compact", compact_query, """with l as (select o_custkey a, (o_orderkey * 37) % 977 b, row_number() over (order by o_orderkey) i from orders),
+ids as (select id, row_number() over (order by min(p)) - 1 c from (select a id, 2 * i p from l union all select b, 2 * i + 1 from l) group by id),
+p as (select distinct least(x.c, y.c) a, greatest(x.c, y.c) b from l join ids x on x.id = l.a join ids y on y.id = l.b where x.c <> y.c)
+select a as src, b as dst from p union all select b, a from p""")
+    add("matrix_hermitian", partial(matrix_query, "sparse"), f"{dense} select src as i, dst as j, greatest(src, dst) / 4 as re, case when src > dst then 1 else -1 end * least(src, dst) / 8 as im from dense")
+    add("matrix_dense_skew", partial(matrix_query, "dense"), "with p as (select i::bigint i, j::bigint j, i * 100.5 + j re from range(40) a(i), range(40) b(j) where i > j) select i, j, re::double as re, 0.0::double as im from p union all select j, i, -re::double, 0.0::double from p")
+    add("part_files_rr", part_files_query, f"with {oracle.graph('g4')}, ids as (select v, (v % 4)::int part, row_number() over (partition by v % 4 order by v) - 1 lid from deg) select a.part, a.lid as src, b.lid as dst from edges e join ids a on a.v = e.src join ids b on b.v = e.dst and a.part = b.part where a.lid < b.lid")
+    arcs = """n as (select n_nationkey + 100 nation, n_regionkey + 1 region, (select count(*) from customer where c_nationkey = n_nationkey) c, 9 * (select count(*) from supplier where s_nationkey = n_nationkey) s from nation),
+arcs as (select 0::bigint src, region::bigint dst, (sum(c) * 2 // 3)::bigint w from n group by region union all select region, nation, c from n union all select nation, 1000, s from n)"""
+    add("max_flow", max_flow_query, f"with {arcs}, r as (select least(sum(c) * 2 // 3, sum(least(c, s))) f from n group by region) select sum(f)::bigint as max_flow, sum(f) > 0 as has_path from r")
+    add("flow_residual", residual_query, f"with {arcs} select src, dst, w as residual, 0::bigint as back from arcs union all select dst, src, 0, w from arcs")
+    add("flow_vertices", flow_vertices_query, f"""with {arcs}, b as (select src, dst, w f, 0 r from arcs union all select dst, src, 0, w from arcs)
+select src as id, case src when 0 then 'source' when 1000 then 'sink' else 'inner' end as kind, sum(f)::bigint as out_room, sum(r)::bigint as in_room, count(*) as arcs from b group by src""")
+    add("flow_reachable", reachable_query, f"with recursive {oracle.graph('g4')}, r(id) as (select min(src) from edges union select dst from r join edges on src = id where dst > src) select id from r")
+    add("theta_features", features_query, f"with {_SIZES_SQL}, g as (select dataset, v, e from sizes union all select dataset + 100, 3 * e, v from sizes) select dataset, v::int as v, e::int as e, trunc(v / e)::int as ratio from g")
+    add("parse_phases", phase_query, "select o_orderkey as run, o_custkey as nodes, -1::bigint as edges, (o_orderkey % 31)::int as color, cast(cast(o_orderkey / 4 as decimal(12,4)) as double) as phase_1_ms, 1.5::double as phase_2_ms, case when o_orderkey % 3 = 0 then 0.25::double end as phase_3_ms from orders")
+    add("parse_devices", device_query, "select o_orderkey as run, i::int as device, (o_orderkey % 5 + i)::int as parts, cast(cast(o_orderkey / 16 + i as decimal(12,4)) as double) as exec_ms, (o_orderkey % 900)::double as max_mem_mb, 24111.06::double as total_mem_mb from orders, range(2) t(i) where i = 0 or o_orderkey % 2 = 0")
     add("theta_linear", theta_query, f"with {_SIZES_SQL} select dataset, v, e, round({_LINEAR_SQL})::int as theta from sizes")
     add("theta_kernel", kernel_query, f"with {_SIZES_SQL} select a.dataset, round(2.1715487363425177::double + sum((b.dataset - 4.5) / 5 * exp(-1e-6::double * (pow(a.v - b.v, 2) + pow(a.e - b.e, 2)))), 6) as score from sizes a, sizes b group by a.dataset")
     add("theta_labels", labels_query, _LABELS_SQL)

@@ -5,16 +5,18 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DEFAULT = "file:///tmp/checkpoints"
 _roots: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a local default only where it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``; a local default only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _LOCAL_DEFAULT
     root = f"{base.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
     if root not in _roots:
@@ -39,6 +41,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_split(df: DataFrame, path: str, flag: str, **totals: Column) -> dict[str, object]:
+    """Write ``df`` to ``path`` split by the boolean ``flag``, and return ``totals`` over it.
+
+    The totals are gathered while the rows are written, so a round of a loop is one job.
+    """
+    seen = Observation()
+    df.observe(seen, *(c.alias(k) for k, c in totals.items())).write.partitionBy(flag).parquet(path)
+    return seen.get
+
+
+def read_split(spark: SparkSession, path: str, flag: str, value: bool, ddl: str, base: str | None = None) -> DataFrame:
+    """The rows of ``write_split`` with that flag; ``path`` may be a pattern over rounds, whose folders below ``base`` are columns."""
+    reader = spark.read.schema(ddl) if base is None else spark.read.schema(ddl).option("basePath", base)
+    return reader.parquet(f"{path}/{flag}={str(value).lower()}")
+
+
+def drop_split(spark: SparkSession, path: str, flag: str, value: bool) -> None:
+    """Delete what nothing will read again of a round."""
+    _delete(spark, f"{path}/{flag}={str(value).lower()}")
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing will read again."""
     for df in tables:
@@ -59,6 +82,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark can open."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 @atexit.register
 def _cleanup() -> None:
     for root, spark in _roots.items():

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..scratch import materialize
+from ..operators.numbering import numbered
+from ..scratch import exists, materialize
 
 #: Edges of one range of a binary file.
 RANGE_EDGES = 4_000_000
@@ -48,9 +49,22 @@ def _fields(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
-def _pairs(lines: DataFrame) -> DataFrame:
-    parts = lines.where("length(trim(value)) > 0").select(_fields(F.col("value")).alias("p"))
-    return parts.select(F.col("p")[0].try_cast("long").alias("src"), F.col("p")[1].try_cast("long").alias("dst"))  # filters may be moved before that of comments
+def _pairs(lines: DataFrame, *more: str) -> DataFrame:
+    parts = lines.where("length(trim(value)) > 0").select(_fields(F.col("value")).alias("p"), *more)
+    return parts.select(F.col("p")[0].try_cast("long").alias("src"), F.col("p")[1].try_cast("long").alias("dst"), *more)  # filters may be moved before that of comments
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): the lines of text files; ``at`` is larger for later lines, however the files are cut."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("at"))
+
+
+def first_seen(pairs: DataFrame) -> DataFrame:
+    """(id, dense): the ids of (src, dst, at) numbered from 0 in the order in which they first occur."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("side")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("side")))).alias("e"), "at")
+    ids = ends.groupBy("e.id").agg(F.min(F.struct("at", "e.side")).alias("first")).where("id IS NOT NULL")
+    return numbered(ids, "dense", F.col("first")).select("id", "dense")
 
 
 def snap_meta(spark: SparkSession, path: str) -> Meta:
@@ -70,9 +84,18 @@ def read_snap(spark: SparkSession, path: str, symmetrize: bool = True, simple: b
 
     Lines stay as they are, repeated ones and loops too: a multigraph whose vertices are
     0 to the largest id. ``simple`` drops loops and repeats; ``compact`` numbers the ids
-    that occur in ascending order; ``strict`` checks ids and edges against the header.
+    that occur in the order of their first line, those of loops too; ``strict`` checks ids
+    and edges against the header.
     """
-    pairs = _pairs(spark.read.text(path).where(~F.col("value").startswith("#")))
+    pairs = _pairs(_lines(spark, path).where(~F.col("value").startswith("#")), "at")
+    if compact:
+        pairs = materialize(pairs.where("src IS NOT NULL AND dst IS NOT NULL"), "lines")
+        dense = materialize(first_seen(pairs), "ids")
+        ids = dense.select(F.col("dense").alias("id"))
+        pairs = pairs.join(dense.withColumnsRenamed({"id": "src", "dense": "s"}), "src").join(dense.withColumnsRenamed({"id": "dst", "dense": "d"}), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+        if simple and symmetrize:
+            return Graph.of_pairs(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), ids)
+    pairs = pairs.select("src", "dst")
     if strict:
         meta = snap_meta(spark, path)
         row = pairs.agg(F.count(F.lit(1)).alias("m"), F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high")).first()
@@ -80,35 +103,14 @@ def read_snap(spark: SparkSession, path: str, symmetrize: bool = True, simple: b
             raise ValueError(f"{path}: the header ({meta.nodes} nodes, {meta.edges} edges) does not agree with {row['m']} edges of ids {row['low']} to {row['high']}")
         return Graph(spark.range(meta.nodes), pairs, True)
     if simple:
-        pairs = pairs.where("src != dst").distinct() if not symmetrize else pairs
-    if compact:
-        ids = materialize(pairs.where("src != dst").select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ids")
-        dense = dense_ids(ids)
-        pairs = pairs.join(dense.withColumnsRenamed({"id": "src", "dense": "s"}), "src").join(dense.withColumnsRenamed({"id": "dst", "dense": "d"}), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
-    if simple and symmetrize:
-        return Graph.of_pairs(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), None if not compact else pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+        pairs = pairs.where("src != dst").distinct()
+        if symmetrize:
+            return Graph.of_pairs(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     high = pairs.agg(F.max(F.greatest("src", "dst"))).first()[0]
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if symmetrize else pairs
     return Graph(spark.range((high if high is not None else -1) + 1), both, True)
 
 
-def dense_ids(ids: DataFrame) -> DataFrame:
-    """(id, dense): 0, 1, 2 ... in ascending id, without a window over all ids.
-
-    Ranges of ids are numbered within, after the sizes of those before (one row a range).
-    """
-    parts = max(1, ids.sparkSession.sparkContext.defaultParallelism)
-    placed = materialize(ids.repartitionByRange(parts, "id").withColumn("p", F.spark_partition_id()), "ranges")
-    sizes = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
-    base, total = {}, 0
-    for p in sorted(sizes):
-        base[p], total = total, total + sizes[p]
-    from pyspark.sql import Window
-
-    bases = F.element_at(F.create_map(*(F.lit(x) for p in sorted(base) for x in (p, base[p]))), F.col("p")) if base else F.lit(0)
-    return placed.select("id", (F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1 + bases).cast("long").alias("dense"))
-
-
 def _ints(stream, at: int, n: int) -> np.ndarray:
     stream.seek(4 * at)
     body = stream.read(4 * n)
@@ -196,28 +198,84 @@ def parse_banner(line: str) -> Banner:
     return Banner(form, values, symmetry)
 
 
+@dataclass(frozen=True)
+class Matrix:
+    """``entries`` (i, j, re, im) from 0, each stored one once."""
+
+    banner: Banner
+    rows: int
+    columns: int
+    entries: DataFrame
+
+    def mirrored(self) -> DataFrame:
+        """The entries of the whole matrix: those below the diagonal also above it, by the symmetry."""
+        kind = self.banner.symmetry
+        if kind == "general":
+            return self.entries
+        sign = -1.0 if kind == "skew-symmetric" else 1.0
+        turn = -1.0 if kind in ("skew-symmetric", "hermitian") else 1.0
+        above = self.entries.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("re") * sign).alias("re"), (F.col("im") * turn).alias("im"))
+        return self.entries.unionByName(above)
+
+
+def _dense_place(k: Column, rows: int, symmetry: str) -> tuple[Column, Column]:
+    """Row and column of the ``k``-th value of a dense file, which goes column by column."""
+    if symmetry == "general":
+        return k % rows, F.floor(k / rows).cast("long")
+    below = 1 if symmetry == "skew-symmetric" else 0  # only what is below the diagonal is stored
+    m = rows - below
+    before = lambda j: j * m - F.floor(j * (j - 1) / 2).cast("long")
+    guess = F.floor((2 * m + 1 - F.sqrt(F.greatest(F.lit(0.0), F.lit(float((2 * m + 1) ** 2)) - 8.0 * k))) / 2).cast("long")
+    column = F.when(before(guess) > k, guess - 1).when(before(guess + 1) <= k, guess + 1).otherwise(guess)
+    return k - before(column) + column + below, column
+
+
+def read_matrix(spark: SparkSession, path: str) -> Matrix:
+    """A MatrixMarket file, coordinate or dense, with its values (1 where the banner is of patterns).
+
+    Values are complex (two numbers), real (one) or none; integer files are rejected, as are
+    files whose number of entries is not that of the size line, or whose banner no matrix has.
+    """
+    lines = _lines(spark, path)
+    banner = parse_banner(lines.agg(F.min_by("value", "at")).first()[0] or "")
+    if not banner.valid or banner.values == "integer":
+        raise ValueError(f"{path}: cannot read {banner.line()}")
+    body = materialize(lines.where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0)).select("value", "at"), "matrix")
+    size = body.agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at")).first()
+    if size["value"] is None:
+        raise ValueError(f"{path}: no size line")
+    numbers = [int(x) for x in size["value"].split()[:3]]
+    rest = numbered(body, "k", F.col("at")).where("k > 0").select(_fields(F.col("value")).alias("p"), (F.col("k") - 1).alias("k"))
+    rows, columns = numbers[:2]
+    sparse = banner.format == "coordinate"
+    if sparse:
+        i, j, first, expected = F.col("p")[0].try_cast("long") - 1, F.col("p")[1].try_cast("long") - 1, 2, numbers[2]
+    else:
+        i, j = _dense_place(F.col("k"), rows, banner.symmetry)
+        first, expected = 0, {"general": rows * columns, "skew-symmetric": rows * (rows - 1) // 2}.get(banner.symmetry, rows * (rows + 1) // 2)
+    value = lambda at: F.get("p", F.lit(at)).try_cast("double")
+    re_ = F.lit(1.0) if banner.values == "pattern" else value(first)
+    im = value(first + 1) if banner.values == "complex" else F.lit(0.0)
+    entries = rest.select(i.alias("i"), j.alias("j"), re_.alias("re"), im.alias("im"))
+    found = entries.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("i").isNull() | F.col("j").isNull() | F.col("re").isNull() | F.col("im").isNull() | ~F.col("i").between(0, rows - 1) | ~F.col("j").between(0, columns - 1), 1)).alias("bad")).first()
+    if found["n"] != expected or found["bad"]:
+        raise ValueError(f"{path}: {found['n']} entries, {found['bad']} of them wrong; the size line says {expected}")
+    return Matrix(banner, rows, columns, entries)
+
+
 def read_matrix_market(spark: SparkSession, path: str, lower_triangle: bool = True) -> Graph:
-    """Coordinate files with ids from 1. Each entry is an edge; values are read over.
+    """Coordinate files as graphs. Each entry is an edge; values are read over.
 
     Complex sparse matrices are rejected. ``lower_triangle`` asks for entries below the
-    diagonal only.
+    diagonal only; without it a symmetric file gives the edges of the whole matrix.
     """
-    lines = spark.read.text(path)
-    banner = parse_banner(lines.first()["value"])
-    if banner.format != "coordinate" or banner.values == "complex":
-        raise ValueError(f"only sparse matrices that are not complex are read: {banner.line()}")
-    body = lines.where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0))
-    rows, columns, entries = (int(x) for x in body.first()["value"].split()[:3])
-    # the size line is the first of the body: lines keep their order within a file
-    numbered = body.withColumn("at", F.monotonically_increasing_id())
-    first = numbered.agg(F.min("at")).first()[0]
-    pairs = _pairs(numbered.where(F.col("at") != first)).select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"))
-    found = pairs.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("src") <= F.col("dst"), 1)).alias("up")).first()
-    if found["n"] != entries:
-        raise ValueError(f"{path}: {found['n']} entries, the size line says {entries}")
-    if lower_triangle and found["up"]:
-        raise ValueError(f"{path}: {found['up']} entries on or above the diagonal")
-    return Graph(spark.range(max(rows, columns)), pairs, True)
+    matrix = read_matrix(spark, path)
+    if matrix.banner.format != "coordinate" or matrix.banner.values == "complex":
+        raise ValueError(f"only sparse matrices that are not complex are graphs: {matrix.banner.line()}")
+    pairs = (matrix.entries if lower_triangle else matrix.mirrored()).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    if lower_triangle and pairs.where("src <= dst").head(1):
+        raise ValueError(f"{path}: entries on or above the diagonal")
+    return Graph(spark.range(max(matrix.rows, matrix.columns)), pairs, True)
 
 
 @dataclass(frozen=True)
@@ -256,15 +314,17 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 
 def cached(spark: SparkSession, path: str, cache: str | None = None) -> Graph:
-    """The graph of a file, through a Parquet copy that is made and checked once."""
+    """The graph of a file, through a Parquet copy that is made and checked once.
+
+    The copy lies in any store that Spark can open, beside the file unless ``cache`` says where.
+    """
     base = cache or f"{path}.cache"
-    done = Path(base, "_SUCCESS")
-    if not done.exists():
+    if not exists(spark, f"{base}/checked"):
         graph = read_graph(spark, path)
         graph.vertices.write.mode("overwrite").parquet(f"{base}/vertices")
         graph.edges.select("src", "dst").write.mode("overwrite").parquet(f"{base}/edges")
         again = spark.read.parquet(f"{base}/edges")
         if again.exceptAll(graph.edges.select("src", "dst")).head(1) or graph.edges.select("src", "dst").exceptAll(again).head(1):
             raise ValueError(f"{base}: the copy does not agree with {path}")
-        done.touch()
+        spark.range(1).write.mode("overwrite").parquet(f"{base}/checked")
     return Graph(spark.read.parquet(f"{base}/vertices"), spark.read.parquet(f"{base}/edges"), True)

@@ -12,11 +12,16 @@ def _items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns)
 
 
-def consecutive_parts(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts on consecutive lines of one order."""
+def consecutive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): parts on consecutive lines of one order, as they occur."""
     x = _items(spark, sf_dir, "l_orderkey", "l_partkey", "l_linenumber")
     y = x.select("l_orderkey", F.col("l_partkey").alias("b"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
-    return Graph.of_pairs(x.join(y, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("a"), "b"))
+    return x.join(y, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("a"), "b")
+
+
+def consecutive_parts(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts on consecutive lines of one order."""
+    return Graph.of_pairs(consecutive_pairs(spark, sf_dir))
 
 
 def same_order_parts(spark: SparkSession, sf_dir: str) -> Graph:

@@ -1,7 +1,8 @@
 """Writers of graph files and of results.
 
 The binary formats and MatrixMarket are single files by definition: sorted rows are
-streamed through the driver, one partition at a time. Parquet is the engine's own sink.
+streamed through the driver, one partition at a time. Paths may name any store that
+pyarrow opens. Parquet is the engine's own sink.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ from ..graph import Graph
 from .files import Banner
 
 
+def _create(path: str):
+    """A binary stream to a new file, a local path or a URI."""
+    if "://" not in path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        return open(path, "wb")
+    fs, place = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(place)
+
+
 def _column(df: DataFrame, name: str) -> Iterator[np.ndarray]:
     """Values of a sorted frame in blocks."""
     block: list[int] = []
@@ -53,7 +65,7 @@ def write_egr(graph: Graph, path: str, weights: bool = False) -> None:
     """Binary CSR with sorted neighbours; weights from ``edges.weight`` (null: 0)."""
     nodes, edges, offsets = _index(graph)
     ordered = graph.edges.orderBy("src", "dst")
-    with open(path, "wb") as out:
+    with _create(path) as out:
         out.write(struct.pack("<ii", nodes, edges))
         for block in offsets:
             out.write(block.tobytes())
@@ -68,7 +80,7 @@ def write_egr(graph: Graph, path: str, weights: bool = False) -> None:
 def write_bin(graph: Graph, path: str) -> None:
     """Binary cache: sizes, sorted neighbours, index."""
     nodes, edges, offsets = _index(graph)
-    with open(path, "wb") as out:
+    with _create(path) as out:
         out.write(struct.pack("<iii", nodes, edges, edges))
         for block in _column(graph.edges.orderBy("src", "dst"), "dst"):
             out.write(block.tobytes())
@@ -76,29 +88,62 @@ def write_bin(graph: Graph, path: str) -> None:
             out.write(block.tobytes())
 
 
+def write_matrix(entries: DataFrame, rows: int, columns: int, path: str, banner: Banner | None = None) -> None:
+    """A MatrixMarket file of the entries (i, j, re, im), from 0: sparse, or dense column by column.
+
+    A dense file needs every value that its symmetry stores, once; nothing is filled in.
+    """
+    banner = banner or Banner("coordinate", "real", "general")
+    if not banner.valid:
+        raise ValueError(f"no matrix has the banner {banner.line()}")
+    sparse = banner.format == "coordinate"
+    order = ("i", "j") if sparse else ("j", "i")
+    n = entries.count()
+    whole = {"general": rows * columns, "skew-symmetric": rows * (rows - 1) // 2}.get(banner.symmetry, rows * (rows + 1) // 2)
+    if not sparse and n != whole:
+        raise ValueError(f"a dense file of {rows} by {columns} has {whole} values, not {n}")
+    number = (lambda x: str(int(x))) if banner.values == "integer" else lambda x: repr(float(x))
+    with _create(path) as out:
+        out.write(f"{banner.line()}\n{rows} {columns}{f' {n}' if sparse else ''}\n".encode())
+        for row in entries.orderBy(*order).toLocalIterator():
+            values = {"pattern": [], "complex": [number(row["re"]), number(row["im"])]}.get(banner.values) if banner.values in ("pattern", "complex") else [number(row["re"])]
+            out.write((" ".join([*([str(row["i"] + 1), str(row["j"] + 1)] if sparse else []), *values]) + "\n").encode())
+
+
 def write_matrix_market(graph: Graph, path: str) -> None:
     """Each edge to a smaller id as an entry of value 1."""
-    low = graph.edges.where("src > dst").select("src", "dst").orderBy("src", "dst")
-    n, m = graph.vertices.count(), low.count()
-    with open(path, "w") as out:
-        out.write(Banner("coordinate", "real", "general").line() + "\n")
-        out.write(f"{n} {n} {m}\n")
-        for row in low.toLocalIterator():
-            out.write(f"{row['src'] + 1} {row['dst'] + 1} 1\n")
+    low = graph.edges.where("src > dst").select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    n = graph.vertices.count()
+    write_matrix(low, n, n, path)
+
+
+def write_snap(graph: Graph, folder: str) -> None:
+    """Edge lines as text files, one a task, after a line with the sizes; any number of edges."""
+    n, m = graph.vertices.count(), graph.edges.count()
+    head = graph.vertices.sparkSession.range(1).select(F.lit(f"# Nodes: {n} Edges: {m}").alias("value"))
+    head.unionByName(graph.edges.select(F.concat_ws("\t", "src", "dst").alias("value"))).write.text(folder)
+
+
+def write_dimacs(edges: DataFrame, nodes: int, source: int, sink: int, path: str) -> None:
+    """A max-flow problem of arcs (src, dst, weight); ids from 1 in the file."""
+    m = edges.count()
+    with _create(path) as out:
+        out.write(f"p max {nodes} {m}\nn {source + 1} s\nn {sink + 1} t\n".encode())
+        for row in edges.orderBy("src", "dst", "weight").toLocalIterator():
+            out.write(f"a {row['src'] + 1} {row['dst'] + 1} {row['weight']}\n".encode())
 
 
 def write_parts(edges: DataFrame, folder: str, stem: str) -> list[str]:
     """One text file a part, ``<stem>_<part + 1>.txt``, from (part, src, dst) with local ids."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
     sizes = {r["part"]: (r["n"], r["m"]) for r in edges.groupBy("part").agg((F.max(F.greatest("src", "dst")) + 1).alias("n"), F.count(F.lit(1)).alias("m")).collect()}  # one row a part
     paths = []
     for part in sorted(sizes):
-        path = Path(folder, f"{stem}_{part + 1}.txt")
-        with open(path, "w") as out:
-            out.write(f"# Part {part + 1} of {stem}\n# Nodes: {sizes[part][0]} Edges: {sizes[part][1]}\n# FromNodeId\tToNodeId\n")
+        path = f"{folder}/{stem}_{part + 1}.txt"
+        with _create(path) as out:
+            out.write(f"# Part {part + 1} of {stem}\n# Nodes: {sizes[part][0]} Edges: {sizes[part][1]}\n# FromNodeId\tToNodeId\n".encode())
             for row in edges.where(F.col("part") == part).orderBy("src", "dst").toLocalIterator():
-                out.write(f"{row['src']}\t{row['dst']}\n")
-        paths.append(str(path))
+                out.write(f"{row['src']}\t{row['dst']}\n".encode())
+        paths.append(path)
     return paths
 
 

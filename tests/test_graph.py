@@ -12,12 +12,14 @@ from pigmenta.functions import int_hash
 from pigmenta.graph import Graph
 from pigmenta.operators.coloring import color_rounds, speculate
 from pigmenta.operators.degrees import degree_extremes, degree_stats, isolated, lower_triangle, symmetry
-from pigmenta.operators.local import Csr, dsatur, first_fit, hash32, peel_local, smallest_last
+from pigmenta.operators import local
+from pigmenta.operators.local import Csr, dsatur, first_fit, greedy_partition, hash32, peel_local, smallest_last
 from pigmenta.operators.order import keyed, ranked
 from pigmenta.operators.partition import boundary, members, parse_method, part_edges, partition
 from pigmenta.operators.peel import RULES, peel
 from pigmenta.operators.verify import histogram, throughput, verify
-from pigmenta.plans import ALGORITHMS, algorithm, color, engine_for, priorities
+from pigmenta.plans import ALGORITHMS, algorithm, check_engine, color, margin, priorities
+from pigmenta.plans.report import timed
 
 
 def make(spark, pairs, n=None, simple=True):
@@ -50,10 +52,23 @@ def test_hand_made(spark, name):
     pairs, n, best = HAND[name]
     g = make(spark, pairs, n)
     for which in ("smallest_last", "sl_els", "dsatur"):
-        found = verify(g, color(g, which)).first()
+        found = verify(g, color(g, which, engine="local")).first()
         assert (found["uncolored"], found["conflicts"], found["colors_used"]) == (0, 0, best)
 
 
+def test_many_colors(spark):
+    """More colours than the words of a state hold."""
+    pairs = list(itertools.combinations(range(250), 2))
+    g = make(spark, pairs)
+    assert sorted(colors_of(color(g, "natural", engine="local")).values()) == list(range(250))
+    state = spark.createDataFrame([(list(range(240)),), ([*range(60), *range(61, 250)],), ([0, 59],), ([],), (list(range(245)),)], "c array<int>")
+    from pigmenta.operators import coloring as c
+
+    words = [F.expr(f"aggregate(filter(c, x -> x BETWEEN {60 * k} AND {60 * k + 59}), 0L, (a, x) -> a | shiftleft(1L, x - {60 * k}))").alias(f"taken{k}") for k in range(4)]
+    rows = state.select(*words, F.expr("filter(c, x -> x >= 240)").alias("more")).select(F.expr(c._first_free()).alias("f")).collect()
+    assert [r["f"] for r in rows] == [240, 60, 1, 0, 245]
+
+
 @pytest.mark.parametrize("method", [speculate, color_rounds])
 def test_rounds_that_run_out_are_no_result(spark, method):
     g = make(spark, list(itertools.combinations(range(5), 2)))
@@ -66,7 +81,7 @@ def test_rounds_that_run_out_are_no_result(spark, method):
 def test_crown(spark):
     pairs = [(2 * i, 2 * j + 1) for i in range(4) for j in range(4) if i != j]
     g = make(spark, pairs)
-    assert verify(g, color(g, "natural")).first()["colors_used"] == 4
+    assert verify(g, color(g, "natural", engine="local")).first()["colors_used"] == 4
     assert verify(g, color(g, "dsatur")).first()["colors_used"] == 2
 
 
@@ -75,8 +90,9 @@ def test_multigraph_and_loops(spark):
     assert {r["id"]: r["deg"] for r in multi.degrees().collect()} == {0: 2, 1: 3, 2: 1}
     loop = make(spark, [(0, 0), (0, 1)], simple=False)
     assert {r["id"]: r["deg"] for r in loop.degrees().collect()} == {0: 3, 1: 1}
-    assert verify(loop, color(loop, "ldf")).first()["colors_used"] == 2
-    assert verify(loop, color(loop, "ldf"), loops_conflict=True).first()["conflicts"] == 1
+    colors = color(loop, "ldf").cache()
+    assert verify(loop, colors).first()["colors_used"] == 2
+    assert verify(loop, colors, loops_conflict=True).first()["conflicts"] == 1
 
 
 @pytest.fixture(scope="module")
@@ -86,23 +102,81 @@ def rough(spark):
     return make(spark, pairs).stored()
 
 
-@pytest.mark.parametrize("rule,theta", [(r, t) for r in sorted(RULES) for t in (0, 3)])
+@pytest.mark.parametrize("rule,theta", [*((r, 3) for r in sorted(RULES)), ("sl_els", 0)])
 def test_engines_peel_alike(rough, rule, theta):
     one = {tuple(r) for r in priorities(rough, rule, theta, "local").select("id", "deg", "round", "rdeg", "theta", "pri").collect()}
-    if theta == 3 or rule in ("sl_els", "cpu_adg"):
-        assert one == {tuple(r) for r in peel(rough, rule, theta).select("id", "deg", "round", "rdeg", "theta", "pri").collect()}
+    assert one == {tuple(r) for r in peel(rough, rule, theta).select("id", "deg", "round", "rdeg", "theta", "pri").collect()}
     assert len(one) == 60
 
 
-@pytest.mark.parametrize("name", ["sl_els", "ldf", "natural", "cpu_sll"])
+@pytest.mark.parametrize("name", ["sl_els", "cpu_sll"])
 def test_engines_color_alike(rough, name):
     assert colors_of(color(rough, name, 3, "local")) == colors_of(color(rough, name, 3, "dataframe"))
 
 
+def test_empty_graph(spark):
+    g = make(spark, [], 0)
+    assert color(g, "sl_els").collect() == [] and color(g, "sl_els", engine="local").collect() == []
+
+
+def test_random_ties(rough):
+    peeled = rough.degrees().withColumn("pri", F.lit(0))
+    one, again, other = ([r["id"] for r in ranked(keyed(peeled, "random", seed=n)).orderBy("rk").collect()] for n in (1, 1, 2))
+    assert one == again != other
+    assert verify(rough, color(rough, "ldf", tie="random", seed=1)).first()["conflicts"] == 0
+
+
+def test_one_task_has_a_bound(rough, monkeypatch):
+    monkeypatch.setattr(local, "LOCAL_EDGES", 50)
+    for run in (lambda: color(rough, "dsatur"), lambda: color(rough, "ldf", engine="local"), lambda: partition(rough, 3, "ldg")):
+        with pytest.raises(ValueError, match="one task"):
+            run()
+
+
+def test_greedy_partition_by_hand():
+    import numpy as np
+
+    rng = random.Random(3)
+    pairs = {(a, b) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(2600)) if a != b}
+    pairs |= {(b, a) for a, b in pairs}
+    g = Csr(np.arange(200), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    near = {v: [b for a, b in pairs if a == v] for v in range(200)}
+    part, count = {}, [0] * 4
+    for v in range(200):  # the rule, written out
+        scores = [sum(part.get(u) == p for u in near[v]) - min(1.0, count[p] / 50) for p in range(4)]
+        best = min(range(4), key=lambda p: (-round(scores[p], 9), count[p], p))
+        if count[best] >= 50:
+            best = min(range(4), key=lambda p: (count[p], p))
+        part[v] = best
+        count[best] += 1
+    assert greedy_partition(g, 4).tolist() == [part[v] for v in range(200)]
+
+
+def test_timed_runs(spark, rough):
+    from pigmenta.plans.experiments import parse_devices, parse_logs
+
+    run = timed(rough, "sl_els_sdc", 3)
+    assert run.proper and set(run.phases) == {"PA", "CA"} and run.rounds > 1
+    assert [r["phase"] for r in run.summary().collect()] == ["PA", "CA", "total"]
+    parts = timed(rough, "1", 3, parts=3, partitioner="rr")
+    assert parts.proper and len(parts.devices) == 3
+    logs = spark.createDataFrame([(1, run.log()), (2, parts.log())], "run int, text string")
+    found = {r["run"]: r for r in parse_logs(logs).collect()}
+    assert found[1]["color"] == run.colors_used and found[1]["iter_count"] == run.rounds and found[2]["phase_2_ms"] > 0
+    assert parse_devices(logs).count() == 3
+
+
+def test_margins_by_name(spark, rough):
+    vectors = spark.createDataFrame([(60.0, 500.0, 1.0)], "v double, e double, alpha double")
+    assert margin(rough, "linear") == 1 and margin(rough, 7) == 7 and margin(rough, "svr", vectors) == 3
+    with pytest.raises(ValueError):
+        margin(rough, "svr")
+
+
 @pytest.mark.parametrize("name", sorted(ALGORITHMS))
 def test_all_are_proper(rough, name):
     most = degree_stats(rough).first()["max_degree"]
-    found = verify(rough, color(rough, name, 2)).first()
+    found = verify(rough, color(rough, name, 2, "local")).first()
     assert (found["uncolored"], found["conflicts"]) == (0, 0) and found["colors_used"] <= most + 1
 
 
@@ -120,7 +194,7 @@ def test_rounds_are_first_fit(rough):
 
 
 def test_wrapped_priorities_stay_proper(rough):
-    found = verify(rough, color(rough, "sl_els", 0, wrap=True)).first()
+    found = verify(rough, color(rough, "sl_els", 0, "local", wrap=True)).first()
     assert (found["uncolored"], found["conflicts"]) == (0, 0)
 
 
@@ -169,8 +243,7 @@ def test_histogram(spark):
     assert throughput(2_000_000, 4_000_000, 2.0) == {"mnodes_per_s": 1.0, "medges_per_s": 2.0}
 
 
-@pytest.mark.parametrize("method", ["rr", "random", "ldg", "lp", "METIS"])
-@pytest.mark.parametrize("copies", ["all", "halo"])
+@pytest.mark.parametrize("method,copies", [("rr", "all"), ("ldg", "halo"), ("METIS", "halo")])
 def test_parts_are_proper(rough, method, copies):
     found = verify(rough, color(rough, "sl_els_sdc", 2, parts=3, partitioner=method, copies=copies)).first()
     assert (found["uncolored"], found["conflicts"]) == (0, 0)
@@ -181,8 +254,8 @@ def test_partitions(spark, rough):
         sizes = [r["count"] for r in partition(rough, 4, method).groupBy("part").count().collect()]
         assert sum(sizes) == 60 and max(sizes) <= 16
     assert {r["part"] for r in partition(rough, 1).collect()} == {0}
-    assert parse_method("KaHIP") == "lp"
-    for bad in (lambda: parse_method("none"), lambda: partition(rough, 0), lambda: algorithm("none"), lambda: engine_for(rough, "none")):
+    assert parse_method("KaHIP") == "lp" and algorithm("1", "jp") is ALGORITHMS["jp_adg"] and algorithm("2", "jp") is ALGORITHMS["jp_sll"]
+    for bad in (lambda: parse_method("none"), lambda: partition(rough, 0), lambda: algorithm("none"), lambda: check_engine("none")):
         with pytest.raises(ValueError):
             bad()
 
@@ -191,7 +264,7 @@ def test_boundary_and_members(spark):
     g = make(spark, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)])
     parts = spark.createDataFrame([(i, i // 3) for i in range(6)], "id long, part int")
     assert sorted(r["id"] for r in boundary(g, parts).collect()) == [2, 3]
-    rows = sorted(tuple(r) for r in members(g, parts, 2).collect())
+    rows = sorted(tuple(r) for r in members(g, parts, 2, "all").collect())
     assert rows == [(0, 0, 0, True, False), (0, 1, 1, True, False), (0, 2, 2, True, True), (0, 3, 3, False, True), (1, 0, 3, True, True), (1, 1, 4, True, False), (1, 2, 5, True, False), (1, 3, 2, False, True)]
     assert sorted(tuple(r) for r in part_edges(g, parts).collect()) == [(0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 2)]
 
