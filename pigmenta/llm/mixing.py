@@ -9,14 +9,17 @@ document at most; those are blocked again, level by level, until one is left for
 source, which is rounded at random. As documents of like size meet, the words taken
 come near the target, not only the number of documents.
 
-A block holds about ``BLOCK`` rows however large a source or class is. Mass is held in
+Rows that are equal in id, text and source are one unit: of their fractions together the
+whole copies go to as many of them, what is left is folded like a document's. So a block
+holds about ``BLOCK`` units however large a source, a class or a group of equal rows is. Mass is held in
 integers (2**40 is one copy), so sums are exact. The random draws are hashes of the
 documents met and the seed: reruns agree whatever the partitioning.
 
 Defined cases: null and empty texts have size 0 and are folded like any others (they
 take 0 words); a null source is a source of its own, last; a source whose size is 0 has
-target 0; null ids are rows like others; repeated rows are rounded each for itself;
-an empty table gives an empty table; extra columns are not looked at.
+target 0; null ids are rows like others; repeated rows share what they are due, each
+taking the whole part or one copy more; an empty table gives an empty table; extra
+columns are not looked at, and may have any names.
 """
 
 from __future__ import annotations
@@ -27,11 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .names import fresh, quoted, row_key
 
 ONE = 1 << 40
 BLOCK = 64
 _CLASSES_PER_OCTAVE = 4
-_UNIT = "struct<size: long, spread: long, id: {id}, row: long, mass: long, base: long>"
+_UNIT = "struct<size: long, spread: long, id: {id}, row: long, mass: long, base: long, n: long, whole: long>"
+#: Repeated rows that one step writes out.
+_RUN = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -86,7 +92,7 @@ def _fold(units: DataFrame, keys: list[str], level: int, seed: int, unit: str) -
     start = F.struct(none.alias("rest"), empty.alias("done"), F.lit(0).alias("turn"))
 
     def with_mass(u: Column, mass: Column) -> Column:
-        return F.struct(u["size"].alias("size"), u["spread"].alias("spread"), u["id"].alias("id"), u["row"].alias("row"), mass.cast("long").alias("mass"), u["base"].alias("base"))
+        return F.struct(u["size"].alias("size"), u["spread"].alias("spread"), u["id"].alias("id"), u["row"].alias("row"), mass.cast("long").alias("mass"), u["base"].alias("base"), u["n"].alias("n"), u["whole"].alias("whole"))
 
     def step(acc: Column, b: Column) -> Column:
         a, turn = acc["rest"], acc["turn"]
@@ -107,16 +113,17 @@ def _fold(units: DataFrame, keys: list[str], level: int, seed: int, unit: str) -
     return blocks.select(*keys, F.aggregate("members", start, step).alias("fold"))
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, row_key: Column | None = None) -> DataFrame:
+def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, key: Column | None = None) -> DataFrame:
     """One row per row of ``df``: (id, row, size, source_size, target, copies, taken).
 
-    ``row`` is ``row_key`` (a long), by default a hash of the id and the text; it names rows for a
+    ``row`` is ``key`` (a long), by default a hash of the id and the text; it names rows for a
     join back to ``df``.
     """
-    row = F.xxhash64(F.col(id_column), F.col(text).cast("string")) if row_key is None else row_key
-    sized = materialize(df.select(F.col(id_column).alias("id"), row.alias("row"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    row = F.xxhash64(F.col(id_column), F.col(text).cast("string")) if key is None else key
+    each = df.select(F.col(id_column).alias("id"), row.alias("row"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    sized = materialize(each.groupBy("id", "row", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     unit = _UNIT.format(id=sized.schema["id"].dataType.simpleString())
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = materialize(targets(by_source, weights, cap), "targets")
     per_class = sized.groupBy("source", _class(F.col("size")).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     blocks = per_class.select("source", "cls", F.ceil(F.col("n") / BLOCK).alias("n_blocks"))
@@ -131,7 +138,12 @@ def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: st
     rated = null_safe(sized.withColumn("cls", _class(F.col("size"))), null_safe(blocks, goals, ["source"]), ["source", "cls"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mass = F.round(rate * ONE).cast("long")
-    rated = rated.select("source", "cls", F.pmod(F.shiftright(F.xxhash64("row", "id"), 7), F.col("n_blocks")).alias("block"), F.struct("size", F.xxhash64("row", "id", "size").alias("spread"), "id", "row", (mass % ONE).alias("mass"), F.floor(mass / ONE).cast("long").alias("base")).cast(unit).alias("unit"))
+    # n equal rows are due n fractions: whole copies of them, and the mass of one more
+    due = F.col("n").cast("decimal(20,0)") * (mass % ONE).cast("decimal(18,0)")
+    own = due % F.lit(ONE).cast("decimal(18,0)")
+    extra = ((due - own) / F.lit(ONE).cast("decimal(18,0)")).cast("long")
+    block = F.pmod(F.shiftright(F.xxhash64("row", "id"), 7), F.col("n_blocks"))
+    rated = rated.select("source", "cls", block.alias("block"), F.struct("size", F.xxhash64("row", "id", "size").alias("spread"), "id", "row", own.cast("long").alias("mass"), F.floor(mass / ONE).cast("long").alias("base"), "n", extra.alias("whole")).cast(unit).alias("unit"))
     whole = rated.where("unit.mass = 0").select("source", "unit")
     units, done, level = rated.where("unit.mass != 0"), [whole], 0
     while True:
@@ -148,26 +160,39 @@ def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: st
     done.append(last.select("source", F.explode("fold.done").alias("unit")))
     left = last.where("fold.rest IS NOT NULL").select("source", F.col("fold.rest").alias("u"))
     up = _draw(seed, level + 1, F.col("u"), F.col("u"), F.lit(0)) * ONE < F.col("u.mass")
-    done.append(left.select("source", F.struct("u.size", "u.spread", "u.id", "u.row", F.when(up, F.lit(ONE)).otherwise(F.lit(0)).cast("long").alias("mass"), "u.base").alias("unit")))
+    done.append(left.select("source", F.struct("u.size", "u.spread", "u.id", "u.row", F.when(up, F.lit(ONE)).otherwise(F.lit(0)).cast("long").alias("mass"), "u.base", "u.n", "u.whole").alias("unit")))
     every = reduce(DataFrame.unionByName, done)
-    copies = (F.col("unit.base") + F.when(F.col("unit.mass") == ONE, 1).otherwise(0)).cast("long")
     out = null_safe(every, goals, ["source"])
-    return out.select(F.col("unit.id").alias("id"), F.col("unit.row").alias("row"), F.col("unit.size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("unit.size")).alias("taken"))
+    # the n rows of a unit: the first ones take a copy more
+    more = F.col("unit.whole") + F.when(F.col("unit.mass") == ONE, 1).otherwise(0)
+    out = out.select(F.col("unit.id").alias("id"), F.col("unit.row").alias("row"), F.col("unit.size").alias("size"), "source_size", "target", F.col("unit.base").alias("base"), F.col("unit.n").alias("n"), more.cast("long").alias("more"))
+    single = out.where("n = 1").select("id", "row", "size", "source_size", "target", (F.col("base") + F.col("more")).alias("copies"))
+    runs = out.where("n > 1").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_RUN).cast("long")))).repartition(F.col("row"), F.col("first"))
+    nth = runs.withColumn("nth", F.explode(F.sequence("first", F.least(F.col("first") + _RUN, F.col("n")) - 1)))
+    repeated = nth.select("id", "row", "size", "source_size", "target", (F.col("base") + F.when(F.col("nth") < F.col("more"), 1).otherwise(0)).cast("long").alias("copies"))
+    return single.unionByName(repeated).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def resample(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, with all their columns.
 
-    Rows that are equal in every column share the copies given to any of them.
+    Rows that are equal in every column share the copies given to any of them: each is
+    written the whole number of times that all of them are, and what is left over is written
+    from one of them, in runs. So only the remainders of repeated rows are moved.
     """
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    mixed = mix(df, id_column, text, source, weights, cap, seed, key)
-    given = mixed.groupBy("row").agg(F.sum("copies").alias("copies__"), F.count(F.lit(1)).alias("rows__")).withColumnRenamed("row", "row__")
-    keyed = df.withColumn("key__", key).join(given, F.col("key__") == F.col("row__"))
-    # nth of the equal rows: only where there are several does it matter who gets the remainder
-    nth = F.row_number().over(Window.partitionBy("key__").orderBy("key__"))
-    own = F.floor(F.col("copies__") / F.col("rows__")) + F.when(F.col("nth__") <= F.col("copies__") % F.col("rows__"), 1).otherwise(0)
-    return keyed.withColumn("nth__", nth).withColumn("own__", own.cast("int")).where("own__ > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("own__")))).select(*df.columns)
+    key, row, total, rows, left, first = fresh(df, "key__", "row__", "copies__", "rows__", "left__", "first__")
+    mixed = mix(df, id_column, text, source, weights, cap, seed, row_key(df))
+    given = materialize(mixed.groupBy(F.col("row").alias(row)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)), "given")
+    keyed = df.withColumn(key, row_key(df))
+    columns = quoted(*df.columns)
+    each = F.floor(F.col(total) / F.col(rows)).cast("long")
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    whole = keyed.join(given.where(F.col(total) >= F.col(rows)), F.col(key) == F.col(row)).withColumn(left, times(each)).select(*columns)
+    over = given.where(F.col(total) % F.col(rows) > 0).withColumn(left, F.col(total) % F.col(rows))
+    one = keyed.join(over, F.col(key) == F.col(row))
+    spare = one.where(F.col(rows) > 1).dropDuplicates([key]).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(left) - 1, F.lit(_RUN).cast("long")))).repartition(F.col(key), F.col(first))
+    spare = spare.withColumn(total, times(F.least(F.lit(_RUN).cast("long"), F.col(left) - F.col(first))))
+    return whole.unionAll(spare.select(*columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ size bound under which it is broadcast.
 
 Defined cases: a null id has the slot of the empty string; repeated rows go to the
 same shard; an empty table gives an empty table; a text is not looked at; columns of
-``df`` stay as they are and must not be named like the two that are added.
+``df`` stay as they are, but one named ``slot`` or ``shard`` (in any case) gives way to the new one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh, quoted
+
 SLOTS = 4099
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
 #: Largest table that is broadcast.
@@ -56,8 +58,11 @@ def slot_of(key: Column, slots: int) -> Column:
 def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``df`` with its ``slot`` and ``shard``."""
     table = lookup_table(shards, slots)
-    rows = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "slot int, shard string")
-    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(rows), "slot", "left").select(*df.columns, "slot", "shard")
+    at, name = fresh(df, "slot__", "shard__")
+    rows = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], f"{at} int, {name} string")
+    placed = df.withColumn(at, slot_of(F.col(*quoted(key)), slots)).join(F.broadcast(rows), at, "left")
+    own = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    return placed.select(*quoted(*own), F.col(at).alias("slot"), F.col(name).alias("shard"))
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

@@ -216,6 +216,32 @@ def test_resample(spark):
         assert abs(words[s] - t) < 2000
 
 
+def test_repeated_rows_share_what_they_are_due(spark):
+    """Thousands of equal rows are one unit of a block, and each takes its part."""
+    rows = [(1, "a b c", "s")] * 6000 + [(i, "w " * (i % 5), "s" if i % 2 else "t") for i in range(2, 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mix(df).collect()
+    assert len(found) == len(rows)
+    same = Counter(r["copies"] for r in found if r["id"] == 1)
+    assert sum(same.values()) == 6000 and max(same) - min(same) <= 1
+    target, size = next((r["target"], r["source_size"]) for r in found if r["id"] == 1)
+    assert abs(sum(c * n for c, n in same.items()) - 6000 * target / size) <= 1
+    taken = resample(df).groupBy("doc_id").count().where("doc_id = 1").first()
+    assert taken["count"] == sum(c * n for c, n in same.items())
+
+
+def test_clashing_names(spark):
+    names = "row__ int, copies__ int, rows__ int, key__ int, nth__ int, own__ int, copy__ int, left__ int, first__ int, slot int, Shard string, `a.b` int, m map<string,int>, slot__ int, shard__ int"
+    rows = [(i % 90, "w " * (i % 9), "s", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, "x", 11, {"k": i % 90}, 12, 13) for i in range(120)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    made = resample(df)
+    assert made.columns == df.columns
+    assert {str(r) for r in made.collect()} <= {str(r) for r in df.collect()} and made.count() > 50
+    placed = place(df)
+    assert placed.columns == [c for c in df.columns if c not in ("slot", "Shard")] + ["slot", "shard"]
+    assert {(r["doc_id"], r["slot"], r["shard"]) for r in placed.collect()} == {(r["doc_id"], r["slot"], r["shard"]) for r in place(df.select("doc_id")).collect()}
+
+
 def test_empty_mix(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty).collect() == [] and resample(empty).collect() == []
