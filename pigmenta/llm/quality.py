@@ -3,36 +3,45 @@
 A public vocabulary measures characters per token, the share of tokens that hold
 only part of a character (byte fallback) and the entropy of the tokens, which is
 taken over windows of fixed size so that it does not fall with length. Texts
-outside the band of their language are rejected. Nothing is shuffled: every row
-is judged on its own, whole text.
+outside the band of their language are rejected. A short text says little, so its figures
+are drawn towards the middle of the band as if ``prior_tokens`` ordinary tokens were added;
+the same formula holds for texts of any length. Nothing is shuffled: every row is judged
+on its own, whole text. The vocabulary is read by the driver and broadcast (its size is checked).
 
 Defined cases: a null text counts as empty; an empty text has no words, fails the
 base rule and is not kept; a null or unknown language takes the band of the text's
 script, or the default band where the script has none; repeated rows are judged
-alike; extra columns are not looked at. Texts of any length are tokenised whole, in
-pieces cut at white space.
+alike; extra columns are not looked at. Texts of any length are tokenised whole and as they
+are: in pieces cut only where a token must end, between a character and white space after it.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Words, bound_batches, column_buffer, groups, mix64, rolling
+from .textbatch import Words, slices, column_buffer, groups, mix64, rolling
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The public pre-token pattern of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE = 50_000
-_RUN = 1_000
+#: A place where a token must end, whatever is around it.
+_CUT = re.compile(r"(?<=\S)[ \n\t\r]")
+#: Runs of white space that the pre-token expression would search too deeply, in its own terms.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: Largest vocabulary file that is broadcast.
+MAX_VOCABULARY = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -44,6 +53,11 @@ class Band:
     max_partial_share: float = 0.30
     min_entropy_share: float = 0.45
 
+    @property
+    def middle(self) -> tuple[float, float, float]:
+        """What a text of which nothing is known is taken to have."""
+        return (self.min_chars_per_token * self.max_chars_per_token) ** 0.5, self.max_partial_share / 2, (1 + self.min_entropy_share) / 2
+
 
 def _bands() -> dict[str, Band]:
     return {
@@ -101,7 +115,9 @@ def script_of(text: str) -> str | None:
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Parameters of the rules. Bands hold from ``min_tokens`` on; shorter texts give no stable shares.
+    """Parameters of the rules.
+
+    A text's figures count as much as its tokens, the middle of its band as ``prior_tokens``.
 
     Entropy is that of windows of ``entropy_window`` tokens: over these, text of the four
     languages that passes the other rules has a share of 0.50 or more, whatever its length.
@@ -110,7 +126,7 @@ class QualityRules:
     bands: dict[str, Band] = field(default_factory=_bands)
     scripts: dict[str, Band] = field(default_factory=_scripts)
     default: Band = Band()
-    min_tokens: int = 48
+    prior_tokens: int = 48
     entropy_window: int = 4096
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -119,13 +135,20 @@ class QualityRules:
     vocabulary: str = VOCABULARY
 
 
+def vocabulary(rules: QualityRules) -> bytes:
+    """The rank file of the rules."""
+    path = Path(rules.tokenizer_dir, rules.vocabulary)
+    if path.stat().st_size > MAX_VOCABULARY:
+        raise ValueError(f"{path} is larger than {MAX_VOCABULARY} bytes")
+    return path.read_bytes()
+
+
 @lru_cache(maxsize=4)
-def _encoder(folder: str, vocabulary: str):
-    """(tiktoken encoding, per token: True if it holds only a part of a character)."""
+def _encoder(body: bytes):
+    """(tiktoken encoding, per token: True if it holds only a part of a character) of a rank file."""
     import tiktoken
 
-    with open(f"{folder}/{vocabulary}", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, body.splitlines())}
     partial = np.zeros(max(ranks.values()) + 1, dtype=bool)
     for token, rank in ranks.items():
         try:
@@ -136,21 +159,23 @@ def _encoder(folder: str, vocabulary: str):
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """The text in parts of bounded length, cut before white space, or inside runs without any."""
+    """The text in parts that end where a token must."""
     at = 0
-    while len(text) - at > _PIECE:
-        cut = max(text.rfind(" ", at + _PIECE - _RUN, at + _PIECE), text.rfind("\n", at + _PIECE - _RUN, at + _PIECE))
-        cut = cut if cut > at else at + _PIECE
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > _PIECE and (cut := _CUT.search(text, at + _PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]
 
 
-def _cut_runs(text: str, longest_word: int) -> str:
-    """Pre-token pieces of extreme length cost more than linear time; a space bounds them."""
-    if longest_word <= 4 * _RUN:
-        return text
-    return " ".join(w[i : i + _RUN] for w in text.split(" ") for i in range(0, max(1, len(w)), _RUN))
+def _tokens(encoding, piece: str) -> Iterator[np.ndarray]:
+    """Token ids of a part. Of a very long run of white space before a character all but the last is one pre-token."""
+    at = 0
+    for run in _SPACES.finditer(piece):
+        end = run.end() if run.end() == len(piece) else run.end() - 1
+        yield encoding.encode_to_numpy(piece[at : run.start()], disallowed_special=())
+        yield np.array(encoding._core_bpe.encode_single_piece(piece[run.start() : end].encode()), dtype=np.uint32)
+        at = end
+    yield encoding.encode_to_numpy(piece[at:], disallowed_special=())
 
 
 def _entropy_shares(windows: np.ndarray) -> np.ndarray:
@@ -165,7 +190,7 @@ def _entropy_shares(windows: np.ndarray) -> np.ndarray:
     return 1.0 - terms / (size * np.log2(size))
 
 
-def fertility(text: str, rules: QualityRules, longest_word: int = 0) -> tuple[int, float, float, float]:
+def fertility(text: str, rules: QualityRules, body: bytes | None = None) -> tuple[int, float, float, float]:
     """(tokens, characters per token, share of partial-character tokens, entropy over its maximum).
 
     The entropy of a language levels off while its maximum grows with the text, so it is
@@ -174,12 +199,11 @@ def fertility(text: str, rules: QualityRules, longest_word: int = 0) -> tuple[in
     """
     if not text:
         return 0, 0.0, 0.0, 0.0
-    encoding, partial = _encoder(rules.tokenizer_dir, rules.vocabulary)
+    encoding, partial = _encoder(vocabulary(rules) if body is None else body)
     width = rules.entropy_window
     n, n_partial, total = 0, 0, 0.0
     last = rest = np.zeros(0, dtype=np.uint32)
-    for piece in _pieces(_cut_runs(text, longest_word)):
-        ids = encoding.encode_to_numpy(piece, disallowed_special=())
+    for ids in (ids for piece in _pieces(text) for ids in _tokens(encoding, piece)):
         n += len(ids)
         n_partial += int(partial[ids].sum())
         rest = np.concatenate([rest, ids])
@@ -192,7 +216,15 @@ def fertility(text: str, rules: QualityRules, longest_word: int = 0) -> tuple[in
     return n, len(text) / n, n_partial / n, total / n
 
 
-def _in_band(n: int, chars: float, partial: float, entropy: float, band: Band) -> bool:
+def shrunk(n: int, chars: float, partial: float, entropy: float, band: Band, prior: int) -> tuple[float, float, float]:
+    """The figures of a text of ``n`` tokens after ``prior`` tokens from the middle of the band are added."""
+    middle = band.middle
+    per_token = (n * chars + prior * middle[0]) / max(1, n + prior)
+    return (per_token, *((n * x + prior * m) / max(1, n + prior) for x, m in ((partial, middle[1]), (entropy, middle[2]))))
+
+
+def _in_band(n: int, chars: float, partial: float, entropy: float, band: Band, prior: int = 0) -> bool:
+    chars, partial, entropy = shrunk(n, chars, partial, entropy, band, prior)
     return band.min_chars_per_token <= chars <= band.max_chars_per_token and partial <= band.max_partial_share and entropy >= band.min_entropy_share
 
 
@@ -241,31 +273,30 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-def judge(texts: pa.Array, langs: list[str | None], rules: QualityRules) -> dict[str, list]:
+def judge(texts: pa.Array, langs: list[str | None], rules: QualityRules, body: bytes | None = None) -> dict[str, list]:
     """Statistics and verdict of each text, by column name."""
+    vocabulary_ = vocabulary(rules) if body is None else body
     raw, offsets = column_buffer(texts)
     strings = ["" if t is None else t for t in texts.to_pylist()]
     out: dict[str, list] = {c: [] for c, _ in COLUMNS}
     for low, high in groups(offsets):
         part = offsets[low : high + 1]
-        body, off = raw[part[0] : part[-1]], part - part[0]
-        words = Words(body, off)
+        data, off = raw[part[0] : part[-1]], part - part[0]
+        words = Words(data, off)
         n_words = words.counts
-        symbols = _sums(_SYMBOLS[body], off)
-        points = _sums(words.is_word[body] & ((body & 0xC0) != 0x80), off)
+        symbols = _sums(_SYMBOLS[data], off)
+        points = _sums(words.is_word[data] & ((data & 0xC0) != 0x80), off)
         repeats = _repeat_words(words, rules.window)
-        longest = np.zeros(high - low, dtype=np.int64)
-        np.maximum.at(longest, words.row, words.ends - words.starts)
         for i in range(high - low):
             n, rep = int(n_words[i]), int(repeats[i])
             failed = n < rules.min_words or 100 * rep > rules.max_repeat_percent * n
             text = strings[low + i]
-            tokens, chars, partial, entropy = fertility(text, rules, int(longest[i]))
+            tokens, chars, partial, entropy = fertility(text, rules, vocabulary_)
             lang = langs[low + i]
             band = rules.bands.get(lang) if isinstance(lang, str) else None
             if band is None:
                 band = rules.scripts.get(script_of(text), rules.default)
-            good = tokens < rules.min_tokens or _in_band(tokens, chars, partial, entropy, band)
+            good = _in_band(tokens, chars, partial, entropy, band, rules.prior_tokens)
             for name, value in zip(out, (n, int(points[i]), int(symbols[i]), _dup_lines(text), rep, failed, not failed and good, tokens, chars, partial, entropy), strict=True):
                 out[name].append(value)
     return out
@@ -281,14 +312,14 @@ _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 def quality_report(df: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rules: QualityRules | None = None) -> DataFrame:
     """One row per row of ``df``: its id, the word statistics, the fertility figures and ``kept``."""
     rules = rules or QualityRules()
-    bound_batches(df.sparkSession)
+    ranks = df.sparkSession.sparkContext.broadcast(vocabulary(rules))
     narrow = df.select(F.col(id_column), F.col(text).cast("string").alias("text_"), F.col(lang).cast("string").alias("lang_"))
     id_type = narrow.schema[0].dataType.simpleString()
     ddl = ", ".join([f"`{id_column}` {id_type}", *(f"{c} {t}" for c, t in COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = judge(batch.column(1), batch.column(2).to_pylist(), rules)
+        for batch in slices(batches):
+            found = judge(batch.column(1), batch.column(2).to_pylist(), rules, ranks.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c], _ARROW[t]) for c, t in COLUMNS)], names=[id_column, *(c for c, _ in COLUMNS)])
 
     return narrow.mapInArrow(run, ddl)
@@ -297,12 +328,12 @@ def quality_report(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules | None = None) -> DataFrame:
     """The rows of ``df`` that the rules keep, with all their columns."""
     rules = rules or QualityRules()
-    bound_batches(df.sparkSession)
+    ranks = df.sparkSession.sparkContext.broadcast(vocabulary(rules))
     at_text, at_lang = df.columns.index(text), df.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = judge(batch.column(at_text), batch.column(at_lang).to_pylist(), rules)
+        for batch in slices(batches):
+            found = judge(batch.column(at_text), batch.column(at_lang).to_pylist(), rules, ranks.value)
             yield batch.filter(pa.array(found["kept"], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -36,16 +36,19 @@ LOWER = IDENTITY.copy()
 LOWER[0x41:0x5B] += 0x20
 
 
-#: Most rows of one batch between Spark and Python: texts are long, and a batch is held whole.
+#: Most rows that are looked at together.
 BATCH_ROWS = 500
 
 
-def bound_batches(spark) -> None:
-    """Lower the session's rows a batch to ``BATCH_ROWS``, if they are more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, ``BATCH_ROWS`` at a time.
+
+    Spark bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``) and rows; the
+    session's settings are left as they are, and what is made from a batch is bounded here.
+    """
+    for batch in batches:
+        for low in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(low, BATCH_ROWS)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

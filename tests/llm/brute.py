@@ -140,6 +140,41 @@ def quality(text):
     return n, sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), dup, r, n < 10 or 100 * r > 20 * n
 
 
+_QUALITY: dict = {}
+
+
+def fertility(text, folder, vocabulary, pattern, window):
+    """Tokens of the whole text at once, and their figures."""
+    import tiktoken
+
+    if not _QUALITY:
+        with open(f"{folder}/{vocabulary}", "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _QUALITY["e"] = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = _QUALITY["e"]
+    ids = encoding.encode_ordinary(text or "")
+    if not ids:
+        return 0, 0.0, 0.0, 0.0
+
+    def is_part(token):
+        try:
+            encoding.decode_single_token_bytes(token).decode()
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    def share(part):
+        n = len(part)
+        return -sum(c / n * math.log2(c / n) for c in Counter(part).values()) / math.log2(n) if n > 1 else 0.0
+
+    total, n = 0.0, len(ids)
+    for low in range(0, n, window):
+        new = min(window, n - low)
+        part = ids[low : low + window] if new == window else ids[max(0, n - window) :]
+        total += new * share(part)
+    return n, len(text) / n, sum(map(is_part, ids)) / n, total / n
+
+
 def contamination(rows, items, window=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     patterns = defaultdict(set)
@@ -167,13 +202,13 @@ def is_held_out(doc_id):
 
 
 class Ppm:
-    """Order-3 byte model, method C with exclusion, by dictionaries."""
+    """Order-3 byte model, method C with exclusion, by dictionaries; a text ends with the byte FF."""
 
     def __init__(self, texts, order=3):
         self.order = order
         self.counts = defaultdict(Counter)
         for t in texts:
-            data = (t or "").encode()
+            data = (t or "").encode() + b"\xff"
             padded = bytes(order) + data
             for i, s in enumerate(data):
                 context = padded[i : i + order]
@@ -194,7 +229,7 @@ class Ppm:
         return cost - math.log10(256 - len(excluded))
 
     def score(self, text):
-        data = (text or "").encode()
+        data = (text or "").encode() + b"\xff"
         padded = bytes(self.order) + data
         return sum(self.log10(padded[i : i + self.order], s) for i, s in enumerate(data))
 
