@@ -4,10 +4,12 @@ The model is a trie of byte contexts up to three bytes, pretrained on the traini
 documents. A byte seen after its context costs its share there (method C: one count for
 each distinct successor goes to the escape); else the escape is paid and the next
 shorter context is asked, without the symbols that the longer one has already offered.
-Below the empty context all bytes left are equally likely. A text's score is the sum
-over its bytes.
+Below the empty context all bytes left are equally likely. The end of a text is a symbol
+of its own, a byte that UTF-8 never has, so the scores of all texts are one distribution.
+A text's score is the sum over its bytes and its end.
 
-Nothing grows on the driver or in a broadcast. The first pass makes, for each input
+Nothing grows on the driver or in a broadcast. Texts are stored once, with the split that
+they belong to: a run of about ``SPLIT_BYTES`` of their partition. The first pass makes, for each
 split, its distinct words and four-byte sequences with their training counts; these are
 summed over all splits (counts of the whole corpus), the trie is evaluated for each
 group of contexts that end alike (65536 sequences at most), and each split gets back
@@ -16,7 +18,7 @@ Only two-byte counts, 65536 of them at most, are collected.
 
 Words are told apart by a 64-bit hash.
 
-Defined cases: null and empty texts have one token (the end) and a score of 0; a null id
+Defined cases: null and empty texts have one token (the end) and the score of the end; a null id
 counts as the empty text for the split into training and held-out documents; repeated
 rows are learned and scored each for itself; without training documents all counts are 0
 and every byte costs log10(256); extra columns are not looked at.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +41,24 @@ WORD, GRAM, DOCS = 0, 1, 2
 _BLOB, _DOCUMENT = 0, 1
 
 
-def gram_keys(words: Words) -> np.ndarray:
-    """For each byte of the rows, the three bytes before it in its row (0 where there are none) and itself."""
-    raw = words.raw
+#: Bytes of texts that are counted and scored together.
+SPLIT_BYTES = 16 << 20
+#: The end of a text.
+END = 0xFF
+
+
+def gram_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row offsets): for each byte and the end of the rows, the three bytes before it in its row (0 where there are none) and itself."""
+    raw = np.insert(words.raw, words.offsets[1:], np.uint8(END))
+    offsets = words.offsets + np.arange(len(words.offsets))
     key = raw.astype(np.uint32)
-    place = np.arange(len(raw)) - np.repeat(words.offsets[:-1], np.diff(words.offsets))
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
     for back in (1, 2, 3):
         before = np.zeros(len(raw), dtype=np.uint32)
         before[back:] = raw[:-back]
         before[place < back] = 0
         key |= before << np.uint32(8 * back)
-    return key
+    return key, offsets
 
 
 def _counted(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +138,8 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = Words(raw[off[0] : off[-1]], off - off[0])
                 teach = train[low_s + low : low_s + high]
                 own.add(WORD, words.hashes(0, LOWER), teach[words.row])
-                own.add(GRAM, gram_keys(words), np.repeat(teach, np.diff(words.offsets)))
+                grams, ends = gram_keys(words)
+                own.add(GRAM, grams, np.repeat(teach, np.diff(ends)))
     for split, own in counts.items():
         yield from out(split, own)
 
@@ -236,10 +247,20 @@ _OUT = [("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("tr
 
 def score_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    if not df.inputFiles():
-        df = materialize(df, "texts")
     fold = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5
-    rows = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"), (fold == 1).alias("held_"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split_"))
+    rows = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"), (fold == 1).alias("held_"))
+    id_type = rows.schema["id_"].dataType.simpleString()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with their split: a run of about ``SPLIT_BYTES`` of their partition."""
+        split, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            _, offsets = column_buffer(batch.column(1))
+            found = split + (size + offsets[:-1]) // SPLIT_BYTES
+            size += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["id_", "text_", "held_", "split_"])
+
+    rows = materialize(rows.mapInArrow(dealt, f"id_ {id_type}, text_ string, held_ boolean, split_ long"), "texts")
     asked = rows.select(F.col("split_").alias("split"), (~F.col("held_")).alias("train"), F.col("text_").alias("text")).mapInArrow(_requests, _REQUEST_DDL)
     asked = materialize(asked, "asked")
     totals = materialize(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "totals")
@@ -291,7 +312,6 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         if held:
             yield from out()
 
-    id_type = rows.schema["id_"].dataType.simpleString()
     packed = told.mapInArrow(pack, "split_ long, what_ int, kind_ int, keys_ binary, values_ binary").select("split_", "what_", "kind_", "keys_", "values_", F.lit(None).cast(id_type).alias("id_"), F.lit(None).cast("string").alias("text_"), F.lit(None).cast("boolean").alias("held_"))
     documents = rows.select("split_", F.lit(_DOCUMENT).alias("what_"), F.lit(None).cast("int").alias("kind_"), F.lit(None).cast("binary").alias("keys_"), F.lit(None).cast("binary").alias("values_"), "id_", "text_", "held_")
     streams = packed.unionByName(documents).repartition("split_").sortWithinPartitions("split_", "what_")
@@ -316,7 +336,7 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
                     both = {k: [np.concatenate(x) for x in zip(*v)] if v else [np.zeros(0, np.int64), np.zeros(0)] for k, v in blobs.items()}
                     order = np.argsort(both[WORD][0].view(np.uint64))
                     word_key, word_n = both[WORD][0].view(np.uint64)[order], both[WORD][1][order]
-                    table = _GramTable(both[GRAM][0], both[GRAM][1]) if len(both[GRAM][0]) else None
+                    table = _GramTable(both[GRAM][0], both[GRAM][1])
                     blobs = {WORD: [], GRAM: []}
                 raw, offsets = column_buffer(batch.column(6).slice(low_s, high_s - low_s))
                 for low, high in groups(offsets):
@@ -326,7 +346,8 @@ def score_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
                     cost = np.log10((n + 0.5) / denominator)
                     base = _row_sums(cost, words.bounds) + np.log10((n_docs + 0.5) / denominator)
                     known = _row_sums((n > 0).astype(np.float64), words.bounds).astype(np.int64) + (1 if n_docs else 0)
-                    total = _row_sums(table.of(gram_keys(words)), words.offsets) if table is not None and len(words.raw) else np.zeros(high - low)
+                    grams, ends = gram_keys(words)
+                    total = _row_sums(table.of(grams), ends)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(5).slice(low_s + low, high - low), batch.column(7).slice(low_s + low, high - low), pa.array(words.counts + 1, pa.int64()), pa.array(known), pa.array(np.full(high - low, n_all, np.int64)), pa.array(base), pa.array(total)],
                         names=[id_column, *(c for c, _ in _OUT)],
