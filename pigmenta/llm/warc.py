@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer, and a reader of what it wrote.
 
-Pages are cut into ranges of their id by a histogram of bytes, so the shards are the
-same in every run. Each shard is sorted and written as one or more archives, which roll
-over by compressed size; headers, record ids and digests are regenerated from the page.
+Pages are cut into ranges of (id, payload hash) at quantiles of a sample that the hash
+picks, weighed by payload and headers, so the shards are the same in every run and pages
+without payload or without id spread like others. Each shard is sorted and written as
+several archives, which roll over by compressed size; headers, record ids and digests are regenerated from the page.
 A file is written under a temporary name and renamed when it is whole; the manifest,
 written last, names the files of a complete run, and the reader reads no others. A task
 that is lost and run again, or run twice, writes the same bytes under the same name.
@@ -34,12 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
-from .textbatch import bound_batches
+from .textbatch import slices
 
 DATE = "1970-01-01T00:00:00Z"
-SHARD_BYTES = 16 << 20
-ROLL_BYTES = 64 << 20
-_MAX_BUCKETS = 4096
+#: Uncompressed bytes of a shard, unless there are ``MAX_SHARDS``; compressed bytes of a file.
+SHARD_BYTES = 64 << 20
+ROLL_BYTES = 4 << 20
+MAX_SHARDS = 16_384
+#: Bytes that headers add to a payload, about, and rows of the sample for each shard.
+HEAD_BYTES = 900
+_SAMPLE = 32
+_NO_ID = -(1 << 63)
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # that of URLs, RFC 4122
 
 
@@ -131,33 +137,38 @@ _MANIFEST = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("records",
 _MANIFEST_DDL = "file string, shard long, records long, bytes long, first_id long, last_id long, sha256 string"
 
 
-def cut_points(sizes: DataFrame, target: int) -> list[int]:
-    """Ids at which a new shard begins; (id, bytes) in, at most a few a shard out.
+def cut_points(sizes: DataFrame, target: int, most: int = MAX_SHARDS) -> list[tuple[int, int]]:
+    """(id, hash) at which a new shard begins, from (id, hash, bytes); null ids come first.
 
-    A histogram over equal ranges of ids is cut where a shard is full. Ranges that hold
-    more than a shard are divided again, so ids may be as clustered as they like.
+    The sample takes rows by their hash, ``_SAMPLE`` a shard or all there are, so it has a
+    bounded size whatever the input, and shards are equal within some tenths.
     """
-    low, high, total = sizes.where("id IS NOT NULL").agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
-    if low is None or (total or 0) <= target:
+    rows, total = sizes.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    shards = min(most, -(-(total or 0) // target))
+    if shards <= 1:
         return []
-
-    def histogram(a: int, b: int) -> list[tuple[int, int, int]]:
-        """(first id, end id, bytes) of ranges of at most half a shard or one id."""
-        width = max(1, -(-(b - a) // _MAX_BUCKETS))
-        rows = sizes.where(F.col("id").between(a, b - 1)).groupBy(F.floor((F.col("id") - F.lit(a)) / width).cast("long").alias("k")).agg(F.sum("bytes").alias("bytes")).collect()
-        out = []
-        for r in sorted(rows, key=lambda r: r["k"]):
-            begin, end = a + r["k"] * width, min(b, a + (r["k"] + 1) * width)
-            out += histogram(begin, end) if width > 1 and r["bytes"] > target // 2 else [(begin, end, r["bytes"])]
-        return out
-
-    cuts, held = [], 0
-    for begin, _, size in histogram(low, high + 1):
-        if held and held + size > target:
-            cuts.append(begin)
-            held = 0
-        held += size
-    return cuts
+    mean = max(1, total // rows)
+    scale = 1 << 30
+    # a row is taken by its weight, a heavy one always; then all those taken weigh alike
+    chance = F.lit(float(shards * _SAMPLE) / total) * F.greatest(F.col("bytes"), F.lit(mean // 4))
+    drawn = F.pmod(F.xxhash64("hash", "id"), F.lit(scale)) < F.least(F.lit(1.0), chance) * scale
+    taken = sizes.where(drawn).select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "hash", F.greatest(F.lit(1.0), chance).alias("w")).toArrow()
+    ids, hashes, weight = (taken.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((hashes, ids))
+    ids, hashes, upto = ids[order], hashes[order], np.cumsum(weight[order])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards) if len(upto) else np.zeros(0, np.int64)
+    return sorted({(int(ids[i]), int(hashes[i])) for i in at})
+
+
+def shards_of(ids: np.ndarray, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Shard of each (id, hash): the number of cuts that are not above it."""
+    low, high = np.searchsorted(cuts[0], ids, "left"), np.searchsorted(cuts[0], ids, "right")
+    out = low.copy()
+    for i in np.unique(ids[low < high]).tolist():  # ids at which a shard begins
+        rows = np.flatnonzero(ids == i)
+        a, b = low[rows[0]], high[rows[0]]
+        out[rows] = a + np.searchsorted(cuts[1][a:b], hashes[rows], "right")
+    return out
 
 
 def write_archives(pages: DataFrame, uri: str, id_column: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, level: int = 6) -> DataFrame:
@@ -166,42 +177,43 @@ def write_archives(pages: DataFrame, uri: str, id_column: str = "page_id", url:
     ``uri`` is a folder all executors share, of any file system that pyarrow opens.
     """
     spark = pages.sparkSession
-    bound_batches(spark)
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
-    source = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("html"))
-    narrow = materialize(source.select("id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "digests")
-    cuts = np.array(cut_points(narrow, shard_bytes), dtype=np.int64)
-    shards = len(cuts) + 1
-    bounds = spark.sparkContext.broadcast(cuts)  # one number a shard
+    source = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("html")).withColumn("hash", F.xxhash64("html"))
+    narrow = materialize(source.select("id", "hash", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size")), "digests")
+    weights = narrow.select("id", "hash", (F.col("size") + HEAD_BYTES).alias("bytes"))
+    cuts = np.array(cut_points(weights, shard_bytes), dtype=np.int64).reshape(-1, 2).T
+    shards = cuts.shape[1] + 1
+    bounds = spark.sparkContext.broadcast(cuts)  # two numbers a shard
 
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds.value, ids, "right").astype(np.int32)), *batch.columns], names=["shard", *batch.schema.names])
-
-    same = narrow.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "winner")
-    answers = narrow.select("id", "digest").join(same, "digest").distinct()
-    rows = answers.select("id", F.lit(0).alias("what"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "winner").unionByName(
-        source.select("id", F.lit(1).alias("what"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("winner"))
+        for batch in slices(batches):
+            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            found = shards_of(ids, batch.column(1).to_numpy(zero_copy_only=False), bounds.value)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *batch.columns], names=["shard", *batch.schema.names])
+
+    same = narrow.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "winner")
+    answers = narrow.select("id", "hash", "digest").join(same, "digest").distinct()
+    rows = answers.select("id", "hash", F.lit(0).alias("what"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "winner").unionByName(
+        source.select("id", "hash", F.lit(1).alias("what"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("winner"))
     )
-    placed = rows.mapInArrow(shard_of, "shard int, id long, what int, url string, html string, digest string, winner long") if shards > 1 else rows.select(F.lit(0).alias("shard"), *rows.columns)
+    placed = rows.mapInArrow(shard_of, "shard int, id long, hash long, what int, url string, html string, digest string, winner long") if shards > 1 else rows.select(F.lit(0).alias("shard"), *rows.columns)
     # ties of one id are ordered by their payload and address, so that files do not depend on the shuffle
-    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "what", "html", "url")
+    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "hash", "what", "html", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, manifest, now = None, [], object()
         winners: dict[str, int | None] = {}
         stored: set[str] = set()
-        for batch in batches:
-            shard, ids, what, urls, bodies, digests, won = (batch.column(i) for i in range(7))
+        for batch in slices(batches):
+            shard, ids, hashes, what, urls, bodies, digests, won = (batch.column(i) for i in range(8))
             for i in range(batch.num_rows):
-                page = ids[i].as_py()
+                page, place = ids[i].as_py(), hashes[i].as_py()
                 if archive is None or archive.shard != shard[i].as_py():
                     if archive is not None and archive.out is not None:
                         manifest.append(archive.close())
                     archive, now = _Archive(uri, shard[i].as_py(), roll_bytes, level), object()
-                if page != now:
-                    now, winners, stored = page, {}, set()
+                if (page, place) != now:
+                    now, winners, stored = (page, place), {}, set()
                 if what[i].as_py() == 0:
                     winners[digests[i].as_py()] = won[i].as_py()
                     continue
@@ -213,6 +225,9 @@ def write_archives(pages: DataFrame, uri: str, id_column: str = "page_id", url:
                         refers = (winners[digest],)
                     stored.add(digest)
                 manifest += archive.add(page, record(page, urls[i].as_py(), body, refers))
+            if manifest:
+                yield pa.RecordBatch.from_pylist(manifest, schema=_MANIFEST)
+                manifest = []
         if archive is not None and archive.out is not None:
             manifest.append(archive.close())
         yield pa.RecordBatch.from_pylist(manifest, schema=_MANIFEST)

@@ -8,13 +8,14 @@ import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 
-from pigmenta.llm.warc import cut_points, read_archives, records, write_archives
+from pigmenta.llm.warc import cut_points, read_archives, records, shards_of, write_archives
 
 from . import brute
 
-SCHEMA = "page_id long, url string, html string, shard int, digest string"
+SCHEMA = "page_id long, url string, html string, shard int, hash string"
 
 
 def make_rows(seed=1, n=300):
@@ -85,8 +86,28 @@ def test_no_pages(spark, tmp_path):
     assert read_archives(spark, uri).collect() == []
 
 
-def test_cut_points_of_clustered_ids(spark):
-    rows = [(i, 10) for i in range(1000)] + [(10**15, 10), (-(10**15), 10)]
-    cuts = cut_points(spark.createDataFrame(rows, "id long, bytes long"), 500)
-    sizes = Counter(sum(c <= i for c in cuts) for i, _ in rows)
-    assert 15 <= len(cuts) <= 60 and max(sizes.values()) <= 75
+def test_cut_points(spark):
+    """Clustered ids, one id in a third of all rows, null ids, empty pages: shards are of like size."""
+    rng = random.Random(3)
+    rows = [(i, rng.getrandbits(62), 10) for i in range(3000)] + [(7, rng.getrandbits(62), 10) for _ in range(3000)] + [(None, rng.getrandbits(62), 10) for _ in range(3000)] + [(10**15, 1, 10), (-(10**15), 2, 4000)]
+    df = spark.createDataFrame(rows, "id long, hash long, bytes long")
+    cuts = cut_points(df, 5000)
+    assert cuts == cut_points(df.repartition(5), 5000) == sorted(cuts)
+    at = np.array(cuts, dtype=np.int64).T
+    ids, hashes = np.array([-(1 << 63) if i is None else i for i, _, _ in rows]), np.array([h for _, h, _ in rows])
+    shards = shards_of(ids, hashes, at)
+    assert shards.tolist() == [sum(c <= (int(i), int(h)) for c in cuts) for i, h in zip(ids, hashes)]
+    sizes = Counter()
+    for s, (_, _, n) in zip(shards.tolist(), rows):
+        sizes[s] += n
+    assert 14 <= len(cuts) <= 19 and max(sizes.values()) < 12_000
+    assert cut_points(df, 10**9) == [] and len(cut_points(df, 1, most=8)) == 7
+
+
+def test_a_shard_rolls_into_files(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, None, "".join(rng.choice("abcdefgh") for _ in range(2000))) for i in range(200)]
+    uri = f"file://{tmp_path}/r"
+    manifest = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), uri, roll_bytes=20_000).collect()
+    assert {m["shard"] for m in manifest} == {0} and len(manifest) > 5 and all(m["bytes"] < 25_000 for m in manifest)
+    assert read_archives(spark, uri).count() == 200
