@@ -1,9 +1,9 @@
 """Count sketches built per partition, merged by cell range, broadcast at a fixed size.
 
-Each task counts into its own dense array and emits it in compressed pieces;
-pieces of one cell range meet in one task, which adds them as they stream in.
-The merged sketch has ``width`` cells however large the input is: that is the
-proven bound under which it is collected and broadcast. Estimates never fall
+Each task counts into its own dense array and emits it in compressed pieces, as many as the
+cluster has tasks; pieces of one cell range meet in one task, which adds them as they
+stream in, in two levels where there are very many. The width follows the input up to a
+fixed most: that is the proven bound under which it is collected and broadcast. Estimates never fall
 below the true count, whatever the load.
 """
 
@@ -16,8 +16,14 @@ import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-PIECES = 64
+from .textbatch import slices
+
+#: Fewest and most cell ranges of a sketch.
+PIECES, MOST_PIECES = 64, 4096
+#: Bytes of input for which one more task adds up the pieces of a range in the first level.
+_FAN_BYTES = 64 << 30
 _SCHEMA = pa.schema([("piece", pa.int32()), ("cells", pa.binary())])
 _DDL = "piece int, cells binary"
 
@@ -35,9 +41,9 @@ class PartitionSketch:
             at = cell.astype(np.int64) + r * self.width
             self.cells[at] = np.minimum(self.cells[at] + n.astype(np.int64), 255).astype(np.uint8)
 
-    def pieces(self) -> Iterator[pa.RecordBatch]:
+    def pieces(self, n: int) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for i, part in enumerate(np.array_split(self.cells, PIECES)):
+        for i, part in enumerate(np.split(self.cells, n)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], schema=_SCHEMA)
 
@@ -52,12 +58,12 @@ def cells_of(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((keys * np.uint64(_ROWS[row])) >> (np.uint64(64) - bits)).astype(np.uint32)
 
 
-def _merge(batches: Iterator[pa.RecordBatch], quantise: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], kind: type, quantise: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(unpacker.decompress(packed.as_py()), dtype=np.uint8)
+            part = np.frombuffer(unpacker.decompress(packed.as_py()), dtype=kind)
             if piece in sums:
                 room = np.uint32(0xFFFFFFFF) - sums[piece]
                 sums[piece] += np.minimum(part, room).astype(np.uint32)
@@ -91,18 +97,31 @@ def bits_at(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, rows: int, quantise: Callable[[np.ndarray], np.ndarray]) -> Broadcast:
+def input_bytes(df: DataFrame) -> int:
+    """Size of what a plan reads, by its statistics."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def width_for(df: DataFrame, bytes_a_cell: int, most: int) -> int:
+    """A power of two that follows the size of the input, ``most`` at most."""
+    cells = max(1 << 14, input_bytes(df) // bytes_a_cell)
+    return min(most, 1 << (cells - 1).bit_length())
+
+
+def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, rows: int, quantise: Callable[[np.ndarray], np.ndarray], fan: int | None = None) -> Broadcast:
     """Broadcast sketch over the 64-bit keys of all rows of ``df``.
 
     It has ``rows * width`` bytes, or bits where ``quantise`` packs them. ``width`` is a
-    power of two, 8 * PIECES at least.
+    power of two, 8 * PIECES at least. ``fan`` tasks add up the pieces of one range first.
     """
+    context = df.sparkSession.sparkContext
+    pieces = max(PIECES, min(MOST_PIECES, width // 8, 1 << (2 * context.defaultParallelism - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PartitionSketch(width, rows)
         held: list[np.ndarray] = []
         n = 0
-        for batch in batches:
+        for batch in slices(batches):
             for keys in keys_of(batch):
                 held.append(keys)
                 n += len(keys)
@@ -111,14 +130,19 @@ def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
                     held, n = [], 0
         if held:
             own.add(np.concatenate(held))
-        yield from own.pieces()
-
-    tasks = max(1, min(PIECES, df.sparkSession.sparkContext.defaultParallelism * 2))
-    merged = df.mapInArrow(count, _DDL).repartition(tasks, "piece").mapInArrow(lambda b: _merge(b, quantise), _DDL)
-    step = rows * width // PIECES
-    parts = [quantise(np.zeros(step, dtype=np.uint32)) for _ in range(PIECES)]
+        yield from own.pieces(pieces)
+
+    counted, kind = df.mapInArrow(count, _DDL), np.uint8
+    fan = fan or min(64, 1 + input_bytes(df) // _FAN_BYTES)
+    if fan > 1:
+        salted = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
+        first = salted.repartition(pieces * fan, "piece", "salt").select("piece", "cells")
+        counted, kind = first.mapInArrow(lambda b: _merge(b, np.uint8, lambda x: x), _DDL), np.uint32
+    merged = counted.repartition(pieces, "piece").mapInArrow(lambda b: _merge(b, kind, quantise), _DDL)
+    step = rows * width // pieces
+    parts = [quantise(np.zeros(step, dtype=np.uint32)) for _ in range(pieces)]
     unpacker = zstandard.ZstdDecompressor()
     table = merged.toArrow()  # of fixed size, before compression
     for piece, packed in zip(table.column(0).to_pylist(), table.column(1)):
         parts[piece] = np.frombuffer(unpacker.decompress(packed.as_py()), dtype=np.uint8)
-    return df.sparkSession.sparkContext.broadcast(np.concatenate(parts))
+    return context.broadcast(np.concatenate(parts))

@@ -10,9 +10,9 @@ whose estimate is 2 or more go to the second pass, which groups them exactly by
 
 Of texts that are equal as a whole only the rows of the smallest id are looked at.
 Rows without flagged windows are finished where they are read. The other rows of a
-task group their windows first, so a task sends each distinct window once, with its
-smallest id, whoever holds it: a passage in a third of all documents costs one entry a
-task. Entries meet in buckets by their anchor, packed as bytes; a bucket answers each
+task are taken in runs of bounded bytes, whatever the sketch lets through; a run groups its
+windows first, so it sends each distinct window once, with its smallest id, whoever holds
+it: a passage in a third of all documents costs one entry a run. Entries meet in buckets by their anchor, packed as bytes; a bucket answers each
 task with the windows that a smaller id holds elsewhere, and the task's rows are
 finished next to the answers.
 
@@ -35,13 +35,16 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from .mixing import word_count
-from .sketch import bits_at, cells_of, merged_sketch, present, repeated
-from .textbatch import Words, bound_batches, mix64, rolling, rolling_min, text_groups
+from .sketch import bits_at, cells_of, input_bytes, merged_sketch, present, repeated, width_for
+from .textbatch import Words, slices, mix64, rolling, rolling_min, text_groups
 
 WINDOW = 50
 ANCHOR = 8
-SKETCH_WIDTH = 1 << 25
+#: Most cells of a row of the sketch, and bytes of input for one.
+SKETCH_WIDTH, CELL_BYTES = 1 << 25, 16
 COPY_WIDTH = 1 << 23
+#: Bytes of texts and windows that a task holds for one run.
+RUN_BYTES = 48 << 20
 SKETCH_ROWS = 4
 
 
@@ -91,8 +94,8 @@ def _joined_sha(body: bytes, gone: np.ndarray | None) -> str:
 
 
 _NULL_ID = (1 << 63) - 1
-_PASSED_DDL = "what int, id_ long, n_words long, kept_sha256 string, task int, text_ string, sure array<int>, begins array<int>, entries array<int>, bucket int, packed binary"
-_PASSED = pa.schema([("what", pa.int32()), ("id_", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("task", pa.int32()), ("text_", pa.string()), *((c, pa.list_(pa.int32())) for c in ("sure", "begins", "entries")), ("bucket", pa.int32()), ("packed", pa.binary())])
+_PASSED_DDL = "what int, id_ long, n_words long, kept_sha256 string, task long, text_ string, sure array<int>, begins array<int>, entries array<int>, bucket int, packed binary"
+_PASSED = pa.schema([("what", pa.int32()), ("id_", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("task", pa.int64()), ("text_", pa.string()), *((c, pa.list_(pa.int32())) for c in ("sure", "begins", "entries")), ("bucket", pa.int32()), ("packed", pa.binary())])
 _OUT_DDL = "id_ long, n_words long, n_removed long, kept_sha256 string, removed array<struct<low: long, high: long>>"
 _OUT = pa.schema([("id_", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))])
 #: Bytes of input for one bucket of windows, and the largest number of buckets.
@@ -100,9 +103,8 @@ _BUCKET_BYTES, _MAX_BUCKETS = 4 << 20, 1 << 20
 
 
 def _bucket_count(df: DataFrame) -> int:
-    """Buckets by the size of the input, from the plan's statistics."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(8, min(_MAX_BUCKETS, size // _BUCKET_BYTES))
+    """Buckets by the size of the input."""
+    return max(8, min(_MAX_BUCKETS, input_bytes(df) // _BUCKET_BYTES))
 
 
 def _passed_batch(ids: pa.Array, **given: object) -> pa.RecordBatch:
@@ -115,7 +117,7 @@ def _passed_batch(ids: pa.Array, **given: object) -> pa.RecordBatch:
         columns |= {"what": pa.array(np.zeros(n, np.int32)), "n_words": pa.array(counts, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
     else:
         task, texts, sure, begins, entries = given["waiting"]
-        columns |= {"what": pa.array(np.ones(n, np.int32)), "task": pa.array(np.full(n, task, np.int32)), "text_": texts.cast(pa.string()), "sure": sure, "begins": begins, "entries": entries}
+        columns |= {"what": pa.array(np.ones(n, np.int32)), "task": pa.array(np.full(n, task, np.int64)), "text_": texts.cast(pa.string()), "sure": sure, "begins": begins, "entries": entries}
     return pa.RecordBatch.from_arrays([columns[f.name] for f in _PASSED], schema=_PASSED)
 
 
@@ -170,7 +172,7 @@ def _ask(task: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]
         out["bucket"].append(int(bucket[part[0]]))
         out["packed"].append(_pack(one[where].tobytes() + ids[where].tobytes() + two[where].tobytes() + part.astype(np.uint32).tobytes()))
     n = len(out["bucket"])
-    columns = {f.name: pa.nulls(n, f.type) for f in _PASSED} | {"what": pa.array(np.full(n, 2, np.int32)), "task": pa.array(np.full(n, task, np.int32)), "bucket": pa.array(out["bucket"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())}
+    columns = {f.name: pa.nulls(n, f.type) for f in _PASSED} | {"what": pa.array(np.full(n, 2, np.int32)), "task": pa.array(np.full(n, task, np.int64)), "bucket": pa.array(out["bucket"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())}
     yield pa.RecordBatch.from_arrays([columns[f.name] for f in _PASSED], schema=_PASSED)
 
 
@@ -184,7 +186,7 @@ def _decide(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         n = len(data) // 24
         for i, (low, high, kind) in enumerate(((0, 8, np.uint64), (8, 16, np.int64), (16, 20, np.uint32), (20, 24, np.uint32))):
             columns[i].append(np.frombuffer(data[low * n : high * n], dtype=kind))
-        columns[4].append(np.full(n, task, dtype=np.int32))
+        columns[4].append(np.full(n, task, dtype=np.int64))
     one, ids, two, entry, task = (np.concatenate(c) for c in columns)
     order = np.lexsort((ids, two, one))
     one, ids, two, entry, task = (c[order] for c in (one, ids, two, entry, task))
@@ -197,7 +199,7 @@ def _decide(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     cut = np.flatnonzero(np.diff(task)) + 1
     rows = [(int(task[low]), _pack(entry[low:high].tobytes())) for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(task)]) if high > low]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "packed"])
 
 
 def _finished(row_id: int | None, text: str, begins: np.ndarray, window: int) -> dict:
@@ -218,10 +220,10 @@ def _without(batch: pa.RecordBatch, copies: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(~bits_at(copies, cells_of(mix64(h1), 0, COPY_WIDTH).astype(np.int64))))
 
 
-def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, width: int = SKETCH_WIDTH, rows: int = SKETCH_ROWS) -> DataFrame:
+def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, width: int | None = None, rows: int = SKETCH_ROWS) -> DataFrame:
     """Per row of ``df``: id, n_words, n_removed, kept_sha256 and the word ranges that go."""
-    bound_batches(df.sparkSession)
     anchor = min(anchor, window)
+    width = width or width_for(df, CELL_BYTES, SKETCH_WIDTH)
     hashed = df.select(F.col(id_column).alias("id_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text_")).withColumns({"h1": F.xxhash64("text_"), "h2": F.xxhash64(F.lit(1), "text_")})
     id_type = hashed.schema["id_"].dataType.simpleString()
     ddl = f"id_ {id_type}, text_ string, h1 long, h2 long"
@@ -235,7 +237,7 @@ def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     copies = merged_sketch(copied.select("h1"), hash_of, COPY_WIDTH, 1, present)
 
     def only_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h1 = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             yield batch.filter(pa.array(bits_at(copies.value, cells_of(mix64(h1), 0, COPY_WIDTH).astype(np.int64))))
 
@@ -247,7 +249,7 @@ def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             yield _distinct_anchors(words, window, anchor)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _without(batch, copies.value)
 
     distinct = hashed.mapInArrow(others, ddl).unionByName(some.where("NOT again").select("id_", "text_", "h1", "h2"))
@@ -257,9 +259,9 @@ def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     buckets = _bucket_count(df)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        task, size = TaskContext.get().partitionId() << 24, 0  # and the run in it
         held: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for low, high, words in text_groups(batch, "text_"):
                 at, one, two, anchors = _flagged(words, window, anchor, sketch.value, width, rows)
                 has = np.diff(np.searchsorted(at, words.bounds)) > 0
@@ -272,7 +274,12 @@ def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                     rank = np.cumsum(has) - 1
                     row = words.row[at]
                     number = ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-                    held.append((ids.take(pa.array(np.flatnonzero(has))), texts.take(pa.array(np.flatnonzero(has))), rank[row], number[row], (at - words.bounds[row]).astype(np.int32), one, two.astype(np.uint32), anchors))
+                    kept = texts.take(pa.array(np.flatnonzero(has)))
+                    held.append((ids.take(pa.array(np.flatnonzero(has))), kept, rank[row], number[row], (at - words.bounds[row]).astype(np.int32), one, two.astype(np.uint32), anchors))
+                    size += kept.nbytes + 44 * len(at)
+                    if size >= RUN_BYTES:
+                        yield from _ask(task, held, buckets)
+                        task, held, size = task + 1, [], 0
         if held:
             yield from _ask(task, held, buckets)
 
@@ -282,7 +289,7 @@ def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for bucket, task, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if bucket != now:
                     yield from _decide(parts)
@@ -290,14 +297,14 @@ def removed_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                 parts.append((task, packed))
         yield from _decide(parts)
 
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "task int, packed binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "task long, packed binary")
     waiting = passed.where("what = 1").select("task", F.lit(1).alias("what"), "id_", "text_", "sure", "begins", "entries", F.lit(None).cast("binary").alias("packed"))
     told = answers.select("task", F.lit(0).alias("what"), F.lit(None).cast("long").alias("id_"), F.lit(None).cast("string").alias("text_"), *(F.lit(None).cast("array<int>").alias(c) for c in ("sure", "begins", "entries")), "packed")
     streams = told.unionByName(waiting).repartition("task").sortWithinPartitions("task", "what")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, gone = None, np.zeros(0, dtype=bool)
-        for batch in batches:
+        for batch in slices(batches):
             tasks, what = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[dict] = []
             for i, task in enumerate(tasks):
