@@ -12,14 +12,18 @@ them are read again, found by a filter of fixed size, so whole sets of texts
 without candidates are neither stored nor moved.
 
 The index is not expanded into pairs. In each bucket the entry with the earliest
-position is the pivot; every entry is verified against it once (length and
-positional filter first). Components of these links are built, and only entries
-that are not in their pivot's component are compared with the bucket's entries of
-other components, again after length, positional and suffix filters. A linked pair
-shares the bucket of its first common shingle: there one of them is the pivot, or
-both already are in one component, or it is among the second pairs. So no link
-between components is lost, while copies of a passage or a large group of near
-copies cost links to a pivot, not pairs.
+position is the pivot; every entry that length, positional and signature filter leave is
+verified against it once. Components of these links are built, and a new pivot is taken of
+the entries outside the components of those before, for ``ROUNDS`` rounds; each costs links
+to a pivot. Only entries still outside the first pivot's component are then compared
+with the bucket's entries of other components. Large buckets are dealt by a salt, and
+all filters apply within the join, before anything is written. The signature is the
+parity of a set's shingles in 128 cells: two of them differ in no more cells than the sets
+have shingles of one only, so it never drops a link. A suffix filter and the
+sets themselves decide. A linked pair shares the bucket of its first common shingle:
+there one of them is a pivot, or both already are in one component, or it is compared. So
+no link between components is lost, while copies of a passage or a large group of
+near copies cost links to a pivot, not pairs.
 
 Defined cases: texts without words have an empty set and are linked with nothing;
 fewer than ``k`` words are one shingle; null ids are ignored when the smallest id of
@@ -30,6 +34,7 @@ are equal sets; extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +42,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .names import fresh, quoted
 from ..scratch import materialize, release
-from .sketch import bits_at, cells_of, log_levels, merged_sketch, present
-from .textbatch import LOWER, Words, bound_batches, mix64, rolling, text_groups
+from .sketch import bits_at, cells_of, log_levels, merged_sketch, present, width_for
+from .textbatch import LOWER, Words, slices, mix64, rolling, text_groups
 
-SKETCH_WIDTH = 1 << 26
+#: Most cells of the sketch, and bytes of input for one.
+SKETCH_WIDTH, CELL_BYTES = 1 << 26, 2
+#: Rounds of pivots, and entries of a bucket that one task compares with the others.
+ROUNDS, SALT_ROWS = 2, 2048
+_CELLS = 128
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +82,14 @@ def _set_digest(keys: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-_ROW_DDL = "n long, cls struct<a: long, b: long>, prefix array<struct<token: long, pos: int>>"
+def _signatures(rows: np.ndarray, keys: np.ndarray, n_rows: int) -> np.ndarray:
+    """Two words a row: the parity of its shingles in each of 128 cells."""
+    cell = (keys >> np.uint64(33)).astype(np.int64) & (_CELLS - 1)
+    odd = np.bincount(rows * _CELLS + cell, minlength=n_rows * _CELLS).reshape(n_rows, _CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+_ROW_DDL = "n long, cls struct<a: long, b: long>, sig struct<a: long, b: long>, prefix array<struct<token: long, pos: int>>"
 #: Bits of the filter that names the texts to verify.
 _FILTER_WIDTH = 1 << 23
 _CLS = pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -92,7 +109,9 @@ def _set_rows(words: Words, n_rows: int, k: int, percent: int, cells: np.ndarray
     picked = order[pick]
     at = np.searchsorted(rows[picked], np.arange(n_rows + 1)) if len(picked) else np.zeros(n_rows + 1, np.int64)
     entries = pa.StructArray.from_arrays([pa.array(keys[picked].view(np.int64)), pa.array(pos[pick].astype(np.int32))], fields=list(_PREFIX))
-    return [pa.array(n, pa.int64()), _classes(keys, bounds, n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), entries)]
+    signs = _signatures(rows, keys, n_rows)
+    signature = pa.StructArray.from_arrays([pa.array(signs[:, 0].copy()), pa.array(signs[:, 1].copy())], fields=list(_CLS))
+    return [pa.array(n, pa.int64()), _classes(keys, bounds, n), signature, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), entries)]
 
 
 def _classes(keys: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -114,7 +133,7 @@ def _sets_of(keyed: DataFrame, keys: DataFrame, k: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             cell = cells_of(mix64(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), 0, _FILTER_WIDTH)
             for low, high, words in text_groups(batch.filter(pa.array(bits_at(wanted.value, cell.astype(np.int64)))), "text_"):
                 rows, tokens = shingle_sets(words, k)
@@ -140,10 +159,12 @@ def _reach(percent: int, overlap: Column, a: Column, b: Column) -> Column:
 
 
 def _may_link(percent: int, x: str, y: str) -> Column:
-    """Length and positional filter at a shared prefix shingle."""
+    """Length, positional and signature filter at a shared prefix shingle."""
+    differ = F.expr(f"bit_count({x}.sig.a ^ {y}.sig.a) + bit_count({x}.sig.b ^ {y}.sig.b)")
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     left = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & _reach(percent, left, nx, ny)
+    alike = (100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & _reach(percent, left, nx, ny) & alike
 
 
 def _suffix_bound(tx: Column, ty: Column, nx: Column, ny: Column) -> Column:
@@ -170,13 +191,12 @@ def _verified(pairs: DataFrame, active: DataFrame, keyed: DataFrame, k: int, per
     return links
 
 
-def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, width: int = SKETCH_WIDTH) -> DataFrame:
+def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, width: int | None = None) -> DataFrame:
     """One row per row of ``df``: id, key of its text, set size, class and component.
 
     Returns (id_, key_, n_shingles, cls, component_id): ``component_id`` is the smallest
     id that links of Jaccard similarity ``percent``/100 or more reach from the row.
     """
-    bound_batches(df.sparkSession)
     narrow = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"))
     id_type = narrow.schema["id_"].dataType.simpleString()
 
@@ -184,42 +204,69 @@ def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
         for _, _, words in text_groups(batch, "text_"):
             yield shingle_sets(words, k)[1]
 
+    width = width or width_for(df, CELL_BYTES, SKETCH_WIDTH)
     sketch = merged_sketch(narrow.select("text_"), keys_of, width, 1, log_levels)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for low, high, words in text_groups(batch, "text_"):
                 own = [batch.column(i).slice(low, high - low) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, *_set_rows(words, high - low, k, percent, sketch.value, width)], names=["id_", "key_", "n", "cls", "prefix"])
+                yield pa.RecordBatch.from_arrays([*own, *_set_rows(words, high - low, k, percent, sketch.value, width)], names=["id_", "key_", "n", "cls", "sig", "prefix"])
 
     keyed = narrow.withColumn("key_", F.xxhash64("text_"))
     wide = materialize(keyed.mapInArrow(sets, f"id_ {id_type}, key_ long, {_ROW_DDL}"), "rows")
     rows = materialize(wide.select("id_", "key_", "n", "cls"), "narrow")
     # any text of a class will do to verify it
-    active = materialize(wide.where(F.size("prefix") > 0).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("key_").alias("key_")), "classes")
+    active = materialize(wide.where(F.size("prefix") > 0).groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.first("key_").alias("key_")), "classes")
     release(wide)
     sketch.unpersist()
 
-    entries = active.select("cls", "n", F.explode("prefix").alias("p")).select("cls", "n", "p.token", "p.pos")
-    pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "m", "p.pos", "p.n", "p.cls")
-    at = materialize(
-        entries.alias("e").join(pivots.alias("p"), "token").select("token", "m", "e.cls", "e.n", "e.pos", F.col("p.cls").alias("p_cls"), ((F.col("e.cls") != F.col("p.cls")) & _may_link(percent, "e", "p")).alias("star")), "buckets"
-    )
-    star = _verified(at.where("star").select(F.col("cls").alias("x"), F.col("p_cls").alias("y")), active, keyed, k, percent, "links")
-    roots = materialize(components(star, "x", "y"), "roots")
-
-    # second pairs: only entries outside their pivot's component, in buckets of three or more
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rooted = at.where("m > 2").join(root_of("cls"), "cls", "left").join(root_of("p_cls"), "p_cls", "left")
-    rooted = rooted.select("token", "cls", "n", "pos", "p_cls", F.coalesce("cls_root", "cls").alias("root"), F.coalesce("p_cls_root", "p_cls").alias("p_root")).withColumn("out", F.col("root") != F.col("p_root"))
-    rooted = materialize(rooted, "rooted")
-    outside, every = rooted.where("out").alias("o"), rooted.where("cls != p_cls").alias("e")
-    second = outside.join(every, F.col("o.token") == F.col("e.token")).where((F.col("o.root") != F.col("e.root")) & (~F.col("e.out") | (F.col("o.cls") < F.col("e.cls"))) & _may_link(percent, "o", "e"))
-    second = _verified(second.select(F.least("o.cls", "e.cls").alias("x"), F.greatest("o.cls", "e.cls").alias("y")), active, keyed, k, percent, "more-links")
-    if second.head(1):
-        stars = roots.where("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
-        roots = components(stars.unionByName(second), "x", "y")
-    release(at, rooted, active)
+    entries = active.select("cls", "n", "sig", F.explode("prefix").alias("p")).select("cls", "n", "sig", "p.token", "p.pos")
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    at = materialize(entries.join(shared, "token"), "buckets")
+
+    def verified(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        pairs = pairs.select(F.least(f"{x}.cls", f"{y}.cls").alias("x"), F.greatest(f"{x}.cls", f"{y}.cls").alias("y"))
+        return _verified(pairs, active, keyed, k, percent, "links")
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        found = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+        return found.select("token", "cls", "n", "pos", "sig", F.coalesce("root", "cls").alias("root"))
+
+    def contracted(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        stars = links if roots is None else links.unionByName(roots.where("node != root").select(F.col("node").alias("x"), F.col("root").alias("y")))
+        return materialize(components(stars, "x", "y"), "roots")
+
+    # rounds of pivots: each meets all entries of its bucket that are of another component
+    whole, left, roots, pivots = at.withColumn("root", F.col("cls")), None, None, None
+    for i in range(ROUNDS):
+        new = (whole if left is None else left).groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "sig", "root")).alias("p")).select("token", "p.*")
+        new = materialize(new, "pivots")
+        pairs = whole.alias("e").join(new.alias("p"), "token").where((F.col("e.root") != F.col("p.root")) & _may_link(percent, "e", "p"))
+        roots = contracted(roots, verified(pairs, "e", "p"))
+        chosen = new.select("token", "cls", F.lit(i).alias("nth"))
+        pivots = chosen if pivots is None else pivots.unionByName(chosen)
+        whole = materialize(rooted(at, roots), "rooted")
+        # what is left: no pivot, and not of the component of the bucket's first pivot
+        first = whole.join(pivots.where("nth = 0"), ["token", "cls"]).select("token", "root")
+        rest = materialize(whole.join(first, ["token", "root"], "left_anti").join(pivots, ["token", "cls"], "left_anti"), "rest")
+        # the next pivots come from components that have none
+        own = whole.join(pivots, ["token", "cls"]).select("token", "root").distinct()
+        left = materialize(rest.join(own, ["token", "root"], "left_anti"), "outside")
+        if not left.head(1):
+            break
+
+    # every pair of two components of which one is left, in salted parts of large buckets
+    sizes = whole.join(rest.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
+    outside = rest.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
+    inside = whole.join(sizes, "token").join(pivots.select("token", "cls"), ["token", "cls"], "left_anti").join(rest.select("token", "cls", F.lit(True).alias("out")), ["token", "cls"], "left")
+    inside = inside.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    second = outside.alias("o").join(inside.alias("e"), (F.col("o.token") == F.col("e.token")) & (F.col("o.salt") == F.col("e.salt")))
+    second = second.where((F.col("o.root") != F.col("e.root")) & (F.col("e.out").isNull() | (F.col("o.cls") < F.col("e.cls"))) & _may_link(percent, "o", "e"))
+    found = verified(second, "o", "e")
+    if found.head(1):
+        roots = contracted(roots, found)
+    release(at, active)
 
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id_").alias("min_"))
     rooted_classes = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "min_", F.coalesce("root", "cls").alias("root"))
@@ -229,17 +276,20 @@ def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     return rows.select("id_", "key_", "n", "cls").join(of_class, "cls", "left").select("id_", "key_", F.col("n").alias("n_shingles"), "cls", F.when(F.col("cls").isNull(), F.col("id_")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, width: int = SKETCH_WIDTH) -> DataFrame:
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, width: int | None = None) -> DataFrame:
     """The rows of ``df`` without those linked to a smaller id: one row of each component stays.
 
     Rows without words all stay. Of repeated rows of the smallest id one stays.
     """
     found = linked_groups(df, id_column, text, k, percent, width).where(F.col("cls").isNotNull())
     keeper = found.groupBy("component_id").agg(F.min(F.struct(F.col("id_").isNull(), "id_", "key_", "cls")).alias("k")).select("k.id_", "k.key_")
-    keyed = df.withColumns({"key__": F.xxhash64(F.col(text).cast("string")), "empty__": ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
-    empty = keyed.where("empty__").drop("key__", "empty__")
-    rest = keyed.where("NOT empty__").alias("d").join(keeper.alias("k"), F.col(f"d.{id_column}").eqNullSafe(F.col("k.id_")) & (F.col("d.key__") == F.col("k.key_")), "left_semi")
-    return rest.dropDuplicates([id_column, "key__"]).drop("key__", "empty__").unionByName(empty)
+    key, empty = fresh(df, "key__", "empty__")
+    (id_name, text_name), columns = quoted(id_column, text), quoted(*df.columns)
+    body = F.col(text_name).cast("string")
+    keyed = df.withColumns({key: F.xxhash64(body), empty: ~F.coalesce(body, F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
+    none = keyed.where(F.col(empty)).select(*columns)
+    rest = keyed.where(~F.col(empty)).alias("d").join(keeper.alias("k"), F.col(f"d.{id_name}").eqNullSafe(F.col("k.id_")) & (F.col(f"d.{key}") == F.col("k.key_")), "left_semi")
+    return rest.dropDuplicates([id_column, key]).select(*columns).unionAll(none)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
