@@ -13,17 +13,15 @@ without candidates are neither stored nor moved.
 
 The index is not expanded into pairs. In each bucket the entry with the earliest
 position is the pivot; every entry that length, positional and signature filter leave is
-verified against it once. Components of these links are built, and a new pivot is taken of
-the entries outside the components of those before, for ``ROUNDS`` rounds; each costs links
-to a pivot. Only entries still outside the first pivot's component are then compared
-with the bucket's entries of other components. Large buckets are dealt by a salt, and
-all filters apply within the join, before anything is written. The signature is the
-parity of a set's shingles in 128 cells: two of them differ in no more cells than the sets
-have shingles of one only, so it never drops a link. A suffix filter and the
-sets themselves decide. A linked pair shares the bucket of its first common shingle:
-there one of them is a pivot, or both already are in one component, or it is compared. So
-no link between components is lost, while copies of a passage or a large group of
-near copies cost links to a pivot, not pairs.
+verified against it once. Components of these links are built, and only entries that
+are not in their pivot's component are compared with the bucket's entries of other
+components. Large buckets are dealt by a salt, and all three filters apply within
+the join, before anything is written. The signature is the parity of a set's shingles in
+128 cells: two of them differ in no more cells than the sets have shingles of one only,
+so it never drops a link. A suffix filter and the sets themselves decide. A linked pair
+shares the bucket of its first common shingle: there one of them is the pivot, or both
+already are in one component, or it is compared. So no link between components is lost,
+while copies of a passage or a large group of near copies cost links to a pivot, not pairs.
 
 Defined cases: texts without words have an empty set and are linked with nothing;
 fewer than ``k`` words are one shingle; null ids are ignored when the smallest id of
@@ -34,7 +32,6 @@ are equal sets; extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +46,8 @@ from .textbatch import LOWER, Words, slices, mix64, rolling, text_groups
 
 #: Most cells of the sketch, and bytes of input for one.
 SKETCH_WIDTH, CELL_BYTES = 1 << 26, 2
-#: Rounds of pivots, and entries of a bucket that one task compares with the others.
-ROUNDS, SALT_ROWS = 2, 2048
+#: Entries of a bucket that one task compares with the others.
+SALT_ROWS = 2048
 _CELLS = 128
 
 
@@ -222,50 +219,27 @@ def linked_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     sketch.unpersist()
 
     entries = active.select("cls", "n", "sig", F.explode("prefix").alias("p")).select("cls", "n", "sig", "p.token", "p.pos")
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    at = materialize(entries.join(shared, "token"), "buckets")
-
-    def verified(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        pairs = pairs.select(F.least(f"{x}.cls", f"{y}.cls").alias("x"), F.greatest(f"{x}.cls", f"{y}.cls").alias("y"))
-        return _verified(pairs, active, keyed, k, percent, "links")
-
-    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        found = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        return found.select("token", "cls", "n", "pos", "sig", F.coalesce("root", "cls").alias("root"))
-
-    def contracted(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-        stars = links if roots is None else links.unionByName(roots.where("node != root").select(F.col("node").alias("x"), F.col("root").alias("y")))
-        return materialize(components(stars, "x", "y"), "roots")
-
-    # rounds of pivots: each meets all entries of its bucket that are of another component
-    whole, left, roots, pivots = at.withColumn("root", F.col("cls")), None, None, None
-    for i in range(ROUNDS):
-        new = (whole if left is None else left).groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "sig", "root")).alias("p")).select("token", "p.*")
-        new = materialize(new, "pivots")
-        pairs = whole.alias("e").join(new.alias("p"), "token").where((F.col("e.root") != F.col("p.root")) & _may_link(percent, "e", "p"))
-        roots = contracted(roots, verified(pairs, "e", "p"))
-        chosen = new.select("token", "cls", F.lit(i).alias("nth"))
-        pivots = chosen if pivots is None else pivots.unionByName(chosen)
-        whole = materialize(rooted(at, roots), "rooted")
-        # what is left: no pivot, and not of the component of the bucket's first pivot
-        first = whole.join(pivots.where("nth = 0"), ["token", "cls"]).select("token", "root")
-        rest = materialize(whole.join(first, ["token", "root"], "left_anti").join(pivots, ["token", "cls"], "left_anti"), "rest")
-        # the next pivots come from components that have none
-        own = whole.join(pivots, ["token", "cls"]).select("token", "root").distinct()
-        left = materialize(rest.join(own, ["token", "root"], "left_anti"), "outside")
-        if not left.head(1):
-            break
-
-    # every pair of two components of which one is left, in salted parts of large buckets
-    sizes = whole.join(rest.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
-    outside = rest.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
-    inside = whole.join(sizes, "token").join(pivots.select("token", "cls"), ["token", "cls"], "left_anti").join(rest.select("token", "cls", F.lit(True).alias("out")), ["token", "cls"], "left")
-    inside = inside.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    second = outside.alias("o").join(inside.alias("e"), (F.col("o.token") == F.col("e.token")) & (F.col("o.salt") == F.col("e.salt")))
-    second = second.where((F.col("o.root") != F.col("e.root")) & (F.col("e.out").isNull() | (F.col("o.cls") < F.col("e.cls"))) & _may_link(percent, "o", "e"))
-    found = verified(second, "o", "e")
-    if found.head(1):
-        roots = contracted(roots, found)
+    pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "sig")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "m", "p.pos", "p.n", "p.cls", "p.sig")
+    met = entries.alias("e").join(pivots.alias("p"), "token")
+    at = materialize(met.select("token", "m", "e.cls", "e.n", "e.pos", "e.sig", F.col("p.cls").alias("p_cls"), ((F.col("e.cls") != F.col("p.cls")) & _may_link(percent, "e", "p")).alias("star")), "buckets")
+    star = _verified(at.where("star").select(F.col("cls").alias("x"), F.col("p_cls").alias("y")), active, keyed, k, percent, "links")
+    roots = materialize(components(star, "x", "y"), "roots")
+
+    # second pairs: only entries outside their pivot's component, in buckets of three or more, dealt by a salt
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rooted = at.where("m > 2 AND cls != p_cls").join(root_of("cls"), "cls", "left").join(root_of("p_cls"), "p_cls", "left")
+    salts = F.ceil(F.col("m") / SALT_ROWS).cast("long").alias("salts")
+    rooted = rooted.select("token", salts, "cls", "n", "pos", "sig", F.coalesce("cls_root", "cls").alias("root"), F.coalesce("p_cls_root", "p_cls").alias("p_root")).withColumn("out", F.col("root") != F.col("p_root"))
+    rooted = materialize(rooted, "rooted")
+    outside = rooted.where("out").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
+    every = rooted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    second = outside.alias("o").join(every.alias("e"), (F.col("o.token") == F.col("e.token")) & (F.col("o.salt") == F.col("e.salt")))
+    second = second.where((F.col("o.root") != F.col("e.root")) & (~F.col("e.out") | (F.col("o.cls") < F.col("e.cls"))) & _may_link(percent, "o", "e"))
+    second = _verified(second.select(F.least("o.cls", "e.cls").alias("x"), F.greatest("o.cls", "e.cls").alias("y")), active, keyed, k, percent, "more-links")
+    if second.head(1):
+        stars = roots.where("node != root").select(F.col("node").alias("x"), F.col("root").alias("y"))
+        roots = components(stars.unionByName(second), "x", "y")
+    release(rooted)
     release(at, active)
 
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id_").alias("min_"))
