@@ -133,12 +133,13 @@ def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
         yield from own.pieces(pieces)
 
     counted, kind = df.mapInArrow(count, _DDL), np.uint8
+    tasks = min(pieces, 2 * context.defaultParallelism)
     fan = fan or min(64, 1 + input_bytes(df) // _FAN_BYTES)
     if fan > 1:
         salted = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
-        first = salted.repartition(pieces * fan, "piece", "salt").select("piece", "cells")
+        first = salted.repartition(tasks * fan, "piece", "salt").select("piece", "cells")
         counted, kind = first.mapInArrow(lambda b: _merge(b, np.uint8, lambda x: x), _DDL), np.uint32
-    merged = counted.repartition(pieces, "piece").mapInArrow(lambda b: _merge(b, kind, quantise), _DDL)
+    merged = counted.repartition(tasks, "piece").mapInArrow(lambda b: _merge(b, kind, quantise), _DDL)
     step = rows * width // pieces
     parts = [quantise(np.zeros(step, dtype=np.uint32)) for _ in range(pieces)]
     unpacker = zstandard.ZstdDecompressor()
