@@ -24,6 +24,16 @@ def local_session(app: str = "pigmenta", cores: str = "*", partitions: int = 8)
     )
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """For entry points, which own their session: at most ``rows`` rows a batch between Spark and Python.
+
+    Operators bound what they make of a batch themselves and leave the session as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
