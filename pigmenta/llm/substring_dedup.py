@@ -44,7 +44,7 @@ ANCHOR = 8
 SKETCH_WIDTH, CELL_BYTES = 1 << 25, 16
 COPY_WIDTH = 1 << 23
 #: Bytes of texts and windows that a task holds for one run.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 24 << 20
 SKETCH_ROWS = 4
 
 
@@ -135,11 +135,12 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
 
 
 def _ask(task: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Group the windows of a task: what is decided, what each row asks, and the entries for the buckets."""
-    sizes = [len(h[0]) for h in held]
-    base = np.concatenate([[0], np.cumsum(sizes)])
+    """Group the windows of a run: what is decided, what each row asks, and the entries for the buckets. Empties ``held``."""
+    rows = [h[:2] for h in held]
+    base = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
     doc = np.concatenate([h[2] + b for h, b in zip(held, base)])
     ids, begin, one, two, anchors = (np.concatenate([h[i] for h in held]) for i in range(3, 8))
+    held.clear()  # each window is held once from here on
     order = np.lexsort((ids, two, one))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -155,22 +156,23 @@ def _ask(task: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]
     number = np.empty(len(least), dtype=np.int64)
     number[by_place] = np.arange(len(least))
     entry = number[of]
+    head = first[by_place]
+    anchors, one, two, ids = (x[head] for x in (anchors, one, two, ids))  # of the entries
+    del order, new, group, of, first, number, by_place
     at = 0
-    for (row_ids, texts, *_), low in zip(held, base):
+    for (row_ids, texts), low in zip(rows, base):
         n = len(row_ids)
         high = at + int(np.searchsorted(doc[at:], low + n))
         mine, certain = doc[at:high] - low, sure[at:high]
         yield _passed_batch(row_ids, waiting=(task, texts, _lists(begin[at:high][certain], mine[certain], n), _lists(begin[at:high][~certain], mine[~certain], n), _lists(entry[at:high][~certain], mine[~certain], n)))
         at = high
-    head = first[by_place]
-    bucket = (mix64(anchors[head]) % np.uint64(buckets)).astype(np.int32)
+    bucket = (mix64(anchors) % np.uint64(buckets)).astype(np.int32)
     by_bucket = np.lexsort((np.arange(len(head)), bucket))
     cut = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
     out: dict[str, list] = {"bucket": [], "packed": []}
     for part in np.split(by_bucket, cut):
-        where = head[part]
         out["bucket"].append(int(bucket[part[0]]))
-        out["packed"].append(_pack(one[where].tobytes() + ids[where].tobytes() + two[where].tobytes() + part.astype(np.uint32).tobytes()))
+        out["packed"].append(_pack(one[part].tobytes() + ids[part].tobytes() + two[part].tobytes() + part.astype(np.uint32).tobytes()))
     n = len(out["bucket"])
     columns = {f.name: pa.nulls(n, f.type) for f in _PASSED} | {"what": pa.array(np.full(n, 2, np.int32)), "task": pa.array(np.full(n, task, np.int64)), "bucket": pa.array(out["bucket"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())}
     yield pa.RecordBatch.from_arrays([columns[f.name] for f in _PASSED], schema=_PASSED)
