@@ -154,7 +154,8 @@ def test_training(spark, kind):
 
 def test_kernel_training(spark):
     table = spark.createDataFrame([(float(i), 0.0, 0.0, float(i % 40 > 20) * 4) for i in range(200)], "v double, e double, ratio double, theta double")
-    wary, low = th.train(table, "svr", grid={"c": [10.0, 0.001], "gamma": [0.05]})
+    above = table.withColumn("theta", F.col("theta") + 1)  # the weak fit stays below every margin, the strong one does not
+    wary, low = th.train(above, "svr", grid={"c": [10.0, 0.001], "gamma": [0.05]})
     assert th.quality(low).first()["violation_ratio"] <= 0.1 and wary.vectors.count() > 10
     model, scored = th.train(table, "svr", c=10.0, gamma=0.05)
     assert th.quality(scored).first()["r2"] > 0.7 and model.vectors.count() > 10
