@@ -1,6 +1,7 @@
 """Count sketches built per partition, merged by cell range, broadcast at a fixed size.
 
-Each task counts into its own dense array and emits it in compressed pieces, as many as the
+Each task counts into its own dense array (a byte a cell, or two bits where only 0, 1 and more
+matter) and emits it in compressed pieces, as many as the
 cluster has tasks; pieces of one cell range meet in one task, which adds them as they
 stream in, in two levels where there are very many. The width follows the input up to a
 fixed most: that is the proven bound under which it is collected and broadcast. Estimates never fall
@@ -28,7 +29,7 @@ _SCHEMA = pa.schema([("piece", pa.int32()), ("cells", pa.binary())])
 _DDL = "piece int, cells binary"
 
 
-class PartitionSketch:
+class PartitionCounts:
     """Saturating byte counters of one partition."""
 
     def __init__(self, width: int, rows: int = 1) -> None:
@@ -41,11 +42,51 @@ class PartitionSketch:
             at = cell.astype(np.int64) + r * self.width
             self.cells[at] = np.minimum(self.cells[at] + n.astype(np.int64), 255).astype(np.uint8)
 
-    def pieces(self, n: int) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for i, part in enumerate(np.split(self.cells, n)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packer.compress(part.tobytes())], pa.binary())], schema=_SCHEMA)
+    def parts(self, n: int) -> Iterator[np.ndarray]:
+        yield from np.split(self.cells, n)
+
+
+class PartitionBits:
+    """Two bits a cell of one partition: whether it counted any, and whether two or more."""
+
+    def __init__(self, width: int, rows: int = 1) -> None:
+        self.width, self.rows = width, rows
+        self.any, self.more = (np.zeros(rows * width // 8, dtype=np.uint8) for _ in range(2))
+
+    def add(self, keys: np.ndarray) -> None:
+        for r in range(self.rows if len(keys) else 0):
+            cell, n = np.unique(cells_of(keys, r, self.width), return_counts=True)
+            at = cell.astype(np.int64) + r * self.width
+            byte, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+            head = np.flatnonzero(np.diff(byte, prepend=-1))  # first cell in each byte; cells ascend
+            byte, held, twice = byte[head], np.bitwise_or.reduceat(bit, head), np.bitwise_or.reduceat(np.where(n > 1, bit, np.uint8(0)), head)
+            self.more[byte] |= twice | (self.any[byte] & held)
+            self.any[byte] |= held
+
+    def parts(self, n: int) -> Iterator[np.ndarray]:
+        for one, two in zip(np.split(self.any, n), np.split(self.more, n)):
+            yield np.concatenate([one, two])
+
+
+def _add_counts(total: np.ndarray | None, part: np.ndarray) -> np.ndarray:
+    if total is None:
+        return part.astype(np.uint32)
+    total += np.minimum(part, np.uint32(0xFFFFFFFF) - total).astype(np.uint32)
+    return total
+
+
+def _add_bits(total: np.ndarray | None, part: np.ndarray) -> np.ndarray:
+    if total is None:
+        return part.copy()
+    half = len(part) // 2
+    total[half:] |= part[half:] | (total[:half] & part[:half])
+    total[:half] |= part[:half]
+    return total
+
+
+def _packed(piece: int, part: np.ndarray) -> pa.RecordBatch:
+    body = zstandard.ZstdCompressor(level=1).compress(part.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([body], pa.binary())], schema=_SCHEMA)
 
 
 #: Odd multipliers that make the rows of a sketch differ.
@@ -58,20 +99,14 @@ def cells_of(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((keys * np.uint64(_ROWS[row])) >> (np.uint64(64) - bits)).astype(np.uint32)
 
 
-def _merge(batches: Iterator[pa.RecordBatch], kind: type, quantise: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], kind: type, add: Callable, finish: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(unpacker.decompress(packed.as_py()), dtype=kind)
-            if piece in sums:
-                room = np.uint32(0xFFFFFFFF) - sums[piece]
-                sums[piece] += np.minimum(part, room).astype(np.uint32)
-            else:
-                sums[piece] = part.astype(np.uint32)
+            sums[piece] = add(sums.get(piece), np.frombuffer(unpacker.decompress(packed.as_py()), dtype=kind))
     for piece, total in sums.items():
-        body = zstandard.ZstdCompressor(level=1).compress(quantise(total).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([body], pa.binary())], schema=_SCHEMA)
+        yield _packed(piece, finish(total))
 
 
 def log_levels(total: np.ndarray) -> np.ndarray:
@@ -84,12 +119,12 @@ def log_levels(total: np.ndarray) -> np.ndarray:
 
 def repeated(total: np.ndarray) -> np.ndarray:
     """One bit a cell: whether it counted two or more."""
-    return np.packbits(total >= 2)
+    return total[len(total) // 2 :]
 
 
 def present(total: np.ndarray) -> np.ndarray:
     """One bit a cell: whether it counted any."""
-    return np.packbits(total >= 1)
+    return total[: len(total) // 2]
 
 
 def bits_at(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -111,14 +146,17 @@ def width_for(df: DataFrame, bytes_a_cell: int, most: int) -> int:
 def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, rows: int, quantise: Callable[[np.ndarray], np.ndarray], fan: int | None = None) -> Broadcast:
     """Broadcast sketch over the 64-bit keys of all rows of ``df``.
 
-    It has ``rows * width`` bytes, or bits where ``quantise`` packs them. ``width`` is a
-    power of two, 8 * PIECES at least. ``fan`` tasks add up the pieces of one range first.
+    It has ``rows * width`` bytes of ``log_levels``, or bits where ``quantise`` is ``present``
+    or ``repeated``; a task then counts with two bits a cell, which is all that these need.
+    ``width`` is a power of two, 8 * PIECES at least. ``fan`` tasks add up the pieces of one range first.
     """
+    bits = quantise is not log_levels
+    sketch, add, unit = (PartitionBits, _add_bits, 8) if bits else (PartitionCounts, _add_counts, 1)
     context = df.sparkSession.sparkContext
     pieces = max(PIECES, min(MOST_PIECES, width // 8, 1 << (2 * context.defaultParallelism - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PartitionSketch(width, rows)
+        own = sketch(width, rows)
         held: list[np.ndarray] = []
         n = 0
         for batch in slices(batches):
@@ -130,7 +168,9 @@ def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
                     held, n = [], 0
         if held:
             own.add(np.concatenate(held))
-        yield from own.pieces(pieces)
+        for i, part in enumerate(own.parts(pieces)):
+            if part.any():
+                yield _packed(i, part)
 
     counted, kind = df.mapInArrow(count, _DDL), np.uint8
     tasks = min(pieces, 2 * context.defaultParallelism)
@@ -138,10 +178,9 @@ def merged_sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
     if fan > 1:
         salted = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
         first = salted.repartition(tasks * fan, "piece", "salt").select("piece", "cells")
-        counted, kind = first.mapInArrow(lambda b: _merge(b, np.uint8, lambda x: x), _DDL), np.uint32
-    merged = counted.repartition(tasks, "piece").mapInArrow(lambda b: _merge(b, kind, quantise), _DDL)
-    step = rows * width // pieces
-    parts = [quantise(np.zeros(step, dtype=np.uint32)) for _ in range(pieces)]
+        counted, kind = first.mapInArrow(lambda b: _merge(b, np.uint8, add, lambda x: x), _DDL), np.uint8 if bits else np.uint32
+    merged = counted.repartition(tasks, "piece").mapInArrow(lambda b: _merge(b, kind, add, quantise), _DDL)
+    parts = [np.zeros(rows * width // unit // pieces, dtype=np.uint8)] * pieces
     unpacker = zstandard.ZstdDecompressor()
     table = merged.toArrow()  # of fixed size, before compression
     for piece, packed in zip(table.column(0).to_pylist(), table.column(1)):

@@ -41,7 +41,7 @@ from .textbatch import Words, slices, mix64, rolling, rolling_min, text_groups
 WINDOW = 50
 ANCHOR = 8
 #: Most cells of a row of the sketch, and bytes of input for one.
-SKETCH_WIDTH, CELL_BYTES = 1 << 25, 16
+SKETCH_WIDTH, CELL_BYTES = 1 << 27, 16
 COPY_WIDTH = 1 << 23
 #: Bytes of texts and windows that a task holds for one run.
 RUN_BYTES = 24 << 20

@@ -108,6 +108,23 @@ def test_sketches_add_up_in_two_levels(spark):
     assert (one == two).all() and one.sum() > 0
 
 
+def test_bit_sketches_hold_what_plain_counts_say(spark):
+    from pigmenta.llm.sketch import bits_at, cells_of, merged_sketch, present, repeated
+
+    width, spread = 1 << 12, np.uint64(0x9E3779B97F4A7C15)
+    df = spark.range(3000, numPartitions=6).select((F.col("id") % 1700).alias("k"))
+    keys = lambda b: iter([b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) * spread])
+    counts = np.zeros(2 * width, dtype=int)
+    values = (np.arange(3000) % 1700).astype(np.uint64) * spread
+    for r in range(2):
+        np.add.at(counts, cells_of(values, r, width).astype(int) + r * width, 1)
+    for least, kind in ((1, present), (2, repeated)):
+        for fan in (1, 3):
+            found = bits_at(merged_sketch(df, keys, width, 2, kind, fan).value, np.arange(2 * width))
+            assert (found == (counts >= least)).all()
+    assert not merged_sketch(df.where("k < 0"), keys, width, 2, repeated).value.any()
+
+
 def test_runs_of_windows_are_bounded(docs, rows, monkeypatch):
     from pigmenta.llm import substring_dedup
 
