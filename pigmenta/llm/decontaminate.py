@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .names import column, keep_rows, position
 from .textbatch import ALNUM_WORDS_RAW, LOWER, Words, slices, column_buffer, groups, rolling
 
 WINDOW = 10
@@ -180,7 +181,7 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_words:
     """The items in lists of at most ``block_words`` words (or one item)."""
     block: list[tuple[str | None, str | None]] = []
     words = 0
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string"))
+    rows = benchmark.select(column(benchmark, item_id).cast("string"), column(benchmark, text).cast("string"))
     for item, body in rows.toLocalIterator():  # one partition at a time, never the whole table
         n = (len(body or "") + 1) // 2
         if block and words + n > block_words:
@@ -224,7 +225,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     its hits are stored (once for equal rows) and its tables are let go; the hits of a
     row are then brought together by its id and the hash of its text.
     """
-    narrow = df.select(F.col(id_column).alias("id_"), F.col(text).cast("string").alias("text_"))
+    narrow = df.select(column(df, id_column).alias("id_"), column(df, text).cast("string").alias("text_"))
     keyed = narrow.withColumn("key_", F.xxhash64("id_", "text_"))
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_words)
     found, _tables = _search_block(keyed, next(blocks, []), window)
@@ -263,19 +264,13 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``df`` in which no benchmark window occurs, with all their columns; one narrow pass per block of items."""
-    at = df.columns.index(text)
+    at = position(df, text)
     out = df
     for block in benchmark_blocks(benchmark, item_id, item_text, block_words):
         sets = df.sparkSession.sparkContext.broadcast(pattern_sets(block, window))
         if out is not df:
             out = materialize(out, "clean")  # one block's tables at a time
-
-        def run(batches: Iterator[pa.RecordBatch], sets=sets) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                _, hits, _ = find_hits(batch.column(at), sets.value)
-                yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
-
-        out = out.mapInArrow(run, df.schema)
+        out = keep_rows(out, lambda batch, sets=sets: [not hits for hits in find_hits(batch.column(at), sets.value)[1]])
     return out
 
 

@@ -27,8 +27,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .names import column, keep_rows, position
 from .textbatch import Words, slices, column_buffer, groups, mix64, rolling
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -313,30 +313,23 @@ def quality_report(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     """One row per row of ``df``: its id, the word statistics, the fertility figures and ``kept``."""
     rules = rules or QualityRules()
     ranks = df.sparkSession.sparkContext.broadcast(vocabulary(rules))
-    narrow = df.select(F.col(id_column), F.col(text).cast("string").alias("text_"), F.col(lang).cast("string").alias("lang_"))
-    id_type = narrow.schema[0].dataType.simpleString()
-    ddl = ", ".join([f"`{id_column}` {id_type}", *(f"{c} {t}" for c, t in COLUMNS)])
+    narrow = df.select(column(df, id_column).alias("id_"), column(df, text).cast("string").alias("text_"), column(df, lang).cast("string").alias("lang_"))
+    ddl = ", ".join([f"id_ {narrow.schema[0].dataType.simpleString()}", *(f"{c} {t}" for c, t in COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = judge(batch.column(1), batch.column(2).to_pylist(), rules, ranks.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c], _ARROW[t]) for c, t in COLUMNS)], names=[id_column, *(c for c, _ in COLUMNS)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c], _ARROW[t]) for c, t in COLUMNS)], names=["id_", *(c for c, _ in COLUMNS)])
 
-    return narrow.mapInArrow(run, ddl)
+    return narrow.mapInArrow(run, ddl).withColumnRenamed("id_", id_column)
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules | None = None) -> DataFrame:
     """The rows of ``df`` that the rules keep, with all their columns."""
     rules = rules or QualityRules()
     ranks = df.sparkSession.sparkContext.broadcast(vocabulary(rules))
-    at_text, at_lang = df.columns.index(text), df.columns.index(lang)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = judge(batch.column(at_text), batch.column(at_lang).to_pylist(), rules, ranks.value)
-            yield batch.filter(pa.array(found["kept"], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    at_text, at_lang = position(df, text), position(df, lang)
+    return keep_rows(df, lambda batch: judge(batch.column(at_text), batch.column(at_lang).to_pylist(), rules, ranks.value)["kept"])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -75,6 +75,19 @@ def test_run_is_the_stages(spark, folder):
     assert one.exceptAll(two).count() == 0 and one.count() == two.count() > 0
 
 
+def test_stages_take_extra_columns_of_any_name(spark, folder):
+    d, _, _ = folder
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    docs = plain.selectExpr("*", "1 AS `a.b`", "'x' AS kept", "2 AS id_", "3 AS c0")
+    for name, stage in corpus_pipeline.STAGES:
+        docs, columns = stage(spark, docs, d), docs.columns
+        assert docs.columns[: len(columns)] == columns
+        if name in ("quality", "near_copies", "benchmark"):  # the mix is drawn by a hash of whole rows
+            plain = stage(spark, plain, d)
+            assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted(r["doc_id"] for r in plain.select("doc_id").collect())
+    assert docs.count() > 0
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -296,6 +296,32 @@ def test_contamination(spark, docs, rows, block_words):
     assert clean.columns == docs.columns and clean.count() == sum(not r[5] for r in expected)
 
 
+def odd_names(df):
+    """The same rows with an id and a language whose names hold dots, and a text in another case."""
+    return df.toDF(*({"doc_id": "doc.id", "text": "Text", "lang": "a.lang"}.get(c, c) for c in df.columns))
+
+
+def test_columns_with_any_names(spark, docs, rows):
+    odd = odd_names(docs)
+    _, items = _items(spark, rows)
+    plain = contamination(docs, items).drop("hits", "items")
+    same([tuple(r) for r in contamination(odd, items, id_column="doc.id").drop("hits", "items").collect()], [tuple(r) for r in plain.collect()])
+    report = quality_report(odd, id_column="doc.id", lang="a.lang")
+    assert report.columns[0] == "doc.id"
+    same([tuple(r) for r in report.collect()], [tuple(r) for r in quality_report(docs).collect()])
+    for found, expected in ((drop_contaminated(odd, items), drop_contaminated(docs, items)), (keep_good(odd, lang="a.lang"), keep_good(docs))):
+        assert found.columns == odd.columns
+        same([tuple(r) for r in found.collect()], [tuple(r) for r in expected.collect()])
+
+
+def test_unknown_and_doubtful_columns(spark):
+    df = spark.createDataFrame([("a", "b")], "text string, lang string")
+    with pytest.raises(ValueError):
+        keep_good(df, text="body")
+    with pytest.raises(ValueError):
+        keep_good(df.toDF("Text", "TEXT"), lang="Text")
+
+
 def test_contamination_by_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(docs, none).where("contaminated OR n_items > 0").count() == 0
