@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .compression import op13_compression
 from .decontaminate import op10_decontamination
+from .importance import op11_importance
 from .lm import op7_lm_scores
+from .merkle import op12_merkle
 from .mixing import op1_mixing
 from .ngram_join import op5_ngram_jaccard
 from .pii import op2_pii
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
+    "op12_merkle": op12_merkle,
+    "op13_compression": op13_compression,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -57,4 +57,69 @@ found as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join found using (doc_id)"""
 
-SQL = {"op3_sharding": sharding_sql(), "op4_substring_dedup": OP4, "op5_ngram_jaccard": OP5, "op9_warc": OP9, "op10_decontamination": OP10}
+
+
+def _crc_table() -> list[int]:
+    """What CRC-32 (reflected polynomial 0xEDB88320) makes of each byte."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {0}), lambda c, b: xor(c >> 8, ([" + ", ".join(str(x) for x in _crc_table()) + "])[(xor(c, b) & 255) + 1]::bigint)), 4294967295::bigint)"
+#: Bytes of a text as a list of numbers.
+_BYTES = "list_transform(range(0, strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::bigint)"
+
+OP11 = f"""with docs as materialized (select doc_id as id, false as target, {_TERMS.format(_LOWER.format("text"))} as ws from documents),
+items as materialized (select row_number() over () as id, true as target, {_TERMS.format(_LOWER.format("text"))} as ws from benchmark),
+f as materialized (select id, target, array_to_string(ws[k + 1 : k + n], ' ') as f, count(*) as c
+  from (select id, target, ws, n, unnest(range(0, len(ws) - n + 1)) as k from (from docs union all from items), range(1, 4) r(n)) group by all),
+d as materialized (select f, {_CRC.format(_BYTES.format("f"))} % 10000 as b, sum(c) filter (where not target) as s, sum(c) filter (where target) as t from f group by 1),
+g as materialized (select b, coalesce(sum(s), 0) as s, coalesce(sum(t), 0) as t from d group by 1),
+gain as materialized (select b, floor(1000 * ln((t + 1)::double * ((select sum(s) from g) + 10000)::double / ((s + 1)::double * ((select sum(t) from g) + 10000)::double)))::bigint as gain from g),
+w as (select id, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight from f join d using (f) join gain using (b) where not target group by 1),
+h as (select id as doc_id, len(ws) as n, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('42:' || id), 1, 8))::bigint as h from docs left join w using (id)),
+s as (select doc_id, n, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from h),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from s where n >= 20 qualify rank <= 5 * count(*) over () // 100)
+select doc_id, n_features, weight, score, rank from s left join r using (doc_id)"""
+
+
+def _leaf(text: str) -> str:
+    part = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end"
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes ``name(tree, lvl, pos, n, digest)`` over ``leaves(tree, pos, n, digest)``, and ``name_sides`` with what is beside each."""
+    beside = "coalesce(string_agg(digest, '') over (partition by tree, lvl, pos // 8 order by pos rows between {0}), '')"
+    return f"""{name}(tree, lvl, pos, n, digest) as (
+  select tree, 0, pos, n, digest from {leaves}
+  union all
+  select tree, any_value(lvl) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' order by pos)) from {name} where n > 1 group by tree, pos // 8),
+{name}_sides as materialized (select tree, lvl, pos, {{'l': {beside.format("unbounded preceding and 1 preceding")}, 'r': {beside.format("1 following and unbounded following")}}} as side from {name} where n > 1)"""
+
+
+def _path(name: str) -> str:
+    """Of each leaf: (tree, pos, sides)."""
+    return f"select a.tree, a.pos, coalesce(list(s.side order by s.lvl) filter (where s.side is not null), []) as sides from {name} a left join {name}_sides s on s.tree = a.tree and s.pos = a.pos // (8 ** s.lvl)::bigint where a.lvl = 0 group by 1, 2"
+
+
+OP12 = f"""with recursive d as materialized (select doc_id, coalesce('=' || lang, '') as tree, {_leaf("text")} as leaf,
+  case when {_CRC.format("list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)")} % 3 = 0
+    then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as other from documents),
+l as materialized (select *, row_number() over (partition by tree order by doc_id, leaf) - 1 as pos, count(*) over (partition by tree) as n, leaf as digest from d),
+{_tree("t", "l")},
+sub as materialized (select tree as lang, row_number() over (order by tree) - 1 as pos, count(*) over () as n, digest, '' as tree from t where n = 1),
+{_tree("u", "sub")},
+p as materialized ({_path("t")}),
+q as materialized ({_path("u")}),
+e as (select l.doc_id, l.leaf, l.other, sub.digest as subroot, (select digest from u where n = 1) as root, list_concat(p.sides, q.sides) as sides
+  from l join p using (tree, pos) join sub on sub.lang = l.tree join q on q.pos = sub.pos),
+o as (select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s.l || s.r), '')) as proof_sha256,
+  list_reduce(list_prepend(coalesce(other, leaf), list_transform(sides, lambda s: s.l || ' ' || s.r)), lambda a, s: sha256(split_part(s, ' ', 1) || a || split_part(s, ' ', 2))) as folded_root from e)
+select *, folded_root = root as verified from o"""
+
+SQL = {"op3_sharding": sharding_sql(), "op4_substring_dedup": OP4, "op5_ngram_jaccard": OP5, "op9_warc": OP9, "op10_decontamination": OP10, "op11_importance": OP11, "op12_merkle": OP12}

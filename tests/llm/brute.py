@@ -270,3 +270,71 @@ def targets(sizes, weights=(1, 2, 3), cap=3.0):
             return target
         for s in free:
             target[s] += excess * weight[s] / sum(weight[x] for x in free)
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def features(text, longest=3):
+    w = terms(text)
+    return Counter(" ".join(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+
+
+def importance(docs, items, buckets=10_000, percent=5):
+    """(doc_id, n_features, weight, score, rank) of (doc_id, text) against texts."""
+    of = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = Counter(), Counter()
+    for total, texts in ((s, [x for _, x in docs]), (t, items)):
+        for text in texts:
+            for f, n in features(text).items():
+                total[of(f)] += n
+    all_s, all_t = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * all_s / ((s[b] + 1.0) * all_t)))
+    out = []
+    for i, text in docs:
+        found = features(text)
+        weight = sum(n * gain(of(f)) for f, n in found.items())
+        h = int(sha(f"42:{'' if i is None else i}")[:8], 16)
+        out.append([i, sum(found.values()), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(terms(text)) >= 20])
+    fit = sorted((r for r in out if r[5]), key=lambda r: (-r[3], r[0] is not None, r[0] or 0))
+    for k in range(percent * len(fit) // 100):
+        fit[k][4] = k + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def merkle(rows, fanout=8):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    part = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaf = lambda r: sha("".join(map(part, r)))
+
+    def tree(digests):
+        """The last node, and of each leaf the (before, after) of its levels."""
+        level, place, paths = list(digests), list(range(len(digests))), [[] for _ in digests]
+        while len(level) > 1:
+            for i, p in enumerate(place):
+                low = p - p % fanout
+                paths[i].append(("".join(level[low:p]), "".join(level[p + 1 : low + fanout])))
+                place[i] = p // fanout
+            level = [sha("".join(level[k : k + fanout])) for k in range(0, len(level), fanout)]
+        return level[0], paths
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    grown = []
+    for lang in langs:
+        own = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        grown.append((own, *tree([leaf(r) for r in own])))
+    if not grown:
+        return []
+    root, tops = tree([g[1] for g in grown])
+    out = []
+    for (own, subroot, paths), top in zip(grown, tops, strict=True):
+        for r, path in zip(own, paths, strict=True):
+            steps = path + top
+            digest = leaf(r)
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0:
+                digest = leaf((*r[:4], None if r[4] is None else lower(r[4])))
+            for before, after in steps:
+                digest = sha(before + digest + after)
+            out.append((r[0], leaf(r), subroot, root, sha("".join(b + a for b, a in steps)), digest, digest == root))
+    return out
