@@ -25,7 +25,6 @@ with an empty table nothing is returned, with an empty target every t is 0; extr
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,7 +82,7 @@ class Chunk:
         return self.words.counts - self.skip
 
     def n_features(self, longest: int) -> np.ndarray:
-        return sum(np.bincount(self.words.row[self.grams(k)], minlength=self.n_rows) for k in range(1, longest + 1))
+        return sum(np.maximum(self.words.counts - k + 1, 0) - max(self.skip - k + 1, 0) for k in range(1, longest + 1))
 
     def normal(self) -> tuple[np.ndarray, np.ndarray]:
         """The words in lower case with a space after each, and where each begins; the end comes last."""
@@ -99,15 +98,37 @@ class Chunk:
         return out, start
 
 
-def _strings(body: np.ndarray, start: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
-    """The runs of ``k`` words that begin at ``at``, each with the space after it; those with a smaller ``at % k`` come first."""
-    data, out = pa.py_buffer(body), []
-    for lane in range(k):
-        # runs that begin k words apart do not overlap, so they are one array over the buffer as it is
-        bounds = np.ascontiguousarray(start[lane::k])
-        lane_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds), data])
-        out.append(lane_.take(pa.array((at[at % k == lane]) // k)))
-    return pa.concat_arrays(out)
+def _lanes(body: np.ndarray, start: np.ndarray, k: int) -> list[pa.Array]:
+    """Arrays of all runs of ``k`` words with the space after them: runs that begin ``k`` words apart do not overlap, so each array is over the buffer as it is."""
+    bounds = [np.ascontiguousarray(start[lane::k]) for lane in range(k)]
+    return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(b) - 1), [None, pa.py_buffer(b), pa.py_buffer(body)]) for b in bounds]
+
+
+def _strings(lanes: list[pa.Array], at: np.ndarray) -> pa.Array:
+    """The runs that begin at ``at``, those of the first lane first."""
+    k = len(lanes)
+    return pa.concat_arrays([lane.take(pa.array(at[at % k == i] // k)) for i, lane in enumerate(lanes)])
+
+
+#: What CRC-32 makes of a byte.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
+
+
+def crc32(strings: pa.Array, drop: int = 0) -> np.ndarray:
+    """CRC-32 of each string without its last ``drop`` bytes, byte by byte over all strings in step."""
+    raw, offsets = column_buffer(strings)
+    size = np.diff(offsets) - drop
+    by_size = np.argsort(-size, kind="stable")
+    start, left = offsets[:-1][by_size], np.searchsorted(-size[by_size], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    value = np.full(len(size), 0xFFFFFFFF, dtype=np.uint32)
+    for i, n in enumerate(left.tolist()):
+        low = value[:n]
+        value[:n] = _CRC[(low ^ raw[start[:n] + i]) & np.uint32(255)] ^ (low >> np.uint32(8))
+    out = np.empty(len(size), dtype=np.uint32)
+    out[by_size] = ~value
+    return out
 
 
 def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, target: bool) -> Iterator[tuple]:
@@ -140,11 +161,12 @@ def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, tar
         where = at[first]
         order = np.lexsort((where % k, group))  # as ``_strings`` gives them, group by group
         texts, copies, held = _postings(code, w.row[at], count, first, order) if not target else (None, None, None)
+        lanes = _lanes(body, start, k)
         bounds = np.searchsorted(group[order], np.arange(groups + 1))
         posted = np.concatenate([[0], np.cumsum(held)]) if not target else None
         for g in np.flatnonzero(np.diff(bounds)).tolist():
             low, high = int(bounds[g]), int(bounds[g + 1])
-            strings = _strings(body, start, where[order[low:high]], k)
+            strings = _strings(lanes, where[order[low:high]])
             _, _, data = strings.buffers()
             size = np.diff(np.frombuffer(strings.buffers()[1], dtype=np.int64)[: high - low + 1])
             row = (g, _pack(size, "<u4"), zstandard.compress(memoryview(data)[: int(size.sum())], 1), _pack(count[order[low:high]], "<u4"))
@@ -305,9 +327,7 @@ def _dictionary(buckets: int):
         code, n = coded.indices.to_numpy(), np.concatenate(counts).astype(np.int64)
         of_target = np.concatenate(target)
         words = coded.dictionary
-        crc = zlib.crc32
-        # a string ends in the space after it, which is no part of it
-        hashed = np.fromiter((crc(w[:-1]) % buckets for low in range(0, len(words), 65_536) for w in words.slice(low, 65_536).to_pylist()), dtype=np.int64, count=len(words))
+        hashed = (crc32(words, drop=1) % np.uint32(buckets)).astype(np.int64)  # a string ends in the space after it, which is no part of it
         total = [np.bincount(code[mine], weights=n[mine], minlength=len(words)).astype(np.int64) for mine in (~of_target, of_target)]
         sums = [np.bincount(hashed, weights=x, minlength=buckets).astype(np.int64) for x in total]
         out, low = [], 0
