@@ -132,7 +132,7 @@ def crc32(strings: pa.Array, drop: int = 0) -> np.ndarray:
 
 
 def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, target: bool) -> Iterator[tuple]:
-    """(group, number of strings, strings, counts, texts a string, texts, counts a text) of the distinct features of one slice."""
+    """(group, words a string, strings, counts, texts a string, texts, counts a text) of the distinct features of one slice."""
     w = chunk.words
     if not len(w):
         return
@@ -159,7 +159,7 @@ def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, tar
         count = np.bincount(code, minlength=len(first))
         group = ((distinct & np.uint64(0xFFFFFFFF)) % np.uint64(groups)).astype(np.int64)
         where = at[first]
-        order = np.lexsort((where % k, group))  # as ``_strings`` gives them, group by group
+        order = np.argsort((group * k + where % k).astype(np.uint16 if groups * k < 1 << 16 else np.int64), kind="stable")  # as ``_strings`` gives them, group by group
         texts, copies, held = _postings(code, w.row[at], count, first, order) if not target else (None, None, None)
         lanes = _lanes(body, start, k)
         bounds = np.searchsorted(group[order], np.arange(groups + 1))
@@ -167,9 +167,9 @@ def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, tar
         for g in np.flatnonzero(np.diff(bounds)).tolist():
             low, high = int(bounds[g]), int(bounds[g + 1])
             strings = _strings(lanes, where[order[low:high]])
-            _, _, data = strings.buffers()
-            size = np.diff(np.frombuffer(strings.buffers()[1], dtype=np.int64)[: high - low + 1])
-            row = (g, _pack(size, "<u4"), zstandard.compress(memoryview(data)[: int(size.sum())], 1), _pack(count[order[low:high]], "<u4"))
+            _, bounds_, data = strings.buffers()
+            end = int(np.frombuffer(bounds_, dtype=np.int64)[high - low])
+            row = (g, k, zstandard.compress(memoryview(data)[:end], 3), _pack(count[order[low:high]], "<u4"))
             if target:
                 yield (*row, None, None, None)
             else:
@@ -255,8 +255,8 @@ def chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Chunk]:
         yield whole()
 
 
-_ENTRIES = pa.schema([("group", pa.int32()), ("row", pa.int64()), ("rows", pa.int32()), ("sizes", pa.binary()), ("strings", pa.binary()), ("counts", pa.binary()), ("held", pa.binary()), ("texts", pa.binary()), ("copies", pa.binary())])
-_ENTRIES_DDL = "group int, row long, rows int, sizes binary, strings binary, counts binary, held binary, texts binary, copies binary"
+_ENTRIES = pa.schema([("group", pa.int32()), ("row", pa.int64()), ("rows", pa.int32()), ("words", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("held", pa.binary()), ("texts", pa.binary()), ("copies", pa.binary())])
+_ENTRIES_DDL = "group int, row long, rows int, words int, strings binary, counts binary, held binary, texts binary, copies binary"
 _STORED_DDL = "kind int, row long, rows int, buckets binary, held binary, texts binary, copies binary, bucket int, s long, t long"
 _STORED = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("rows", pa.int32()), ("buckets", pa.binary()), ("held", pa.binary()), ("texts", pa.binary()), ("copies", pa.binary()), ("bucket", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
 #: Bytes of entries that leave a task together.
@@ -317,12 +317,14 @@ def _dictionary(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         strings, counts, target = [], [], []
-        for size, body, count, row in zip(*(table.column(c) for c in ("sizes", "strings", "counts", "row"))):
-            size = _unpack(size.as_py(), "<u4")
-            bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            strings.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(zstandard.decompress(body.as_py()))]))
+        for words, body, count, row in zip(*(table.column(c) for c in ("words", "strings", "counts", "row"))):
+            body = zstandard.decompress(body.as_py())
+            # a space after each word: a string ends after every so many
+            ends = np.flatnonzero(np.frombuffer(body, dtype=np.uint8) == 0x20)[words.as_py() - 1 :: words.as_py()] + 1
+            bounds = np.concatenate([np.zeros(1, dtype=np.int64), ends])
+            strings.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(body)]))
             counts.append(_unpack(count.as_py(), "<u4"))
-            target.append(np.full(len(size), not row.is_valid))
+            target.append(np.full(len(ends), not row.is_valid))
         coded = pa.concat_arrays(strings).dictionary_encode()
         code, n = coded.indices.to_numpy(), np.concatenate(counts).astype(np.int64)
         of_target = np.concatenate(target)

@@ -95,14 +95,13 @@ def _counted(texts, weighing):
     for pass_ in range(weighing.passes):
         for chunk in chunks(batches(), weighing.longest):
             n_chunks += 1
-            for group, size, strings, count, held, at, copies in chunk_entries(chunk, weighing, pass_, 4, False):
-                body, low, pairs = importance.zstandard.decompress(strings), 0, iter(zip(importance._unpack(at, "<u4").tolist(), importance._unpack(copies, "<u4").tolist()))
-                for n, total, h in zip(importance._unpack(size, "<u4").tolist(), importance._unpack(count, "<u4").tolist(), importance._unpack(held, "<u4").tolist()):
+            for group, words, strings, count, held, at, copies in chunk_entries(chunk, weighing, pass_, 4, False):
+                body, pairs = importance.zstandard.decompress(strings).decode().split(" "), iter(zip(importance._unpack(at, "<u4").tolist(), importance._unpack(copies, "<u4").tolist()))
+                for n, (total, h) in enumerate(zip(importance._unpack(count, "<u4").tolist(), importance._unpack(held, "<u4").tolist(), strict=True)):
                     own = [next(pairs) for _ in range(h)]
                     assert sum(c for _, c in own) == total
                     for t, c in own:
-                        out[(chunk.first_row - (3 << 40) + t, body[low : low + n - 1].decode())] += c
-                    low += n
+                        out[(chunk.first_row - (3 << 40) + t, " ".join(body[n * words : (n + 1) * words]))] += c
     return out, n_chunks
 
 
