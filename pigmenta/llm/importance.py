@@ -66,7 +66,7 @@ def _unpack(body: bytes, kind: str) -> np.ndarray:
 
 
 class Chunk:
-    """Consecutive texts as one buffer; the first ``skip`` words of a piece repeat the end of the piece before it."""
+    """Consecutive texts as one buffer, each with a byte after it; the first ``skip`` words of a piece repeat the end of the piece before it."""
 
     def __init__(self, first_row: int, raw: np.ndarray, offsets: np.ndarray, skip: int = 0) -> None:
         self.first_row, self.skip = first_row, skip
@@ -89,13 +89,14 @@ class Chunk:
         w = self.words
         start = np.zeros(len(w) + 1, dtype=np.int64)
         np.cumsum(w.ends - w.starts + 1, out=start[1:])
-        keep = np.zeros(len(w.raw) + 1, dtype=bool)
-        keep[: len(w.raw)] = ALNUM_WORDS_RAW[w.raw]
-        out = np.full(int(start[-1]), 0x20, dtype=np.uint8)
-        inside = np.ones(len(out), dtype=bool)
-        inside[start[1:] - 1] = False
-        out[inside] = LOWER[w.raw[keep[:-1]]]
-        return out, start
+        # each word and the byte after it; texts are joined by a byte, so there is one
+        keep = ALNUM_WORDS_RAW[w.raw]
+        keep[w.ends] = True
+        return _PLAIN[w.raw[keep]], start
+
+
+#: Letters and digits in lower case, all else a space.
+_PLAIN = np.where(ALNUM_WORDS_RAW, LOWER, np.uint8(0x20))
 
 
 def _lanes(body: np.ndarray, start: np.ndarray, k: int) -> list[pa.Array]:
@@ -199,6 +200,20 @@ def _postings(code: np.ndarray, row: np.ndarray, count: np.ndarray, first: np.nd
     return texts, copies, h
 
 
+_SPACE = np.array([0x20], dtype=np.uint8)
+
+
+def _spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space after each."""
+    size = np.diff(offsets)
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(size + 1)])
+    out = np.full(int(bounds[-1]), 0x20, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
+    inside[bounds[1:] - 1] = False
+    out[inside] = raw[offsets[0] : offsets[-1]]
+    return out, bounds
+
+
 def _pieces(raw: np.ndarray, longest: int, row: int) -> Iterator[Chunk]:
     """One long text as chunks cut at word ends, each after the last ``longest - 1`` words of the one before."""
     low, before = 0, np.zeros(0, dtype=np.uint8)
@@ -207,13 +222,13 @@ def _pieces(raw: np.ndarray, longest: int, row: int) -> Iterator[Chunk]:
         while high < len(raw) and ALNUM_WORDS_RAW[raw[high]]:  # to the end of the word
             step = ALNUM_WORDS_RAW[raw[high : high + 65_536]]
             high += len(step) if step.all() else int(step.argmin())
-        part = np.concatenate([before, raw[low:high]])
+        part = np.concatenate([before, raw[low:high], _SPACE])
         words = Words(before, np.array([0, len(before)]), ALNUM_WORDS_RAW)
         chunk = Chunk(row, part, np.array([0, len(part)]), len(words))
         yield chunk
         n = min(longest - 1, len(chunk.words))
         last = part[chunk.words.starts[len(chunk.words) - n] :] if n else part[:0]
-        before = np.concatenate([last, np.array([0x20], dtype=np.uint8)]) if n else last
+        before = np.concatenate([last, _SPACE]) if n else last
         low = high
 
 
@@ -244,7 +259,7 @@ def chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Chunk]:
             long = np.flatnonzero(np.diff(offsets[low : high + 1]) > CHUNK_BYTES)
             high = min(high, low + int(long[0])) if len(long) else high
             if high > low:
-                held.append((raw[offsets[low] : offsets[high]].copy(), offsets[low : high + 1] - offsets[low]))
+                held.append(_spaced(raw, offsets[low : high + 1]))
                 size += int(offsets[high] - offsets[low])
                 low = high
             if low < len(offsets) - 1 and held:
