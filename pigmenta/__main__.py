@@ -17,7 +17,7 @@ from .sources.files import read_graph
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="pigmenta", description=__doc__)
     out.add_argument("-f", "--file", required=True, help="graph: .egr, .bin, .txt, .mmio, .mtx")
-    out.add_argument("-a", "--algorithm", default="0", help="name, or number in the family")
+    out.add_argument("-a", "--algorithm", help="name, or number in the family; the first one, or sl_els_sdc for a graph in parts")
     out.add_argument("--family", choices=sorted(NUMBERS), default="device", help="what numbers mean")
     out.add_argument("-e", "--elastic", "-r", "--resilient", dest="theta", type=int, default=None, help="margin; 0, or 10 for a graph in parts")
     out.add_argument("--predict", choices=("linear", "svr"), help="predict the margin from the graph's size")
@@ -39,7 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.status:
         print("\n".join(f"{k}: {v}" for k, v in graph_status(graph).first().asDict().items()))
     theta = args.predict or (args.theta if args.theta is not None else 10 if args.parts > 1 else 0)
-    run = timed(graph, args.algorithm, theta, args.parts, args.partitioner, args.copies, engine=args.engine, vectors=args.vectors, family=args.family)
+    algorithm = args.algorithm or ("0" if args.parts == 1 else "sl_els_sdc")
+    run = timed(graph, algorithm, theta, args.parts, args.partitioner, args.copies, engine=args.engine, vectors=args.vectors, family=args.family)
     print(run.log())
     if args.output:
         run.colors.write.mode("overwrite").parquet(args.output)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import resource
+import socket
 import time
 
 import numpy as np
@@ -157,8 +160,18 @@ def color_boundary(graph: Graph, edge: DataFrame, theta: int) -> DataFrame:
     return color_rounds(sub, materialize(rated.select("id", key.alias("key")), "keys")).select("id", "color")
 
 
+#: What ``color_parts`` returns.
+PARTED = "id long, part int, color int, ms double, worker string, peak_mb double, host_mb double"
+
+
+def worker_figures() -> dict[str, object]:
+    """This worker process, its peak memory and the memory of its host, in MB."""
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    return {"worker": f"{socket.gethostname()}:{os.getpid()}", "peak_mb": peak, "host_mb": os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**20}
+
+
 def color_parts(graph: Graph, parts: DataFrame, k: int, theta: int = 10, copies: str = "halo") -> DataFrame:
-    """(id, part, color, ms): the boundary is coloured first, then each part on its own around it.
+    """(id, part, color, ms and the worker's figures): the boundary is coloured first, then each part on its own around it.
 
     Interior vertices of different parts are never neighbours, so taking each part's own
     vertices gives a proper colouring. One task holds one part and its copies, whose size is
@@ -183,9 +196,9 @@ def color_parts(graph: Graph, parts: DataFrame, k: int, theta: int = 10, copies:
         order = _order(g, own["local_id"].to_numpy(np.int64), own["is_boundary"].to_numpy(bool), theta)
         color = first_fit(g, order, own["fixed"].to_numpy(np.int64))
         out = pd.DataFrame({"id": g.ids, "part": pdf["part"].iloc[0], "color": color, "ms": 1e3 * (time.perf_counter() - begin)})
-        return out[own["is_owned"].to_numpy(bool)]
+        return out[own["is_owned"].to_numpy(bool)].assign(**worker_figures())
 
-    return vertices.unionByName(edges).groupBy("part").applyInPandas(run, "id long, part int, color int, ms double")
+    return vertices.unionByName(edges).groupBy("part").applyInPandas(run, PARTED)
 
 
 def part_edges(graph: Graph, parts: DataFrame) -> DataFrame:

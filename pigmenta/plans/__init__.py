@@ -70,6 +70,18 @@ def check_engine(engine: str) -> str:
     return engine
 
 
+def check_options(what: Algorithm, engine: str, parts: int, wrap: bool, tie: str) -> None:
+    """Raise where an option would not act, so that it is never passed over in silence."""
+    if parts > 1 and (what.rule != "sl_els_sdc" or what.kernel or wrap or tie != "hash" or engine == "local"):
+        raise ValueError("graphs in parts are coloured by sl_els_sdc with ties by hash: give no other algorithm, engine, wrap or tie")
+    if tie not in ("hash", "random"):
+        raise ValueError(f"unknown tie-break: {tie}")
+    if tie == "random" and (engine == "local" or what.kernel or what.chain not in ("device", "large_degree")):
+        raise ValueError("random ties are for orders by peeling or degree in the distributed engine")
+    if wrap and not what.rule:
+        raise ValueError("only a peeling rule has priorities to wrap")
+
+
 _PEEL_DDL = "id long, deg long, round int, rdeg long, theta double, pri long"
 
 
@@ -96,11 +108,12 @@ def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool) -> pd.DataFram
 def margin(graph: Graph, theta: int | str, vectors: DataFrame | str | None = None) -> int:
     """The elastic margin: a number, or what the ``"linear"`` or the ``"svr"`` model predicts.
 
-    The kernel model's support vectors are a table (v, e, alpha) or the path of one.
+    Models count each edge once a direction, as their training did. The kernel model's support
+    vectors are a table (v, e, alpha) or the path of one.
     """
     if theta not in ("linear", "svr"):
         return int(theta)
-    v, e = graph.vertices.count(), graph.edges.count() // 2
+    v, e = graph.vertices.count(), graph.edges.count()
     if theta == "linear":
         return linear_theta(v, e)
     if vectors is None:
@@ -109,22 +122,22 @@ def margin(graph: Graph, theta: int | str, vectors: DataFrame | str | None = Non
 
 
 def color(
-    graph: Graph, algorithm_name: str = "sl_els", theta: int | str = 0, engine: str = "dataframe", parts: int = 1, partitioner: str = "lp",
+    graph: Graph, algorithm_name: str | None = None, theta: int | str = 0, engine: str = "dataframe", parts: int = 1, partitioner: str = "lp",
     copies: str = "halo", wrap: bool = False, tie: str = "hash", seed: int = 0, vectors: DataFrame | str | None = None, family: str = "device",
 ) -> DataFrame:
     """(id, color) of every vertex.
 
     ``theta`` is the elastic margin, or names a model of it (``margin``). With ``parts`` above 1
-    the graph is split, its boundary coloured first and the parts on their own. The
+    the graph is split, its boundary coloured first and the parts on their own, by the one order that is
+    defined for parts (``sl_els_sdc``, ties by hash); other options raise then. The
     default engine is distributed throughout; ``local`` gives the same colours in one task, of
     graphs whose counted size it can hold. Smallest-last and saturation are sequential by
     definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash.
     """
-    what = algorithm(algorithm_name, family)
+    what = algorithm(default_algorithm(parts) if algorithm_name is None else algorithm_name, family)
     check_engine(engine)
     margin_ = margin(graph, theta, vectors)
-    if tie not in ("hash", "random"):
-        raise ValueError(f"unknown tie-break: {tie}")
+    check_options(what, engine, parts, wrap, tie)
     if parts > 1:
         stored = graph.stored()
         split = materialize(partition(stored, parts, partitioner), "parts")
@@ -132,10 +145,14 @@ def color(
     if what.kernel == "speculative":
         return speculate(graph, keyed(graph.degrees(), what.chain))
     if what.kernel or engine == "local" and tie == "hash":
-        return on_one(graph, lambda g: _local_color(g, what, margin_, wrap), "id long, color int", algorithm_name if what.kernel else "the local engine")
+        return on_one(graph, lambda g: _local_color(g, what, margin_, wrap), "id long, color int", what.kernel or "the local engine")
     return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed)).select("id", "color")
 
 
+def default_algorithm(parts: int = 1) -> str:
+    return "sl_els" if parts == 1 else "sl_els_sdc"
+
+
 def order_keys(graph: Graph, what: Algorithm, theta: int, wrap: bool = False, tie: str = "hash", seed: int = 0) -> DataFrame:
     """(id, key) of the vertices, by peeling rounds where the algorithm has a rule; stored."""
     vertices = peel(graph, what.rule, theta) if what.rule else graph.degrees().withColumn("pri", F.lit(0).cast("long"))

@@ -15,9 +15,11 @@ from .operators import degrees, flow, verify
 from .operators.numbering import dense_ids
 from .operators.order import dag, keyed
 from .operators.partition import boundary, boundary_graph, color_boundary, cut_edges, members, part_edges, partition
-from .plans import color, priorities
+from .plans import color, margin, priorities
 from .plans import experiments as ex
+from .plans import logs
 from .plans import theta as th
+from .plans.report import timed
 from .scratch import materialize, scratch_path
 from .sources import files, writers
 from .sources.tables import GRAPHS, consecutive_pairs
@@ -316,20 +318,60 @@ def _phase_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.parse_logs(_phase_logs(spark, sf_dir)).select("run", "nodes", F.coalesce("edges", F.lit(-1)).cast("long").alias("edges"), "color", "phase_1_ms", "phase_2_ms", "phase_3_ms")
+    return logs.parse_logs(_phase_logs(spark, sf_dir)).select("run", "nodes", F.coalesce("edges", F.lit(-1)).cast("long").alias("edges"), "color", "phase_1_ms", "phase_2_ms", "phase_3_ms")
 
 
 def device_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.parse_devices(_phase_logs(spark, sf_dir))
+    return logs.parse_devices(_phase_logs(spark, sf_dir))
 
 
 def log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     text = F.concat(F.lit("Nodes: "), F.col("o_custkey"), F.lit("\nEdges: "), F.col("o_orderkey"), F.lit("\nEGC θ: "), F.col("o_orderkey") % 13, F.when(F.col("o_orderkey") % 2 == 0, " (Predicted)").otherwise(""), F.lit("\nruntime: "), (F.col("o_orderkey") / 8).cast("decimal(10,3)"), F.lit(" ms\ncolors used: "), F.col("o_custkey") % 40, F.lit("\nIter count: "), F.col("o_orderkey") % 17)
-    found = ex.parse_logs(orders.select(F.col("o_orderkey").alias("run"), text.alias("text")))
+    found = logs.parse_logs(orders.select(F.col("o_orderkey").alias("run"), text.alias("text")))
     return found.drop("phase_1_ms", "phase_2_ms", "phase_3_ms")
 
 
+def margin_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The margin that the linear model predicts for the part graph and for the dense one, by their own sizes."""
+    rows = [(name, margin(_stored(spark, sf_dir, name), "linear")) for name in ("g1", "g2")]
+    return spark.createDataFrame(rows, "graph string, theta int")
+
+
+def run_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log of a run says, read back."""
+    run = timed(_stored(spark, sf_dir), "sl_els_sdc", 10)
+    text = spark.createDataFrame([(1, run.log())], "run int, text string")
+    return logs.parse_logs(text).select("nodes", "edges", "theta", "color", "iter_count", "theta_predicted")
+
+
+def throughput_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures = verify.throughput(F.col("v"), F.col("e"), F.col("dataset") / 8 + 1)
+    return _sizes(spark, sf_dir).select("dataset", *(F.round(c, 9).alias(name) for name, c in figures.items()))
+
+
+def grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over margins and over parts, by their colours."""
+    graphs = {"g4": _stored(spark, sf_dir, "g4")}
+    whole = ex.measure(spark, graphs, ["sl_els", "ldf"], thetas=(0, 10), engine="local")
+    parted = ex.measure(spark, graphs, ["sl_els_sdc"], thetas=(10,), parts=(4,), partitioners=("rr",), copies="all")
+    return whole.unionByName(parted).select("dataset", "algorithm", "theta", "parts", "partitioner", "color", "nodes", "edges", "ok")
+
+
+def one_part_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph in one part, and in parts without a cut: nothing is at a boundary."""
+    g = _stored(spark, sf_dir, "g4")
+    apart = Graph(g.vertices, g.edges.where("src % 4 = dst % 4"))
+    return partition(g, 1).groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(boundary(apart, partition(apart, 4, "rr")).agg(F.count(F.lit(1)).alias("at_boundary")))
+
+
+def zero_weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a file that was written with weights for a graph without any: they are 0."""
+    g, path = _dense(spark, sf_dir), f"{scratch_path(spark, 'files')}/z.egr"
+    writers.write_egr(g, path, weights=True)
+    return files.read_egr(spark, path).edges.select("src", "dst", "weight")
+
+
 _RUNS_SQL = """runs as (select (o_custkey % 7)::int dataset, (o_orderkey % 3)::int algorithm, (o_orderkey % 20)::int theta, o_orderkey::int run_idx,
   case when o_orderkey % 11 <> 0 then (trunc(o_totalprice)::bigint % 9)::int end color, o_totalprice runtime_ms from orders)"""
 _SIZES_SQL = "sizes as (select l_suppkey % 10 dataset, count(distinct l_partkey) v, count(*) e from lineitem group by 1)"
@@ -414,7 +456,7 @@ select (select count(*) from deg) as n_vertices, (select count(*) from deg where
     sizes = f"with {oracle.graph('g4')} select k::int as part, (select count(*) from deg) // 4 + (k < (select count(*) from deg) % 4)::int as n from range(4) t(k)"
     add("partition_random_sizes", partial(sizes_query, "random"), sizes)
     add("partition_ldg", lambda s, d: _parts("ldg", s, d, "g1")[1], oracle.greedy_partition_of("g1", 4))
-    add("partition_ldg_sizes", partial(sizes_query, "ldg"), sizes)
+    add("partition_ldg_sizes", partial(sizes_query, "ldg"), f"select part, count(*) as n from ({oracle.greedy_partition_of('g4', 4)}) group by 1")
     add("partition_lp", propagated_query, f"with {oracle.graph('g4')} select 4::bigint as parts, count(*) as n_vertices, true as within_capacity, true as cuts_less from deg")
     add("boundary_rr", boundary_query, _CUT_SQL + " select src as id from cut union select dst from cut")
     add("cut_edges_rr", cut_query, _CUT_SQL + " select src_part, dst_part, count(*) as n from cut group by 1, 2")
@@ -449,6 +491,15 @@ select src as id, case src when 0 then 'source' when 1000 then 'sink' else 'inne
     add("theta_features", features_query, f"with {_SIZES_SQL}, g as (select dataset, v, e from sizes union all select dataset + 100, 3 * e, v from sizes) select dataset, v::int as v, e::int as e, trunc(v / e)::int as ratio from g")
     add("parse_phases", phase_query, "select o_orderkey as run, o_custkey as nodes, -1::bigint as edges, (o_orderkey % 31)::int as color, cast(cast(o_orderkey / 4 as decimal(12,4)) as double) as phase_1_ms, 1.5::double as phase_2_ms, case when o_orderkey % 3 = 0 then 0.25::double end as phase_3_ms from orders")
     add("parse_devices", device_query, "select o_orderkey as run, i::int as device, (o_orderkey % 5 + i)::int as parts, cast(cast(o_orderkey / 16 + i as decimal(12,4)) as double) as exec_ms, (o_orderkey % 900)::double as max_mem_mb, 24111.06::double as total_mem_mb from orders, range(2) t(i) where i = 0 or o_orderkey % 2 = 0")
+    add("theta_margin", margin_query, " union all ".join(f"select * from (with {oracle.graph(n)} select '{n}' as graph, round({_LINEAR_SQL})::int as theta from (select count(*) v, sum(d) e from deg))" for n in ("g1", "g2")))
+    add("run_log", run_log_query, oracle.color_of("g1", "device", "sl_els_sdc", 10, select="select (select count(*) from deg) as nodes, (select sum(d) from deg)::bigint as edges, 10::int as theta, (max(color) + 1)::int as color, (select max(rnd) + 1 from peeled)::int as iter_count, false as theta_predicted from k"))
+    add("run_throughput", throughput_query, f"with {_SIZES_SQL} select dataset, round(v / (dataset / 8 + 1) / 1e6::double, 9) as mnodes_per_s, round(e / (dataset / 8 + 1) / 1e6::double, 9) as medges_per_s from sizes")
+    grid = lambda sql, algorithm, theta, parts=1, partitioner="null": f"select 'g4' as dataset, '{algorithm}' as algorithm, {theta}::int as theta, {parts}::int as parts, {partitioner}::varchar as partitioner, (select max(color) + 1 from ({sql}))::int as color, (select count(*) from deg) as nodes, (select sum(d) from deg)::bigint as edges, true as ok"
+    cells = [grid(oracle.color_of("g4", "device", "sl_els", t), "sl_els", t) for t in (0, 10)] + [grid(oracle.color_of("g4", "large_degree"), "ldf", t) for t in (0, 10)]
+    cells.append(grid(oracle.part_colors_of("g4", 4, 10), "sl_els_sdc", 10, 4, "'rr'"))
+    add("grid_runs", grid_query, f"with {oracle.graph('g4')} " + " union all ".join(cells))
+    add("partition_one", one_part_query, f"with {oracle.graph('g4')} select 0::int as part, count(*) as n, 0::bigint as at_boundary from deg")
+    add("file_egr_zero_weights", zero_weights_query, f"{dense} select src, dst, 0::int as weight from dense")
     add("theta_linear", theta_query, f"with {_SIZES_SQL} select dataset, v, e, round({_LINEAR_SQL})::int as theta from sizes")
     add("theta_kernel", kernel_query, f"with {_SIZES_SQL} select a.dataset, round(2.1715487363425177::double + sum((b.dataset - 4.5) / 5 * exp(-1e-6::double * (pow(a.v - b.v, 2) + pow(a.e - b.e, 2)))), 6) as score from sizes a, sizes b group by a.dataset")
     add("theta_labels", labels_query, _LABELS_SQL)

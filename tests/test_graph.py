@@ -153,21 +153,50 @@ def test_greedy_partition_by_hand():
 
 
 def test_timed_runs(spark, rough):
-    from pigmenta.plans.experiments import parse_devices, parse_logs
+    from pigmenta.plans.logs import DEVICE_CELLS, parse_devices, parse_logs
 
     run = timed(rough, "sl_els_sdc", 3)
     assert run.proper and set(run.phases) == {"PA", "CA"} and run.rounds > 1
+    assert (run.nodes, run.edges) == (60, rough.edges.count())
     assert [r["phase"] for r in run.summary().collect()] == ["PA", "CA", "total"]
     parts = timed(rough, "1", 3, parts=3, partitioner="rr")
-    assert parts.proper and len(parts.devices) == 3
-    logs = spark.createDataFrame([(1, run.log()), (2, parts.log())], "run int, text string")
+    assert parts.proper and sum(d.parts for d in parts.devices) == 3 and all(0 < d.max_mem_mb < d.total_mem_mb for d in parts.devices)
+    assert parts.runtime_ms == pytest.approx(sum(parts.phases.values()) - parts.phases["Partition Time"])
+    predicted = timed(rough, "ldf", "linear", engine="local")
+    runs = {1: run, 2: parts, 3: predicted}
+    logs = spark.createDataFrame([(i, r.log()) for i, r in runs.items()], "run int, text string")
     found = {r["run"]: r for r in parse_logs(logs).collect()}
-    assert found[1]["color"] == run.colors_used and found[1]["iter_count"] == run.rounds and found[2]["phase_2_ms"] > 0
-    assert parse_devices(logs).count() == 3
+    for i, r in runs.items():
+        assert (found[i]["nodes"], found[i]["edges"], found[i]["theta"], found[i]["color"], found[i]["iter_count"], found[i]["theta_predicted"]) == (r.nodes, r.edges, r.theta, r.colors_used, r.rounds, r.predicted)
+        assert found[i]["runtime_ms"] == pytest.approx(r.runtime_ms, abs=1e-5)
+    assert found[2]["phase_2_ms"] == pytest.approx(parts.phases["Phase 2 (Parallel Exec)"], abs=1e-3) and found[1]["phase_2_ms"] is None
+    table = parse_devices(logs).orderBy("device").collect()
+    assert [r["run"] for r in table] == [2] * len(parts.devices)
+    for r, d in zip(table, parts.devices, strict=True):
+        assert [r[name] for name, _ in DEVICE_CELLS] == pytest.approx([d.device, d.parts, d.exec_ms, d.max_mem_mb, d.total_mem_mb], abs=0.006)
+
+
+def test_lines_of_other_logs(spark):
+    from pigmenta.plans.logs import parse_logs
+
+    texts = ["runtime: 12.345 ms   colors used: 4", "  Nodes: 5\nEdges: 7 x\nEGC  θ: 3 (predicted)", "NODES: 9\nNodes: 8\nruntime: soon", "# Nodes: 6 Edges: 2"]
+    found = [tuple(r)[1:] for r in parse_logs(spark.createDataFrame(list(enumerate(texts)), "run int, text string")).select("run", "nodes", "edges", "theta", "theta_predicted", "runtime_ms", "color").orderBy("run").collect()]
+    assert found == [(None, None, None, False, 12.345, 4), (None, None, 3, True, None, None), (9, None, None, False, None, None), (None, None, None, False, None, None)]
+
+
+def test_options_that_would_not_act(rough):
+    for wrong in ({"algorithm_name": "ldf", "parts": 2}, {"algorithm_name": "sl_els", "parts": 2}, {"parts": 2, "wrap": True}, {"parts": 2, "tie": "random"}, {"engine": "local", "tie": "random"}, {"algorithm_name": "natural", "tie": "random"}, {"algorithm_name": "ldf", "wrap": True}, {"parts": 2, "engine": "local"}, {"tie": "none"}):
+        with pytest.raises(ValueError):
+            color(rough, **wrong)
+        with pytest.raises(ValueError):
+            timed(rough, **({"algorithm_name": "sl_els_sdc" if "parts" in wrong else "sl_els"} | wrong))
+    with pytest.raises(TypeError):
+        timed(rough, "ldf", colour=1)
 
 
 def test_margins_by_name(spark, rough):
-    vectors = spark.createDataFrame([(60.0, 500.0, 1.0)], "v double, e double, alpha double")
+    vectors = spark.createDataFrame([(60.0, float(rough.edges.count()), 1.0)], "v double, e double, alpha double")
+    assert margin(Graph(spark.range(1000), spark.range(4_000_000).select(F.col("id").alias("src"), F.col("id").alias("dst"))), "linear") == 2  # 1 with half of the entries
     assert margin(rough, "linear") == 1 and margin(rough, 7) == 7 and margin(rough, "svr", vectors) == 3
     with pytest.raises(ValueError):
         margin(rough, "svr")
