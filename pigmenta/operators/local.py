@@ -168,6 +168,11 @@ def check_size(graph: Graph, what: str, most: int | None = None) -> None:
 def on_one(graph: Graph, kernel: Callable[[Csr], pd.DataFrame], schema: str, what: str = "the local engine") -> DataFrame:
     """Run a kernel over the whole graph in one task; raises beyond ``LOCAL_EDGES``."""
     check_size(graph, what)
+    return in_one(graph, kernel, schema)
+
+
+def in_one(graph: Graph, kernel: Callable[[Csr], pd.DataFrame], schema: str) -> DataFrame:
+    """Run a kernel over a graph whose size the caller has counted, as one group."""
     rows = graph.vertices.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(graph.edges.select("src", "dst"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..scratch import drop_split, materialize, read_split, scratch_path, write_split
+from ..scratch import drop_split, read_split, scratch_path, write_split
+from .resident import BUCKET_EDGES, bucketed
 
 
 @dataclass(frozen=True)
@@ -82,26 +83,37 @@ def _left(row: dict) -> Left:
     return Left(row["n"], int(row["s"] or 0), row["m"], row["b"])
 
 
-def peel(graph: Graph, rule: str, theta: int = 0) -> DataFrame:
+def peel(graph: Graph, rule: str, theta: int = 0, bucket_edges: int | None = None) -> DataFrame:
     """(id, deg, round, rdeg, theta, pri) of every vertex.
 
+    A graph whose counted edges and vertices are one bucket (``resident``) is peeled within it, unless ``bucket_edges`` is 0. Of others,
+    the edges lie in a table bucketed by their source, which no round shuffles: vertices that go are brought to
+    their edges, and only counts by target, summed up in each bucket, leave it.
+
     ``round`` counts from 0, ``rdeg`` is the degree left when the vertex went, ``theta`` the
-    round's threshold without the margin. A round is one job: it joins the edges with the
-    vertices that go, writes those that go and those that stay to two folders of the shared
-    store, and gathers the totals that the next threshold needs as it writes. Edges between
-    vertices gone are dropped as the graph halves. All rounds are read back as one table.
+    round's threshold without the margin. A round is one job: it writes the vertices that go and those that
+    stay to two folders of the shared store, and gathers the totals that the next threshold needs
+    as it writes. Edges of vertices gone are dropped as the graph halves. All rounds are read back as one table.
     """
+    from .local import in_one, peel_local
+
     kind = RULES[rule]
     margin = theta if kind.margin else 0
     spark = graph.vertices.sparkSession
+    n_edges = graph.edges.count()
+    if bucket_edges != 0 and n_edges + graph.vertices.count() <= (bucket_edges or BUCKET_EDGES):
+        return in_one(graph, lambda g: peel_local(g, rule, theta), "id long, deg long, round int, rdeg long, theta double, pri long")
     root = scratch_path(spark, f"peel-{rule}")
     start = graph.degrees().select("id", "deg", F.col("deg").alias("rdeg"), F.col("deg").alias("before"), F.lit(0.0).alias("theta"), F.lit(False).alias("gone"))
     left = _left(write_split(start, f"{root}/start", "gone", **_totals()))
     if not left.n:
         return spark.createDataFrame([], "id long, deg long, round int, rdeg long, theta double, pri long")
     state, last = read_split(spark, f"{root}/start", "gone", False, _STATE), f"{root}/start"
-    edges, size, round_ = graph.edges.select("src", "dst"), left.n, 0
+    buckets = lambda n: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (bucket_edges or BUCKET_EDGES)))
+    table = bucketed(graph.edges.select("src", "dst"), buckets(n_edges), "src", "edges")
+    size, round_ = left.n, 0
     while left.n:
+        edges = spark.table(table)
         base = kind.base(round_, left, theta)
         goes = F.col("rdeg") <= F.lit(float(base + margin))
         lost = edges.join(state.where(goes).select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
@@ -113,10 +125,13 @@ def peel(graph: Graph, rule: str, theta: int = 0) -> DataFrame:
         if left.n:
             state, last = read_split(spark, path, "gone", False, _STATE), path
             if left.n * 2 < size:
-                ids = state.select("id")
-                edges = materialize(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges-left")
-                size = left.n
+                before, ids = table, state.select("id")
+                rest = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+                table = bucketed(rest, buckets(n_edges * left.n // size), "src", "edges")
+                spark.sql(f"DROP TABLE {before}")
+                n_edges, size = n_edges * left.n // size, left.n
         round_ += 1
+    spark.sql(f"DROP TABLE {table}")
     out = read_split(spark, f"{root}/round=*", "gone", True, _GONE, root)
     pri = priority(kind, margin if rule != "rgp" else theta, F.col("round").cast("long"), F.col("rdeg"), F.col("theta").cast("long"))
     return out.select("id", "deg", "round", "rdeg", "theta", pri.cast("long").alias("pri"))

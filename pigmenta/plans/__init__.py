@@ -85,13 +85,13 @@ def check_options(what: Algorithm, engine: str, parts: int, wrap: bool, tie: str
 _PEEL_DDL = "id long, deg long, round int, rdeg long, theta double, pri long"
 
 
-def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "dataframe") -> DataFrame:
-    """(id, deg, round, rdeg, theta, pri) of a peeling rule, by either engine."""
+def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "dataframe", bucket_edges: int | None = None) -> DataFrame:
+    """(id, deg, round, rdeg, theta, pri) of a peeling rule, by either engine; ``bucket_edges`` is as in ``peel``."""
     if rule not in RULES:
         raise ValueError(f"unknown rule: {rule}")
     if check_engine(engine) == "local":
         return on_one(graph, lambda g: peel_local(g, rule, theta), _PEEL_DDL)
-    return peel(graph, rule, theta)
+    return peel(graph, rule, theta, bucket_edges)
 
 
 def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool) -> pd.DataFrame:
@@ -124,6 +124,7 @@ def margin(graph: Graph, theta: int | str, vectors: DataFrame | str | None = Non
 def color(
     graph: Graph, algorithm_name: str | None = None, theta: int | str = 0, engine: str = "dataframe", parts: int = 1, partitioner: str = "lp",
     copies: str = "halo", wrap: bool = False, tie: str = "hash", seed: int = 0, vectors: DataFrame | str | None = None, family: str = "device",
+    bucket_edges: int | None = None,
 ) -> DataFrame:
     """(id, color) of every vertex.
 
@@ -132,7 +133,8 @@ def color(
     defined for parts (``sl_els_sdc``, ties by hash); other options raise then. The
     default engine is distributed throughout; ``local`` gives the same colours in one task, of
     graphs whose counted size it can hold. Smallest-last and saturation are sequential by
-    definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash.
+    definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash. ``bucket_edges``
+    bounds what one task holds of a distributed graph (``operators.resident``).
     """
     what = algorithm(default_algorithm(parts) if algorithm_name is None else algorithm_name, family)
     check_engine(engine)
@@ -146,14 +148,14 @@ def color(
         return speculate(graph, keyed(graph.degrees(), what.chain))
     if what.kernel or engine == "local" and tie == "hash":
         return on_one(graph, lambda g: _local_color(g, what, margin_, wrap), "id long, color int", what.kernel or "the local engine")
-    return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed)).select("id", "color")
+    return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges), bucket_edges=bucket_edges)
 
 
 def default_algorithm(parts: int = 1) -> str:
     return "sl_els" if parts == 1 else "sl_els_sdc"
 
 
-def order_keys(graph: Graph, what: Algorithm, theta: int, wrap: bool = False, tie: str = "hash", seed: int = 0) -> DataFrame:
+def order_keys(graph: Graph, what: Algorithm, theta: int, wrap: bool = False, tie: str = "hash", seed: int = 0, bucket_edges: int | None = None) -> DataFrame:
     """(id, key) of the vertices, by peeling rounds where the algorithm has a rule; stored."""
-    vertices = peel(graph, what.rule, theta) if what.rule else graph.degrees().withColumn("pri", F.lit(0).cast("long"))
+    vertices = peel(graph, what.rule, theta, bucket_edges) if what.rule else graph.degrees().withColumn("pri", F.lit(0).cast("long"))
     return materialize(keyed(vertices, "random" if tie == "random" else what.chain, wrap, seed), "keys")

@@ -12,10 +12,11 @@ from . import oracle
 from .functions import int_hash
 from .graph import Graph
 from .operators import degrees, flow, verify
+from .operators.coloring import color_rounds
 from .operators.numbering import dense_ids
 from .operators.order import dag, keyed
 from .operators.partition import boundary, boundary_graph, color_boundary, cut_edges, members, part_edges, partition
-from .plans import color, margin, priorities
+from .plans import algorithm, color, margin, order_keys, priorities
 from .plans import experiments as ex
 from .plans import logs
 from .plans import theta as th
@@ -40,13 +41,21 @@ def _edges(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _peel(rule: str, theta: int, engine: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return priorities(_stored(spark, sf_dir), rule, theta, engine).select("id", "round", "rdeg", "theta", "pri")
+    """In rounds over buckets, however small the graph, or in one task."""
+    return priorities(_stored(spark, sf_dir), rule, theta, engine, bucket_edges=0).select("id", "round", "rdeg", "theta", "pri")
 
 
 def _color(name: str, theta: int, engine: str, graph: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return color(_stored(spark, sf_dir, graph), name, theta, engine)
 
 
+def _bucket_color(name: str, theta: int, graph: str, most: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours in rounds between buckets of at most so many edges, hubs apart."""
+    g = _stored(spark, sf_dir, graph)
+    keys = order_keys(g, algorithm(name), theta)
+    return color_rounds(g, keys, bucket_edges=most, hub_edges=20)
+
+
 def degree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).degrees()
 
@@ -442,6 +451,8 @@ select count(*) as n_vertices, sum(d)::bigint as n_edges, avg(d) as avg_degree,
         found = oracle.color_of("g1", order, rule, theta)
         add(f"color_{name}", partial(_color, algorithm, theta, "dataframe", "g1"), found)
         add(f"color_{name}_local", partial(_color, algorithm, theta, "local", "g1"), found)
+    add("color_buckets_ldf", partial(_bucket_color, "ldf", 0, "g1", 20_000), oracle.color_of("g1", "large_degree"))
+    add("color_buckets_natural", partial(_bucket_color, "natural", 0, "g4", 4_000), oracle.color_of("g4", "natural"))
     add("color_dense_ldf", partial(_color, "ldf", 0, "dataframe", "g2"), oracle.color_of("g2", "large_degree"))
     add("color_bipartite_sl_els_t10", partial(_color, "sl_els", 10, "dataframe", "g3"), oracle.color_of("g3", "device", "sl_els", 10))
     add("color_rounds_sl_els_sdc_t10", partial(_color, "sl_els_sdc", 10, "dataframe", "g4"), oracle.color_of("g4", "device", "sl_els_sdc", 10))

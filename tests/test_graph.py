@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 
@@ -14,7 +15,7 @@ from pigmenta.operators.coloring import color_rounds, speculate
 from pigmenta.operators.degrees import degree_extremes, degree_stats, isolated, lower_triangle, symmetry
 from pigmenta.operators import local
 from pigmenta.operators.local import Csr, dsatur, first_fit, greedy_partition, hash32, peel_local, smallest_last
-from pigmenta.operators.order import keyed, ranked
+from pigmenta.operators.order import dag, keyed, ranked
 from pigmenta.operators.partition import boundary, members, parse_method, part_edges, partition
 from pigmenta.operators.peel import RULES, peel
 from pigmenta.operators.verify import histogram, throughput, verify
@@ -56,25 +57,12 @@ def test_hand_made(spark, name):
         assert (found["uncolored"], found["conflicts"], found["colors_used"]) == (0, 0, best)
 
 
-def test_many_colors(spark):
-    """More colours than the words of a state hold."""
-    pairs = list(itertools.combinations(range(250), 2))
-    g = make(spark, pairs)
-    assert sorted(colors_of(color(g, "natural", engine="local")).values()) == list(range(250))
-    state = spark.createDataFrame([(list(range(240)),), ([*range(60), *range(61, 250)],), ([0, 59],), ([],), (list(range(245)),)], "c array<int>")
-    from pigmenta.operators import coloring as c
-
-    words = [F.expr(f"aggregate(filter(c, x -> x BETWEEN {60 * k} AND {60 * k + 59}), 0L, (a, x) -> a | shiftleft(1L, x - {60 * k}))").alias(f"taken{k}") for k in range(4)]
-    rows = state.select(*words, F.expr("filter(c, x -> x >= 240)").alias("more")).select(F.expr(c._first_free()).alias("f")).collect()
-    assert [r["f"] for r in rows] == [240, 60, 1, 0, 245]
-
-
-@pytest.mark.parametrize("method", [speculate, color_rounds])
+@pytest.mark.parametrize("method", [speculate, functools.partial(color_rounds, bucket_edges=2)])
 def test_rounds_that_run_out_are_no_result(spark, method):
     g = make(spark, list(itertools.combinations(range(5), 2)))
     keys = keyed(g.degrees(), algorithm("natural").chain)
     with pytest.raises(RuntimeError):
-        method(g, keys, most_rounds=2).collect()
+        method(g, keys, most_rounds=1).collect()
     assert sorted(colors_of(method(g, keys)).values()) == list(range(5))
 
 
@@ -105,7 +93,7 @@ def rough(spark):
 @pytest.mark.parametrize("rule,theta", [*((r, 3) for r in sorted(RULES)), ("sl_els", 0)])
 def test_engines_peel_alike(rough, rule, theta):
     one = {tuple(r) for r in priorities(rough, rule, theta, "local").select("id", "deg", "round", "rdeg", "theta", "pri").collect()}
-    assert one == {tuple(r) for r in peel(rough, rule, theta).select("id", "deg", "round", "rdeg", "theta", "pri").collect()}
+    assert one == {tuple(r) for r in peel(rough, rule, theta, bucket_edges=100).select("id", "deg", "round", "rdeg", "theta", "pri").collect()}
     assert len(one) == 60
 
 
@@ -222,6 +210,84 @@ def test_rounds_are_first_fit(rough):
     assert colors_of(color_rounds(rough, keys)) == out
 
 
+def first_fit_of(order, near):
+    out = {}
+    for v in order:
+        taken = {out[u] for u in near.get(v, ()) if u in out}
+        out[v] = next(c for c in itertools.count() if c not in taken)
+    return out
+
+
+def neighbours_of(g):
+    near = {}
+    for r in g.edges.where("src != dst").collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    return near
+
+
+@pytest.mark.parametrize("bucket_edges,hub_edges", [(None, None), (60, None), (60, 12), (15, 5)])
+@pytest.mark.parametrize("chain", ["degree_id", "natural"])
+def test_buckets_do_not_change_colors(rough, chain, bucket_edges, hub_edges):
+    keys = keyed(rough.degrees(), chain)
+    order = [r["id"] for r in ranked(keys).orderBy("rk").collect()]
+    rounds = []
+    found = colors_of(color_rounds(rough, keys, bucket_edges=bucket_edges, hub_edges=hub_edges, seen=rounds.append))
+    assert found == first_fit_of(order, neighbours_of(rough))
+    assert rounds == [1] if bucket_edges is None else rounds[0] > 1
+
+
+def test_chains_that_buckets_cut(spark):
+    """Paths in id order, cut at random: each bucket colours its pieces at once."""
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(0, 400) if i % 50 != 49] + [(i, i + 2) for i in range(0, 380) if rng.random() < 0.3]
+    g = make(spark, pairs).stored()
+    rounds = []
+    found = colors_of(color_rounds(g, keyed(g.degrees(), "natural"), bucket_edges=260, seen=rounds.append))
+    assert found == first_fit_of(sorted(found), neighbours_of(g))
+    # in step, one vertex of each path is decided a round
+    depth = {}
+    near = neighbours_of(g)
+    for v in sorted(found):
+        depth[v] = 1 + max((depth[u] for u in near[v] if u < v), default=0)
+    assert 1 < rounds[0] <= max(depth.values()) / 2
+
+
+def test_many_colors_in_buckets(spark):
+    """A clique has more colours than the words of a set."""
+    n = 290
+    g = make(spark, list(itertools.combinations(range(n), 2))).stored()
+    for bucket_edges in (None, 15_000):
+        assert colors_of(color_rounds(g, keyed(g.degrees(), "natural"), bucket_edges=bucket_edges)) == {i: i for i in range(n)}
+
+
+def test_hub_is_spread(spark):
+    from pigmenta.operators.resident import settle
+
+    leaves = 20_000
+    g = make(spark, [(leaves, i) for i in range(leaves)], leaves + 1).stored()
+    keys = keyed(g.degrees(), "natural")  # the hub comes last
+    edges = dag(g, keys).withColumnRenamed("higher", "other")
+    home = settle(edges, leaves, bucket_edges=2_500, hub_edges=100)
+    sizes = sorted(r["count"] for r in spark.table(home.name).groupBy("bucket").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    home.drop()
+    found = colors_of(color_rounds(g, keys, bucket_edges=2_500, hub_edges=100))
+    assert found == {i: int(i == leaves) for i in range(leaves + 1)}
+
+
+def test_edges_stay_where_they_are(rough):
+    """The plan of a round shuffles what buckets say, not the table of edges."""
+    from pigmenta.operators import coloring
+    from pigmenta.operators.resident import settle
+
+    edges = dag(rough, keyed(rough.degrees(), "natural")).withColumnRenamed("higher", "other")
+    home = settle(edges, 400, bucket_edges=100)
+    rows = rough.vertices.selectExpr("0 AS kind", "CAST(id % 4 AS INT) AS bucket", "id", "CAST(NULL AS INT) AS color", "0 AS n", "0 AS waits", "0L AS w0", "0L AS w1", "0L AS w2", "0L AS w3", "CAST(array() AS array<int>) AS more")
+    plan = home.step(rows, coloring._round, f"kind int, {coloring._ROW_DDL}")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    home.drop()
+
+
 def test_wrapped_priorities_stay_proper(rough):
     found = verify(rough, color(rough, "sl_els", 0, "local", wrap=True)).first()
     assert (found["uncolored"], found["conflicts"]) == (0, 0)
