@@ -274,6 +274,7 @@ _ENTRIES = pa.schema([("group", pa.int32()), ("row", pa.int64()), ("rows", pa.in
 _ENTRIES_DDL = "group int, row long, rows int, words int, strings binary, counts binary, held binary, texts binary, copies binary"
 _STORED_DDL = "kind int, row long, rows int, buckets binary, held binary, texts binary, copies binary, bucket int, s long, t long"
 _STORED = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("rows", pa.int32()), ("buckets", pa.binary()), ("held", pa.binary()), ("texts", pa.binary()), ("copies", pa.binary()), ("bucket", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
+_PARTS = pa.schema([("row", pa.int64()), ("rows", pa.int32()), ("body", pa.binary())])
 #: Bytes of entries that leave a task together.
 _OUT_BYTES = 4 << 20
 
@@ -390,11 +391,17 @@ def weights(df: DataFrame, target: DataFrame, weighing: Weighing) -> DataFrame:
                 part = np.bincount(_unpack(texts, "<u4"), weights=each, minlength=n).astype(np.int64)
                 key = (row, n)
                 sums[key] = sums[key] + part if key in sums else part
-            for (row, n), total in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), pa.array(total)], names=["row", "weight"])
+            yield from _batched(((row, n, _pack(total, "<i8")) for (row, n), total in sums.items()), _PARTS)
+
+    def total(table: pa.Table) -> pa.Table:
+        parts: dict[int, np.ndarray] = {}  # chunks that begin with one row are pieces of it, so of one size
+        for row, n, body in zip(*(c.to_pylist() for c in table.columns)):
+            parts[row] = parts.get(row, 0) + _unpack(body, "<i8")
+        return pa.table({"row": np.concatenate([row + np.arange(len(x)) for row, x in parts.items()]), "weight": np.concatenate(list(parts.values()))})
 
     id_type = df.schema["id"].dataType.simpleString()
-    added = stored.where(F.col("kind") == FEATURES).select("row", "rows", "buckets", "held", "texts", "copies").mapInArrow(add, "row long, weight long")
+    parts_ = stored.where(F.col("kind") == FEATURES).select("row", "rows", "buckets", "held", "texts", "copies").mapInArrow(add, "row long, rows int, body binary")
+    added = parts_.groupBy("row").applyInArrow(total, "row long, weight long")
     none = F.lit(0).cast("long")
     parts = added.select("row", F.lit(None).cast(id_type).alias("id"), none.alias("n_words"), none.alias("n_features"), "weight").unionByName(texts_of(df, weighing).withColumn("weight", none))
     out = materialize(parts.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_words", "n_features", "weight"))), "weights")
