@@ -11,7 +11,7 @@ highest scores are drawn.
 The dictionary is built in ``passes`` slices of the hash range, one after the other: each reads the texts
 again and holds only its share of the strings in shuffle files, which go when the slice is stored.
 Within a slice, features fall into as many groups as keep the strings of one near ``GROUP_BYTES``,
-by the counted size of the texts. A text longer than ``CHUNK_BYTES`` is cut at word ends into chunks that share
+by the counted features. A text longer than ``CHUNK_BYTES`` is cut at word ends into chunks that share
 ``longest - 1`` words, so memory is bounded by those two sizes and the longest word.
 
 Texts are numbered by task and place, so they must come in the same order whenever they are read:
@@ -31,18 +31,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..scratch import freed_shuffles, materialize, release, scratch_path
 from .names import column
 from .ranges import placed
-from .textbatch import ALNUM_WORDS_RAW, LOWER, Words, column_buffer, mix64, rolling, slices
+from .textbatch import ALNUM_WORDS_RAW, LOWER, Words, column_buffer, rolling, slices
 
 #: Bytes of text in a chunk, and of a group's strings as they are read.
 CHUNK_BYTES, GROUP_BYTES = 8 << 20, 32 << 20
-#: A text's strings take about so many times its bytes.
-_STRINGS = 4
+#: Bytes of strings for each feature of a text, about: half of them are met in a chunk for the first time.
+STRING_BYTES = 8
 #: Low bits of a row's number that count within a task.
 _TASK_BITS = 40
 FEATURES, ROWS, TOTALS = 0, 1, 2
@@ -137,22 +137,22 @@ def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, tar
     w = chunk.words
     if not len(w):
         return
-    one, two = w.hashes(0, LOWER), w.hashes(1, LOWER)
+    hashes = w.hashes(0, LOWER)
     body, start = chunk.normal()
     for k in range(1, weighing.longest + 1):
         at = chunk.grams(k)
-        key = mix64(rolling(one, k, 0)[at])
+        key = rolling(hashes, k, 0)[at]
         if weighing.passes > 1:
             mine = (key >> np.uint64(32)) % np.uint64(weighing.passes) == np.uint64(pass_)
             at, key = at[mine], key[mine]
         if not len(at):
             continue
-        check = rolling(two, k, 1)[at]
+        check = rolling(hashes, k, 1)[at]
         coded = pa.array(key).dictionary_encode()
         code, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         first = np.zeros(len(distinct), dtype=np.int64)
         first[code[::-1]] = np.arange(len(at) - 1, -1, -1)
-        if np.any(check != check[first[code]]):  # two strings of one key: tell them apart by both hashes
+        if np.any(check != check[first[code]]):  # two runs of one key: tell them apart by both hashes
             both = np.empty(len(at), dtype=[("a", "u8"), ("b", "u8")])
             both["a"], both["b"] = key, check
             _, first, code = np.unique(both, return_index=True, return_inverse=True)
@@ -370,8 +370,11 @@ def weights(df: DataFrame, target: DataFrame, weighing: Weighing) -> DataFrame:
     """(row, id, n_words, n_features, weight) of ``df`` (id, text) against ``target`` (text)."""
     spark = df.sparkSession
     df, target = (_in_order(x).withColumn("task", F.spark_partition_id()) for x in (df, target))
-    size = sum((x.agg(F.sum(F.octet_length("text"))).first()[0] or 0) for x in (df, target))
-    groups = max(4 * spark.sparkContext.defaultParallelism, int(size * _STRINGS // weighing.passes // GROUP_BYTES))
+    seen = Observation()
+    counted = F.coalesce(F.sum("n_features"), F.lit(0)).alias("n")
+    texts = materialize(texts_of(df, weighing).observe(seen, counted), "texts-seen")
+    features = seen.get["n"] + (target.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    groups = max(4 * spark.sparkContext.defaultParallelism, int(features * STRING_BYTES // weighing.passes // GROUP_BYTES))
     folder = scratch_path(spark, "features")
     for i in range(weighing.passes):
         found = entries(df.select("task", "text"), weighing, i, groups, False).unionByName(entries(target.select("task", "text"), weighing, i, groups, True))
@@ -403,10 +406,10 @@ def weights(df: DataFrame, target: DataFrame, weighing: Weighing) -> DataFrame:
     parts_ = stored.where(F.col("kind") == FEATURES).select("row", "rows", "buckets", "held", "texts", "copies").mapInArrow(add, "row long, rows int, body binary")
     added = parts_.groupBy("row").applyInArrow(total, "row long, weight long")
     none = F.lit(0).cast("long")
-    parts = added.select("row", F.lit(None).cast(id_type).alias("id"), none.alias("n_words"), none.alias("n_features"), "weight").unionByName(texts_of(df, weighing).withColumn("weight", none))
+    parts = added.select("row", F.lit(None).cast(id_type).alias("id"), none.alias("n_words"), none.alias("n_features"), "weight").unionByName(texts.withColumn("weight", none))
     out = materialize(parts.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_words", "n_features", "weight"))), "weights")
     gains.unpersist()
-    release(stored)
+    release(stored, texts)
     return out
 
 
