@@ -45,7 +45,7 @@ CHUNK_BYTES, GROUP_BYTES = 8 << 20, 32 << 20
 STRING_BYTES = 8
 #: Low bits of a row's number that count within a task.
 _TASK_BITS = 40
-FEATURES, ROWS, TOTALS = 0, 1, 2
+FEATURES, TOTALS = 0, 1
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,21 @@ def _unpack(body: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(body), dtype=kind)
 
 
+def _place(n_rows: int) -> str:
+    return "<u2" if n_rows <= 1 << 16 else "<u4"
+
+
+def _pack_places(texts: np.ndarray, n_rows: int) -> bytes:
+    """Texts of a chunk as steps from one to the next, which wrap around."""
+    kind = _place(n_rows)
+    return _pack(np.diff(texts.astype(kind), prepend=np.zeros(1, dtype=kind)), kind)
+
+
+def _unpack_places(body: bytes, n_rows: int) -> np.ndarray:
+    kind = _place(n_rows)
+    return np.cumsum(_unpack(body, kind), dtype=kind)
+
+
 class Chunk:
     """Consecutive texts as one buffer, each with a byte after it; the first ``skip`` words of a piece repeat the end of the piece before it."""
 
@@ -175,7 +190,7 @@ def chunk_entries(chunk: Chunk, weighing: Weighing, pass_: int, groups: int, tar
                 yield (*row, None, None, None)
             else:
                 a, b = int(posted[low]), int(posted[high])
-                yield (*row, _pack(held[low:high], "<u4"), _pack(texts[a:b], "<u4"), _pack(copies[a:b], "<u4"))
+                yield (*row, _pack(held[low:high], "<u4"), _pack_places(texts[a:b], chunk.n_rows), _pack(copies[a:b], "<u4"))
 
 
 def _postings(code: np.ndarray, row: np.ndarray, count: np.ndarray, first: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,7 +406,7 @@ def weights(df: DataFrame, target: DataFrame, weighing: Weighing) -> DataFrame:
             sums: dict[tuple[int, int], np.ndarray] = {}
             for row, n, buckets, held, texts, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 each = np.repeat(gain[np.frombuffer(buckets, dtype=unit)], _unpack(held, "<u4")) * _unpack(copies, "<u4")
-                part = np.bincount(_unpack(texts, "<u4"), weights=each, minlength=n).astype(np.int64)
+                part = np.bincount(_unpack_places(texts, n), weights=each, minlength=n).astype(np.int64)
                 key = (row, n)
                 sums[key] = sums[key] + part if key in sums else part
             yield from _batched(((row, n, _pack(total, "<i8")) for (row, n), total in sums.items()), _PARTS)

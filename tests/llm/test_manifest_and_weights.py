@@ -96,7 +96,7 @@ def _counted(texts, weighing):
         for chunk in chunks(batches(), weighing.longest):
             n_chunks += 1
             for group, words, strings, count, held, at, copies in chunk_entries(chunk, weighing, pass_, 4, False):
-                body, pairs = importance.zstandard.decompress(strings).decode().split(" "), iter(zip(importance._unpack(at, "<u4").tolist(), importance._unpack(copies, "<u4").tolist()))
+                body, pairs = importance.zstandard.decompress(strings).decode().split(" "), iter(zip(importance._unpack_places(at, chunk.n_rows).tolist(), importance._unpack(copies, "<u4").tolist()))
                 for n, (total, h) in enumerate(zip(importance._unpack(count, "<u4").tolist(), importance._unpack(held, "<u4").tolist(), strict=True)):
                     own = [next(pairs) for _ in range(h)]
                     assert sum(c for _, c in own) == total
