@@ -136,8 +136,9 @@ def crc32(strings: pa.Array, drop: int = 0) -> np.ndarray:
     """CRC-32 of each string without its last ``drop`` bytes, byte by byte over all strings in step."""
     raw, offsets = column_buffer(strings)
     size = np.diff(offsets) - drop
-    by_size = np.argsort(-size, kind="stable")
-    start, left = offsets[:-1][by_size], np.searchsorted(-size[by_size], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    most = int(size.max(initial=0))
+    by_size = np.argsort((most - size).astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")  # two bytes are sorted by digits
+    start, left = offsets[:-1][by_size], np.searchsorted(-size[by_size], -np.arange(1, most + 1), "right")
     value = np.full(len(size), 0xFFFFFFFF, dtype=np.uint32)
     for i, n in enumerate(left.tolist()):
         low = value[:n]
@@ -198,9 +199,7 @@ def _postings(code: np.ndarray, row: np.ndarray, count: np.ndarray, first: np.nd
     several = count[code] > 1
     pairs = code[several].astype(np.int64) << 32 | row[several]
     pairs.sort()
-    new = np.ones(len(pairs), dtype=bool)
-    new[1:] = pairs[1:] != pairs[:-1]
-    begins = np.flatnonzero(new)
+    begins = np.flatnonzero(np.diff(pairs, prepend=-1))
     pair_code, pair_row = pairs[begins] >> 32, pairs[begins] & 0xFFFFFFFF
     pair_count = np.diff(np.append(begins, len(pairs)))
     held = np.ones(len(first), dtype=np.int64)
@@ -361,8 +360,9 @@ def _dictionary(buckets: int):
         of_target = np.concatenate(target)
         words = coded.dictionary
         hashed = (crc32(words, drop=1) % np.uint32(buckets)).astype(np.int64)  # a string ends in the space after it, which is no part of it
-        total = [np.bincount(code[mine], weights=n[mine], minlength=len(words)).astype(np.int64) for mine in (~of_target, of_target)]
-        sums = [np.bincount(hashed, weights=x, minlength=buckets).astype(np.int64) for x in total]
+        every = np.bincount(code, weights=n, minlength=len(words))
+        wanted = np.bincount(code[of_target], weights=n[of_target], minlength=len(words))
+        sums = [np.bincount(hashed, weights=x, minlength=buckets).astype(np.int64) for x in (every - wanted, wanted)]
         out, low = [], 0
         for i, part in enumerate(strings):
             high = low + len(part)
