@@ -17,15 +17,16 @@ from ..graph import Graph
 from ..scratch import materialize, release
 from .coloring import color_rounds
 from .local import LOCAL_EDGES, Csr, first_fit, greedy_partition, hash32, on_one, peel_local
+from .multilevel import multilevel
 from .numbering import numbered
 from .peel import peel
 
-METHODS = ("round_robin", "random", "ldg", "lp")
-_ALIASES = {"rr": "round_robin", "rand": "random", "metis": "lp", "kahip": "lp", "mt_kahip": "lp", "mtkahip": "lp"}
+METHODS = ("round_robin", "random", "ldg", "lp", "multilevel")
+_ALIASES = {"rr": "round_robin", "rand": "random", "metis": "multilevel", "kahip": "multilevel", "mt_kahip": "multilevel", "mtkahip": "multilevel"}
 
 
 def parse_method(name: str) -> str:
-    """Partitioner by name, in any case. External partitioners map to label propagation, another algorithm."""
+    """Partitioner by name, in any case. The names of external partitioners mean the multilevel one here."""
     key = name.lower()
     key = _ALIASES.get(key, key)
     if key not in METHODS:
@@ -94,7 +95,7 @@ def partition(graph: Graph, parts: int, method: str = "lp") -> DataFrame:
     kind = parse_method(method)
     if parts == 1:
         return graph.vertices.select("id", F.lit(0).alias("part"))
-    return {"round_robin": round_robin, "random": random_parts, "ldg": ldg, "lp": label_propagation}[kind](graph, parts)
+    return {"round_robin": round_robin, "random": random_parts, "ldg": ldg, "lp": label_propagation, "multilevel": multilevel}[kind](graph, parts)
 
 
 def cut_edges(graph: Graph, parts: DataFrame) -> DataFrame:

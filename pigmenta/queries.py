@@ -147,6 +147,17 @@ def propagated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(cut).join(before).select("parts", "n_vertices", (F.col("largest") <= room).alias("within_capacity"), (F.col("cut") < F.col("before")).alias("cuts_less"))
 
 
+def multilevel_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vertex has one part, parts are of nearly one size, and fewer edges are cut than by label propagation."""
+    g, parts = _parts("metis", spark, sf_dir, name)
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n_vertices"), F.max("n").alias("largest"))
+    once = parts.join(g.vertices, "id").agg(F.countDistinct("id").alias("distinct_vertices"))
+    cut = cut_edges(g, parts).agg(F.count(F.lit(1)).alias("cut"))
+    other = cut_edges(g, partition(g, 4, "lp")).agg(F.count(F.lit(1)).alias("other"))
+    row = counts.join(once).join(cut).join(other)  # one row each
+    return row.select("parts", "n_vertices", "distinct_vertices", (F.col("largest") * 4 <= F.ceil(F.col("n_vertices") * 1.05)).alias("balanced"), (F.col("cut") < F.col("other")).alias("cuts_less"))
+
+
 def boundary_graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, parts = _parts("rr", spark, sf_dir)
     return boundary_graph(g, boundary(g, parts)).edges
@@ -469,6 +480,8 @@ select (select count(*) from deg) as n_vertices, (select count(*) from deg where
     add("partition_ldg", lambda s, d: _parts("ldg", s, d, "g1")[1], oracle.greedy_partition_of("g1", 4))
     add("partition_ldg_sizes", partial(sizes_query, "ldg"), f"select part, count(*) as n from ({oracle.greedy_partition_of('g4', 4)}) group by 1")
     add("partition_lp", propagated_query, f"with {oracle.graph('g4')} select 4::bigint as parts, count(*) as n_vertices, true as within_capacity, true as cuts_less from deg")
+    for name in ("g1", "g4"):
+        add(f"partition_multilevel_{name}", partial(multilevel_query, name), f"with {oracle.graph(name)} select 4::bigint as parts, count(*) as n_vertices, count(*) as distinct_vertices, true as balanced, true as cuts_less from deg")
     add("boundary_rr", boundary_query, _CUT_SQL + " select src as id from cut union select dst from cut")
     add("cut_edges_rr", cut_query, _CUT_SQL + " select src_part, dst_part, count(*) as n from cut group by 1, 2")
     add("subgraph_members_rr", members_query, _MEMBERS_SQL)

@@ -349,12 +349,36 @@ def test_partitions(spark, rough):
         sizes = [r["count"] for r in partition(rough, 4, method).groupBy("part").count().collect()]
         assert sum(sizes) == 60 and max(sizes) <= 16
     assert {r["part"] for r in partition(rough, 1).collect()} == {0}
-    assert parse_method("KaHIP") == "lp" and algorithm("1", "jp") is ALGORITHMS["jp_adg"] and algorithm("2", "jp") is ALGORITHMS["jp_sll"]
+    assert parse_method("KaHIP") == "multilevel" and algorithm("1", "jp") is ALGORITHMS["jp_adg"] and algorithm("2", "jp") is ALGORITHMS["jp_sll"]
     for bad in (lambda: parse_method("none"), lambda: partition(rough, 0), lambda: algorithm("none"), lambda: check_engine("none")):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_levels(spark):
+    """Cliques in a ring: contraction and refinement find the few edges between them; every step keeps the weights."""
+    from pigmenta.operators.multilevel import gathered, levels, matched, multilevel
+
+    pairs = [(12 * c + a, 12 * c + b) for c in range(8) for a, b in itertools.combinations(range(12), 2)] + [(12 * c, (12 * c + 12) % 96) for c in range(8)]
+    g = make(spark, pairs, 96).stored()
+    parts = multilevel(g, 4, coarse=20)
+    rows = {r["id"]: r["part"] for r in parts.collect()}
+    assert sorted(rows) == list(range(96)) and {list(rows.values()).count(p) for p in range(4)} == {24}
+    assert sum(rows[r["src"]] != rows[r["dst"]] for r in g.edges.collect()) == 8
+    nodes, edges = g.vertices.withColumn("w", F.lit(1).cast("long")), g.edges.withColumn("w", F.lit(1).cast("long"))
+    up = {r["id"]: r["up"] for r in matched(nodes, edges, 5).collect()}
+    ends = {(r["src"], r["dst"]) for r in g.edges.collect()}
+    assert all(i == u or (i, u) in ends for i, u in up.items()) and max(list(up.values()).count(u) for u in up.values()) == 2
+    for level, level_edges, _ in levels(nodes, edges, 20, 24):
+        assert level.agg(F.sum("w")).first()[0] == 96 and level_edges.where("src = dst").count() == 0
+    star = make(spark, [(0, i) for i in range(1, 200)], 400).stored()  # hardly any match, half of the vertices alone
+    flat = star.vertices.withColumn("w", F.lit(1).cast("long")), star.edges.withColumn("w", F.lit(1).cast("long"))
+    assert gathered(*flat, 100).select("up").distinct().count() < 200
+    sizes = [r["count"] for r in multilevel(star, 4, coarse=60).groupBy("part").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 105
+    assert multilevel(make(spark, [], 0), 3).collect() == []
+
+
 def test_boundary_and_members(spark):
     g = make(spark, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)])
     parts = spark.createDataFrame([(i, i // 3) for i in range(6)], "id long, part int")
