@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .names import fresh, quoted
 from ..scratch import materialize, release
 from .sketch import bits_at, cells_of, log_levels, merged_sketch, present, width_for

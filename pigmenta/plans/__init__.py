@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.coloring import color_rounds, speculate
-from ..operators.local import Csr, dsatur, first_fit, on_one, order_local, peel_local, smallest_last
+from ..operators.local import Csr, dsatur, first_fit, fits, in_one, order_local, peel_local, smallest_last, too_large
 from ..operators.order import keyed
 from ..operators.partition import color_parts, partition
 from ..operators.peel import RULES, peel
+from ..operators.pieces import pieces, thresholds
+from ..operators.resident import BUCKET_EDGES
 from ..scratch import materialize
 from .theta import kernel_theta, linear_theta, read_vectors
 
@@ -89,22 +91,37 @@ def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "dataframe
     """(id, deg, round, rdeg, theta, pri) of a peeling rule, by either engine; ``bucket_edges`` is as in ``peel``."""
     if rule not in RULES:
         raise ValueError(f"unknown rule: {rule}")
-    if check_engine(engine) == "local":
-        return on_one(graph, lambda g: peel_local(g, rule, theta), _PEEL_DDL)
-    return peel(graph, rule, theta, bucket_edges)
+    if check_engine(engine) == "local" and fits(graph):
+        return in_one(graph, lambda g: peel_local(g, rule, theta), _PEEL_DDL)
+    return peel(graph, rule, theta, 0 if engine == "local" else bucket_edges)
 
 
-def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool) -> pd.DataFrame:
+def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool, bases: list[float] | None = None) -> pd.DataFrame:
     if what.kernel == "smallest_last":
         order = np.argsort(smallest_last(g))[::-1]
     elif what.kernel == "dsatur":
         return pd.DataFrame({"id": g.ids, "color": dsatur(g).astype(np.int32)})
     else:
-        peeled = peel_local(g, what.rule, theta) if what.rule else None
+        peeled = peel_local(g, what.rule, theta, bases) if what.rule else None
         order = order_local(g, peeled, what.chain, wrap)
     return pd.DataFrame({"id": g.ids, "color": first_fit(g, order).astype(np.int32)})
 
 
+_COLOR_DDL = "id long, color int"
+
+
+def _color_pieces(graph: Graph, what: Algorithm, theta: int, wrap: bool, most: int | None) -> DataFrame | None:
+    """Colours of groups of whole components; None if there are none, or their thresholds do not come to agree."""
+    groups = pieces(graph, most)
+    if groups is None:
+        return None
+    bases = thresholds(groups, what.rule, theta) if what.rule else None
+    if what.rule and bases is None:
+        groups.drop()
+        return None
+    return groups.stored(lambda g: _local_color(g, what, theta, wrap, bases), _COLOR_DDL)
+
+
 def margin(graph: Graph, theta: int | str, vectors: DataFrame | str | None = None) -> int:
     """The elastic margin: a number, or what the ``"linear"`` or the ``"svr"`` model predicts.
 
@@ -132,8 +149,9 @@ def color(
     the graph is split, its boundary coloured first and the parts on their own, by the one order that is
     defined for parts (``sl_els_sdc``, ties by hash); other options raise then. The
     default engine is distributed throughout; ``local`` gives the same colours in one task, of
-    graphs whose counted size it can hold. Smallest-last and saturation are sequential by
-    definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash. ``bucket_edges``
+    graphs whose counted size it can hold. Larger graphs are coloured in groups of whole components (``operators.pieces``)
+    by either engine; if no task can hold one of the components, in rounds by the default engine, and not by the
+    local one. Smallest-last and saturation are sequential by definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash. ``bucket_edges``
     bounds what one task holds of a distributed graph (``operators.resident``).
     """
     what = algorithm(default_algorithm(parts) if algorithm_name is None else algorithm_name, family)
@@ -146,8 +164,15 @@ def color(
         return color_parts(stored, split, parts, margin_, copies).select("id", "color")
     if what.kernel == "speculative":
         return speculate(graph, keyed(graph.degrees(), what.chain))
-    if what.kernel or engine == "local" and tie == "hash":
-        return on_one(graph, lambda g: _local_color(g, what, margin_, wrap), "id long, color int", what.kernel or "the local engine")
+    alone = what.kernel or engine == "local"
+    if alone and fits(graph):
+        return in_one(graph, lambda g: _local_color(g, what, margin_, wrap), _COLOR_DDL)
+    if tie == "hash" and (alone or not fits(graph, bucket_edges or BUCKET_EDGES)):
+        found = _color_pieces(graph, what, margin_, wrap, bucket_edges)
+        if found is not None:
+            return found
+        if alone:
+            raise too_large(what.kernel or "the local engine")
     return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges), bucket_edges=bucket_edges)
 
 
