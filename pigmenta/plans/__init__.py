@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from ..operators.coloring import color_rounds, speculate
 from ..operators.local import Csr, dsatur, first_fit, fits, in_one, order_local, peel_local, smallest_last, too_large
 from ..operators.order import keyed
 from ..operators.partition import color_parts, partition
-from ..operators.peel import RULES, peel
+from ..operators.peel import RULES, peel, peel_rounds
 from ..operators.pieces import pieces, thresholds
 from ..operators.resident import BUCKET_EDGES
 from ..scratch import materialize
@@ -96,13 +97,15 @@ def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "dataframe
     return peel(graph, rule, theta, 0 if engine == "local" else bucket_edges)
 
 
-def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool, bases: list[float] | None = None) -> pd.DataFrame:
+def _local_color(g: Csr, what: Algorithm, theta: int, wrap: bool, bases: list[float] | None = None, peeled: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Colours by the algorithm; ``peeled`` has rounds, residual degrees and priorities in ascending id where they are known."""
     if what.kernel == "smallest_last":
         order = np.argsort(smallest_last(g))[::-1]
     elif what.kernel == "dsatur":
         return pd.DataFrame({"id": g.ids, "color": dsatur(g).astype(np.int32)})
     else:
-        peeled = peel_local(g, what.rule, theta, bases) if what.rule else None
+        if what.rule and peeled is None:
+            peeled = peel_local(g, what.rule, theta, bases)
         order = order_local(g, peeled, what.chain, wrap)
     return pd.DataFrame({"id": g.ids, "color": first_fit(g, order).astype(np.int32)})
 
@@ -111,14 +114,17 @@ _COLOR_DDL = "id long, color int"
 
 
 def _color_pieces(graph: Graph, what: Algorithm, theta: int, wrap: bool, most: int | None) -> DataFrame | None:
-    """Colours of groups of whole components; None if there are none, or their thresholds do not come to agree."""
+    """Colours of groups of whole components; None if there are none.
+
+    If their thresholds do not come to agree, the graph is peeled in a job a round, and only coloured in groups.
+    """
     groups = pieces(graph, most)
     if groups is None:
         return None
     bases = thresholds(groups, what.rule, theta) if what.rule else None
     if what.rule and bases is None:
-        groups.drop()
-        return None
+        peeled = peel_rounds(graph, what.rule, theta).select("id", "round", "rdeg", "pri")
+        return groups.stored_with(peeled, lambda g, rows: _local_color(g, what, theta, wrap, peeled=rows), _COLOR_DDL)
     return groups.stored(lambda g: _local_color(g, what, theta, wrap, bases), _COLOR_DDL)
 
 
@@ -173,6 +179,7 @@ def color(
             return found
         if alone:
             raise too_large(what.kernel or "the local engine")
+        return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges, peel_rounds), bucket_edges=bucket_edges)
     return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges), bucket_edges=bucket_edges)
 
 
@@ -180,7 +187,10 @@ def default_algorithm(parts: int = 1) -> str:
     return "sl_els" if parts == 1 else "sl_els_sdc"
 
 
-def order_keys(graph: Graph, what: Algorithm, theta: int, wrap: bool = False, tie: str = "hash", seed: int = 0, bucket_edges: int | None = None) -> DataFrame:
-    """(id, key) of the vertices, by peeling rounds where the algorithm has a rule; stored."""
-    vertices = peel(graph, what.rule, theta, bucket_edges) if what.rule else graph.degrees().withColumn("pri", F.lit(0).cast("long"))
+def order_keys(
+    graph: Graph, what: Algorithm, theta: int, wrap: bool = False, tie: str = "hash", seed: int = 0, bucket_edges: int | None = None,
+    by: Callable[..., DataFrame] = peel,
+) -> DataFrame:
+    """(id, key) of the vertices, peeled by ``by`` where the algorithm has a rule; stored."""
+    vertices = by(graph, what.rule, theta, bucket_edges) if what.rule else graph.degrees().withColumn("pri", F.lit(0).cast("long"))
     return materialize(keyed(vertices, "random" if tie == "random" else what.chain, wrap, seed), "keys")

@@ -13,9 +13,11 @@ from .functions import int_hash
 from .graph import Graph
 from .operators import degrees, flow, verify
 from .operators.coloring import color_rounds
+from .operators.local import TooLarge
 from .operators.numbering import dense_ids
 from .operators.order import dag, keyed
 from .operators.partition import boundary, boundary_graph, color_boundary, cut_edges, members, part_edges, partition
+from .operators.peel import peel_rounds
 from .plans import algorithm, color, margin, order_keys, priorities
 from .plans import experiments as ex
 from .plans import logs
@@ -46,7 +48,14 @@ def _peel(rule: str, theta: int, engine: str, spark: SparkSession, sf_dir: str)
 
 
 def _color(name: str, theta: int, engine: str, graph: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return color(_stored(spark, sf_dir, graph), name, theta, engine)
+    """By the engine; the distributed one, whose colours are the same, takes what the local one cannot hold."""
+    g, what = _stored(spark, sf_dir, graph), algorithm(name)
+    try:
+        return color(g, name, theta, engine)
+    except TooLarge:
+        if what.kernel:
+            raise
+    return color_rounds(g, order_keys(g, what, theta, by=peel_rounds))
 
 
 def _bucket_color(name: str, theta: int, graph: str, most: int, spark: SparkSession, sf_dir: str) -> DataFrame:

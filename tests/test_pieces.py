@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pigmenta import queries, scratch
 from pigmenta.graph import Graph
 from pigmenta.operators import local, peel as peeling, pieces as groups
 from pigmenta.operators.local import Csr, peel_local
@@ -68,6 +70,48 @@ def test_equal_components_settle_at_once(spark, small_tasks, monkeypatch):
     assert copies[0] == copies[1] == copies[2] == copies[3] and len(set(map(tuple, copies[0]))) > 5
 
 
+@pytest.mark.parametrize("rule", ["cpu_sl", "jp_sl"])
+def test_unlike_components_take_one_run(apart, small_tasks, rule, monkeypatch):
+    """The strict rules need no agreement: one run of the groups gives every threshold."""
+    g, whole = apart
+    monkeypatch.setattr(groups, "MOST_PASSES", 1)
+    expected = set(peel_local(whole, rule, 0)[COLUMNS].itertuples(index=False, name=None))
+    assert {tuple(r) for r in peel(g, rule).select(*COLUMNS).collect()} == expected
+    assert len({r[2] for r in expected}) > 20
+
+
+@pytest.mark.parametrize("engine", ["local", "dataframe"])
+def test_colored_without_agreement(apart, small_tasks, engine, monkeypatch):
+    """Groups whose thresholds do not come to agree are peeled in rounds and coloured all the same."""
+    g, whole = apart
+    monkeypatch.setattr(groups, "MOST_PASSES", 1)
+    monkeypatch.setattr(peeling, "write_split", scratch.write_split)
+    expected = {r.id: r.color for r in _local_color(whole, algorithm("sl_els_sdc"), 3, False).itertuples()}
+    assert {r["id"]: r["color"] for r in color(g, "sl_els_sdc", 3, engine=engine).collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["color_ldf_local", "color_sl_els_t10_local"])
+def test_query_of_a_large_component(apart, spark, name, monkeypatch):
+    """A query of the local engine does the whole job where no task holds a component."""
+    g, whole = apart
+    monkeypatch.setattr(local, "LOCAL_EDGES", 300)
+    monkeypatch.setattr(queries, "_stored", lambda *_: g)
+    what, theta = (algorithm("ldf"), 0) if "ldf" in name else (algorithm("sl_els"), 10)
+    expected = {r.id: r.color for r in _local_color(whole, what, theta, False).itertuples()}
+    assert {r["id"]: r["color"] for r in queries.QUERIES[name](spark, "").collect()} == expected
+
+
+def test_first_fit_holds_no_list_of_edges():
+    rng = np.random.default_rng(4)
+    ends = rng.integers(0, 3000, (2, 200_000))
+    g = Csr(np.arange(3000), np.concatenate([ends[0], ends[1]]), np.concatenate([ends[1], ends[0]]))
+    tracemalloc.start()
+    local.first_fit(g, np.arange(g.n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+
+
 def test_groups_are_whole_and_bounded(apart, small_tasks, spark):
     g, _ = apart
     found = groups.pieces(g)
