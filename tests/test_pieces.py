@@ -131,3 +131,27 @@ def test_greedy_partition_in_ranges(apart, monkeypatch):
     monkeypatch.setattr(local, "LOCAL_EDGES", 400)
     expected = dict(zip(whole.ids.tolist(), local.greedy_partition(whole, 3).tolist()))
     assert {r["id"]: r["part"] for r in partition(g, 3, "ldg").collect()} == expected
+
+
+#: Queries beyond one task, with the algorithm and margin they name.
+BEYOND = [("color_dsatur", "dsatur", 0), ("color_greedy_degree_local", "greedy", 0), ("color_jp_sl_t10_local", "jp_sl", 10), ("color_sl_els_t0_local", "sl_els", 0), ("color_cpu_sll", "cpu_sll", 0)]
+
+
+@pytest.mark.parametrize("query,name,theta", BEYOND)
+def test_query_in_groups(apart, small_tasks, spark, query, name, theta, monkeypatch):
+    """A query over a graph that no task holds gives what the kernel gives over the whole, without rounds between buckets."""
+    g, whole = apart
+    monkeypatch.setattr(groups, "MOST_PASSES", 60)
+    monkeypatch.setattr(queries, "_stored", lambda *_: g)
+    expected = {r.id: r.color for r in _local_color(whole, algorithm(name), theta, False).itertuples()}
+    assert {r["id"]: r["color"] for r in queries.QUERIES[query](spark, "").collect()} == expected
+
+
+@pytest.mark.parametrize("rule", ["cpu_adg", "cpu_sll"])
+def test_peel_query_in_groups(apart, small_tasks, spark, rule, monkeypatch):
+    g, whole = apart
+    monkeypatch.setattr(groups, "MOST_PASSES", 60)
+    monkeypatch.setattr(queries, "_stored", lambda *_: g)
+    shown = ["id", "round", "rdeg", "theta", "pri"]
+    expected = set(peel_local(whole, rule, 0)[shown].itertuples(index=False, name=None))
+    assert {tuple(r) for r in queries.QUERIES[f"peel_{rule}_t0_local"](spark, "").collect()} == expected
