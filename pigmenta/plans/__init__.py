@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.coloring import color_rounds, speculate
+from ..operators.disk import fits_on_disk, on_disk
 from ..operators.local import Csr, dsatur, first_fit, fits, in_one, order_local, peel_local, smallest_last, too_large
 from ..operators.order import keyed
 from ..operators.partition import color_parts, partition
-from ..operators.peel import RULES, peel, peel_rounds
+from ..operators.peel import RULES, peel, peel_whole
 from ..operators.pieces import pieces, thresholds
 from ..operators.resident import BUCKET_EDGES
 from ..scratch import materialize
@@ -53,7 +54,7 @@ ALGORITHMS = {
 ALIASES = {"cusl_els": "sl_els", "cusl_els_sdc": "sl_els_sdc", "cusl": "jp_sl", "jp-sl": "jp_sl", "jp-adg": "jp_adg", "jp-sll": "jp_sll", "sdl": "smallest_last", "p_sl_els": "sl_els", "p_sl_els_sdc": "sl_els_sdc"}
 #: Numbers of the command lines, by family.
 NUMBERS = {"device": ("sl_els", "sl_els_sdc"), "jp": ("jp_sl", "jp_adg", "jp_sll")}
-ENGINES = ("dataframe", "local")
+ENGINES = ("dataframe", "local", "disk")
 
 
 def algorithm(name: str, family: str = "device") -> Algorithm:
@@ -75,11 +76,11 @@ def check_engine(engine: str) -> str:
 
 def check_options(what: Algorithm, engine: str, parts: int, wrap: bool, tie: str) -> None:
     """Raise where an option would not act, so that it is never passed over in silence."""
-    if parts > 1 and (what.rule != "sl_els_sdc" or what.kernel or wrap or tie != "hash" or engine == "local"):
+    if parts > 1 and (what.rule != "sl_els_sdc" or what.kernel or wrap or tie != "hash" or engine != "dataframe"):
         raise ValueError("graphs in parts are coloured by sl_els_sdc with ties by hash: give no other algorithm, engine, wrap or tie")
     if tie not in ("hash", "random"):
         raise ValueError(f"unknown tie-break: {tie}")
-    if tie == "random" and (engine == "local" or what.kernel or what.chain not in ("device", "large_degree")):
+    if tie == "random" and (engine != "dataframe" or what.kernel or what.chain not in ("device", "large_degree")):
         raise ValueError("random ties are for orders by peeling or degree in the distributed engine")
     if wrap and not what.rule:
         raise ValueError("only a peeling rule has priorities to wrap")
@@ -94,6 +95,8 @@ def priorities(graph: Graph, rule: str, theta: int = 0, engine: str = "dataframe
         raise ValueError(f"unknown rule: {rule}")
     if check_engine(engine) == "local" and fits(graph):
         return in_one(graph, lambda g: peel_local(g, rule, theta), _PEEL_DDL)
+    if engine == "disk":
+        return on_disk(graph, lambda g: peel_local(g, rule, theta), _PEEL_DDL)
     return peel(graph, rule, theta, 0 if engine == "local" else bucket_edges)
 
 
@@ -116,14 +119,14 @@ _COLOR_DDL = "id long, color int"
 def _color_pieces(graph: Graph, what: Algorithm, theta: int, wrap: bool, most: int | None) -> DataFrame | None:
     """Colours of groups of whole components; None if there are none.
 
-    If their thresholds do not come to agree, the graph is peeled in a job a round, and only coloured in groups.
+    If their thresholds do not come to agree, the graph is peeled as a whole (``peel_whole``), and only coloured in groups.
     """
     groups = pieces(graph, most)
     if groups is None:
         return None
     bases = thresholds(groups, what.rule, theta) if what.rule else None
     if what.rule and bases is None:
-        peeled = peel_rounds(graph, what.rule, theta).select("id", "round", "rdeg", "pri")
+        peeled = peel_whole(graph, what.rule, theta).select("id", "round", "rdeg", "pri")
         return groups.stored_with(peeled, lambda g, rows: _local_color(g, what, theta, wrap, peeled=rows), _COLOR_DDL)
     return groups.stored(lambda g: _local_color(g, what, theta, wrap, bases), _COLOR_DDL)
 
@@ -156,8 +159,9 @@ def color(
     defined for parts (``sl_els_sdc``, ties by hash); other options raise then. The
     default engine is distributed throughout; ``local`` gives the same colours in one task, of
     graphs whose counted size it can hold. Larger graphs are coloured in groups of whole components (``operators.pieces``)
-    by either engine; if no task can hold one of the components, in rounds by the default engine, and not by the
-    local one. Smallest-last and saturation are sequential by definition and always local. ``tie="random"`` breaks ties by ``seed`` instead of the hash. ``bucket_edges``
+    by either engine; if no task can hold one of the components, not by the local one, and by the default one as ``disk`` does it:
+    by one task that holds the vertices and has the edges on its disk (``operators.disk``). With more vertices than that holds, or bounded by ``bucket_edges``,
+    the default engine goes in rounds between buckets. Smallest-last and saturation are sequential by definition and always local or on disk. ``tie="random"`` breaks ties by ``seed`` instead of the hash. ``bucket_edges``
     bounds what one task holds of a distributed graph (``operators.resident``).
     """
     what = algorithm(default_algorithm(parts) if algorithm_name is None else algorithm_name, family)
@@ -170,6 +174,8 @@ def color(
         return color_parts(stored, split, parts, margin_, copies).select("id", "color")
     if what.kernel == "speculative":
         return speculate(graph, keyed(graph.degrees(), what.chain))
+    if engine == "disk":
+        return on_disk(graph, lambda g: _local_color(g, what, margin_, wrap), _COLOR_DDL, what.kernel or "the disk engine")
     alone = what.kernel or engine == "local"
     if alone and fits(graph):
         return in_one(graph, lambda g: _local_color(g, what, margin_, wrap), _COLOR_DDL)
@@ -179,7 +185,9 @@ def color(
             return found
         if alone:
             raise too_large(what.kernel or "the local engine")
-        return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges, peel_rounds), bucket_edges=bucket_edges)
+        if not bucket_edges and fits_on_disk(graph):
+            return on_disk(graph, lambda g: _local_color(g, what, margin_, wrap), _COLOR_DDL)
+        return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges, peel_whole), bucket_edges=bucket_edges)
     return color_rounds(graph, order_keys(graph, what, margin_, wrap, tie, seed, bucket_edges), bucket_edges=bucket_edges)
 
 

@@ -48,13 +48,14 @@ def _peel(rule: str, theta: int, engine: str, spark: SparkSession, sf_dir: str)
 
 
 def _color(name: str, theta: int, engine: str, graph: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the engine; the distributed one, whose colours are the same, takes what the local one cannot hold."""
+    """By the engine; one task with the edges on its disk takes what the local one cannot hold, or else the rounds between buckets, with the same colours."""
     g, what = _stored(spark, sf_dir, graph), algorithm(name)
-    try:
-        return color(g, name, theta, engine)
-    except TooLarge:
-        if what.kernel:
-            raise
+    for by in (engine, "disk"):
+        try:
+            return color(g, name, theta, by)
+        except TooLarge:
+            if what.kernel and by == "disk":
+                raise
     return color_rounds(g, order_keys(g, what, theta, by=peel_rounds))
 
 
